@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import mixing, simhash, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": simhash.op1_simhash_groups,
+    "op4_source_mix": mixing.op4_source_mix,
+    "op5_url_verdicts": url_rules.op5_url_verdicts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_verdicts": url_rules.ORACLE,
+}
