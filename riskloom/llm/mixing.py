@@ -5,7 +5,8 @@ part of that is taken at once; the fraction is a probability of one more copy.
 Two documents at a time, words of probability move from one to the other, in a
 random direction that keeps both expectations, until one of them is settled at
 zero or one.  What a source takes then changes only by the rounding of its last
-unsettled document.
+unsettled document, and ``made_up`` documents of the size that is nearest to
+that difference make up for it.
 
 The pairing is a reduction tree: rows are dealt to groups of about ``fan_in``
 whatever their source's size, each group is settled but for one document by a
@@ -104,6 +105,7 @@ def mix_sources(
     most: float = 3.0,
     seed: int = 42,
     fan_in: int = 128,
+    made_up: int = 3,
 ) -> DataFrame:
     """``doc_id, size, source_size, target, copies, taken`` for every row of ``df``.
 
@@ -121,8 +123,8 @@ def mix_sources(
     whole = F.floor(ratio + _ALMOST)
     wanted = wanted.withColumn("whole", whole).withColumn("p", F.greatest(ratio - whole, F.lit(0.0)))
     open_ = (F.col("size") > 0) & (F.col("p") > _ALMOST)
-    columns = ("doc_id", "size", "source_size", "target")
-    settled = [wanted.where(~open_).select(*columns, F.col("whole").alias("copies"))]
+    columns = ("source", "doc_id", "size", "source_size", "target", "whole", "copy_no", "extra")
+    settled = [wanted.where(~open_).withColumns({"copy_no": F.lit(None).cast("int"), "extra": F.lit(0)}).select(*columns)]
 
     repeats = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
     rows = wanted.where(open_).withColumn("copy_no", F.row_number().over(repeats).cast("int"))
@@ -135,18 +137,49 @@ def mix_sources(
         items = F.collect_list(F.struct("size", "doc_id", "copy_no", "p"))
         folded = rows.groupBy(*key, dealt.alias("group")).agg(_fold(F.sort_array(items, asc=False), seed + level).alias("fold"))
         folded = materialize(folded.select(*key, "fold.carry", "fold.done"), f"mix-level-{level}")
-        settled.append(folded.select(*key, F.explode("done").alias("x")).select("x.doc_id", "x.size", "source_size", "target", (F.col("whole") + F.round("x.p")).alias("copies")))
+        settled.append(folded.select(*key, F.explode("done").alias("x")).select(*key, "x.*").withColumn("extra", F.round("p").cast("int")).select(*columns))
         rows = folded.where("carry IS NOT NULL").select(*key, "carry.*")
         if groups == 1:
             break
         count, level = rows.count(), level + 1
     last = F.shiftrightunsigned(F.xxhash64("doc_id", "copy_no", "size", F.lit(~seed)), 11) / F.lit(float(1 << 53)) < F.col("p")
-    settled.append(rows.select(*columns, (F.col("whole") + last.cast("long")).alias("copies")))
+    settled.append(rows.withColumn("extra", last.cast("int")).select(*columns))
 
-    every = settled[0].withColumn("copies", F.col("copies").cast("long"))
+    rounded = settled[0]
     for part in settled[1:]:
-        every = every.unionByName(part.withColumn("copies", F.col("copies").cast("long")))
-    return every.withColumn("taken", F.col("copies") * F.col("size"))
+        rounded = rounded.unionByName(part)
+    rounded = _make_up(materialize(rounded, "mix-rounded"), made_up)
+    copies = (F.col("whole") + F.col("extra")).cast("long")
+    return rounded.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _make_up(rounded: DataFrame, rounds: int) -> DataFrame:
+    """Settle what the last rounding cost a source: turn the one document whose extra copy comes nearest to it, a few times.
+
+    Only per-source minima move; a source that no document brings nearer keeps its copies.
+    """
+    same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
+    off = materialize(rounded.groupBy("source").agg((F.sum((F.col("whole") + F.col("extra")) * F.col("size")) - F.first("target")).alias("off")), "mix-off")
+    turned = None
+    for k in range(rounds):
+        open_ = rounded.where("copy_no IS NOT NULL").select("source", "doc_id", "size", "copy_no", "extra")
+        if turned is not None:
+            open_ = open_.join(turned, same(open_, turned, "source", "doc_id", "size", "copy_no"), "left_anti")
+        near = open_.join(off, open_["source"].eqNullSafe(off["source"])).drop(off["source"])
+        rest = F.abs(F.col("off") + F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size")))
+        choice = F.struct(rest.alias("rest"), "size", "doc_id", "copy_no", "extra")
+        best = near.where(rest < F.abs("off")).groupBy("source").agg(F.min(choice).alias("x"))
+        best = materialize(best.select("source", "x.*"), f"mix-turned-{k}")
+        step = F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size"))
+        off = materialize(off.join(best, off["source"].eqNullSafe(best["source"]), "left").select(off["source"], (F.col("off") + F.coalesce(step, F.lit(0))).alias("off")), "mix-off")
+        best = best.select("source", "doc_id", "size", "copy_no")
+        turned = best if turned is None else turned.unionByName(best)
+    if turned is None:
+        return rounded
+    turned = turned.withColumn("turn", F.lit(1))
+    found = rounded.join(turned, same(rounded, turned, "source", "doc_id", "size", "copy_no"), "left")
+    names = [rounded[c].alias(c) for c in rounded.columns if c != "extra"]
+    return found.select(*names, F.when(turned["turn"] == 1, 1 - rounded["extra"]).otherwise(rounded["extra"]).alias("extra"))
 
 
 def repeat_to_mix(df: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
