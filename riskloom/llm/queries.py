@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, url_rules
+from . import mixing, piece_codec, simhash, token_counts, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": simhash.op1_simhash_groups,
+    "op3_piece_round_trip": piece_codec.op3_piece_round_trip,
     "op4_source_mix": mixing.op4_source_mix,
     "op5_url_verdicts": url_rules.op5_url_verdicts,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op6_token_counts": token_counts.op6_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
