@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, piece_codec, simhash, token_counts, url_rules
+from . import mixing, piece_codec, simhash, token_counts, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": simhash.op1_simhash_groups,
@@ -14,7 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": mixing.op4_source_mix,
     "op5_url_verdicts": url_rules.op5_url_verdicts,
     "op6_token_counts": token_counts.op6_token_counts,
-    "op6_token_counts": token_counts.op6_token_counts,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
