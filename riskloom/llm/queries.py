@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, piece_codec, simhash, token_counts, toxicity, url_rules
+from . import language, mixing, piece_codec, simhash, token_counts, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": simhash.op1_simhash_groups,
+    "op2_language": language.op2_language,
     "op3_piece_round_trip": piece_codec.op3_piece_round_trip,
     "op4_source_mix": mixing.op4_source_mix,
     "op5_url_verdicts": url_rules.op5_url_verdicts,
