@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, piece_codec, simhash, token_counts, toxicity, url_rules
+from . import language, mixing, nearest, piece_codec, simhash, token_counts, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": simhash.op1_simhash_groups,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": mixing.op4_source_mix,
     "op5_url_verdicts": url_rules.op5_url_verdicts,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_nearest": nearest.op7_nearest,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
