@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, nearest, piece_codec, simhash, token_counts, toxicity, url_rules, vector_groups
+from . import language, mixing, nearest, packing, piece_codec, simhash, token_counts, toxicity, url_rules, vector_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": simhash.op1_simhash_groups,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_verdicts": url_rules.op5_url_verdicts,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_nearest": nearest.op7_nearest,
+    "op8_packed_rows": packing.op8_packed_rows,
     "op9_vector_groups": vector_groups.op9_vector_groups,
     "op10_toxicity": toxicity.op10_toxicity,
 }

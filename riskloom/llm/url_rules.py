@@ -47,7 +47,8 @@ def _labels(host: Column) -> Column:
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
     """``(verdict, host, path)`` tuples as a table."""
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    rows = [F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules]
+    return spark.range(1).select(F.inline(F.array(*rows))) if rows else spark.range(0).selectExpr("'' AS verdict", "'' AS host", "'' AS path")
 
 
 def _ends(rules: DataFrame) -> DataFrame:
