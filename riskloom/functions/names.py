@@ -74,7 +74,7 @@ def nearest_udf(corpus: Corpus, most: int = 2):
     return nearest
 
 
-def affix_forms(name: Column, ecosystem: str, affixes: tuple[str, ...]) -> Column:
+def affix_forms(name: Column, affixes: tuple[str, ...]) -> Column:
     """``(stripped, affix)`` for each affix, taken off in front, behind, and without a separator, in that order."""
     tries = []
     for affix in affixes:

@@ -60,13 +60,18 @@ def _install_hook() -> Column:
 
 def _affix(corpus: Corpus) -> Column:
     """The first affix, in the order of the list, that leaves a popular name of four letters or more."""
-    name, out = names.compared_name(F.col("ecosystem"), F.col("name")), F.array().cast(_NONE)
-    for ecosystem, affixes in fixed.AFFIXES.items():
+    name = names.compared_name(F.col("ecosystem"), F.col("name"))
+
+    def of(ecosystem: str) -> Column:
         known = F.array(*[F.lit(n) for n in corpus.names(ecosystem)])
-        forms = F.filter(names.affix_forms(name, ecosystem, affixes), lambda f, known=known: (f["stripped"] != name) & (F.length(f["stripped"]) >= 4) & F.array_contains(known, f["stripped"]))
+        forms = F.filter(names.affix_forms(name, fixed.AFFIXES[ecosystem]), lambda f: (f["stripped"] != name) & (F.length(f["stripped"]) >= 4) & F.array_contains(known, f["stripped"]))
         hit = F.try_element_at(forms, F.lit(1))
         text = F.concat(F.lit('"'), hit["stripped"], F.lit('" with "'), hit["affix"], F.lit('" attached'))
-        out = F.when(F.col("ecosystem") == ecosystem, _one(hit.isNotNull() & ~F.array_contains(known, name), text)).otherwise(out)
+        return _one(hit.isNotNull() & ~F.array_contains(known, name), text)
+
+    out = F.array().cast(_NONE)
+    for ecosystem in fixed.AFFIXES:
+        out = F.when(F.col("ecosystem") == ecosystem, of(ecosystem)).otherwise(out)
     return out
 
 
