@@ -49,7 +49,7 @@ SELECT p_partkey AS id,
     ELSE NULL END AS resolved,
   CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'sha512-x' END AS integrity,
   p_partkey % 2 = 0 AS direct,
-  concat('app', cast(p_partkey % 20 AS string), '/', CASE p_partkey % 3 WHEN 0 THEN 'package-lock.json' WHEN 1 THEN 'yarn.lock' ELSE 'Pipfile.lock' END) AS origin
+  concat('app', cast(p_partkey AS string), '/', CASE p_partkey % 3 WHEN 0 THEN 'package-lock.json' WHEN 1 THEN 'yarn.lock' ELSE 'Pipfile.lock' END) AS origin
 FROM part"""
 
 #: Spark SQL and DuckDB SQL differ here only in how a string type is called.
@@ -64,7 +64,7 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RELEASES = """
 SELECT concat('pkg', cast(user_id AS string)) AS name, concat('1.', cast(event_id AS string)) AS version,
   strftime(ts, '%Y-%m-%dT%H:%M:%S') AS published_at,
-  concat(event_type, cast(event_id % 3 AS string)) AS publisher,
+  concat(event_type, cast(event_id % 97 AS string)) AS publisher,
   CASE WHEN event_id % 4 = 0 THEN NULL ELSE cast(floor(value * 1000) AS bigint) END AS unpacked_size
 FROM events"""
 
@@ -114,8 +114,8 @@ def hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGES = """
-SELECT DISTINCT 'npm' AS ecosystem, concat('p', cast(l_partkey % 60 AS string)) AS parent, concat('p', cast(l_suppkey % 60 AS string)) AS child
-FROM lineitem WHERE l_orderkey % 23 = 0 AND l_partkey % 60 <> l_suppkey % 60"""
+SELECT DISTINCT 'npm' AS ecosystem, concat('p', cast(l_partkey % 600 AS string)) AS parent, concat('p', cast(l_suppkey % 600 AS string)) AS child
+FROM lineitem WHERE l_orderkey % 23 = 0 AND l_partkey % 600 <> l_suppkey % 600"""
 SQL["edges"] = _EDGES.replace("AS string", "AS VARCHAR")
 
 

@@ -544,10 +544,10 @@ def lockfile_round_trip(spark, sf_dir):
     return parsed.select(F.substring_index("name", "|", -1).cast("bigint").alias("id"), F.substring_index("name", "|", 1).alias("name"), "version", "resolved", "integrity", "direct")
 
 
-@query(f"WITH packages AS ({SQL['packages']}) SELECT ecosystem, name, version, origin, bool_or(direct) AS direct FROM packages GROUP BY ALL")
+@query(f"WITH packages AS ({SQL['packages']}) SELECT ecosystem, name, version, regexp_replace(origin, '^app[0-9]+/', '') AS origin, bool_or(direct) AS direct FROM packages GROUP BY ALL")
 def package_dedupe(spark, sf_dir):
     """One row per release and manifest, direct if any is."""
-    rows = inputs.packages(spark, sf_dir)
+    rows = inputs.packages(spark, sf_dir).withColumn("origin", F.regexp_replace("origin", "^app[0-9]+/", ""))
     return manifests.dedupe(rows.drop("id")).select("ecosystem", "name", "version", "origin", "direct")
 
 
