@@ -32,11 +32,12 @@ _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 class PieceCodec:
     """Encoder and decoder of one merge-type model, given as the model file's bytes.
 
-    ``cached`` words at most are remembered.  The model must be of merge type
+    ``cached`` words at most are remembered.  ``unstable`` are the pieces that
+    merging their own characters does not give, found here if not given.  The model must be of merge type
     with the identity normalizer, keep white space and fall back to bytes.
     """
 
-    def __init__(self, model: bytes, cached: int = 300_000):
+    def __init__(self, model: bytes, cached: int = 500_000, unstable: frozenset[str] | None = None):
         from sentencepiece import sentencepiece_model_pb2 as layout
 
         proto = layout.ModelProto()
@@ -62,14 +63,16 @@ class PieceCodec:
             raise ValueError("a piece spans two words")
         self.runs = {len(p) for p in inner} | {1}
         self.automaton = ahocorasick.Automaton()
+        self.letters = frozenset(p for p in self.score if len(p) == 1)
+        self.stable: dict[str, bool] = {}
         for p in self.score:
-            if p not in inner:
-                self.automaton.add_word(p, p)
+            if p not in inner and (p not in unstable if unstable is not None else self._is_stable(p)):
+                self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
+        self.text_of_id = {p: str(i) for p, i in self.id_of.items()}
         self.cached = cached
         self.words: dict[str, tuple[int, str, str]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.stable: dict[str, bool] = {}
         self.shorter: dict[str, str | None] = {}
         self.run_of: dict[int, list[int]] = {}
 
@@ -98,7 +101,7 @@ class PieceCodec:
         """The longest stable piece that is a proper prefix."""
         if piece not in self.shorter:
             cut = piece[:-1]
-            while cut and not (cut in self.score and self._is_stable(cut)):
+            while cut and cut not in self.automaton:
                 cut = cut[:-1]
             self.shorter[piece] = cut or None
         return self.shorter[piece]
@@ -109,17 +112,18 @@ class PieceCodec:
         """The pieces of a string all of whose characters are pieces."""
         n = len(text)
         longest: list[str | None] = [None] * n
-        for end, piece in self.automaton.iter(text):
-            start = end - len(piece) + 1
-            if (longest[start] is None or len(longest[start]) < len(piece)) and self._is_stable(piece):
-                longest[start] = piece
+        for end, (before, piece) in self.automaton.iter(text):  # of one start, longer matches end later
+            longest[end - before] = piece
         failed = 0
         taken: list[str] = []
-        at, piece = 0, longest[0]
+        last = None
+        at, piece, pairs = 0, longest[0], self.pairs
         while at < n:
             while piece is not None:
-                if not failed >> (at + len(piece)) & 1 and (not taken or self._may_follow(taken[-1], piece)):
-                    break
+                if not failed >> (at + len(piece)) & 1:
+                    may = last is None or pairs.get((last, piece))
+                    if may or (may is None and self._may_follow(last, piece)):
+                        break
                 piece = self._next_shorter(piece)
             if piece is None:
                 failed |= 1 << at
@@ -127,20 +131,23 @@ class PieceCodec:
                     raise AssertionError("a string of known characters has an encoding")
                 piece = taken.pop()
                 at -= len(piece)
+                last = taken[-1] if taken else None
                 piece = self._next_shorter(piece)
                 continue
             taken.append(piece)
+            last = piece
             at += len(piece)
             piece = longest[at] if at < n else None
         return taken
 
     def _pieces_of(self, word: str) -> list[str | int]:
         """Pieces of a marked word; ids stand for the bytes of characters that are none."""
+        if self.letters.issuperset(word):
+            return self._known(word)
         out: list[str | int] = []
-        known = self.score
         start = 0
         for i, c in enumerate(word):
-            if c not in known:
+            if c not in self.letters:
                 if start < i:
                     out += self._known(word[start:i])
                 out += [self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")]
@@ -179,8 +186,13 @@ class PieceCodec:
         """Of a mark and ``word``: whether the mark is a piece by itself is told by ids that begin with it."""
         found = self.words.get(word)
         if found is None:
-            ids = [p if isinstance(p, int) else self.id_of[p] for p in self._pieces_of(MARK + word)]
-            found = (len(ids), " ".join(map(str, ids)), self._surface(ids))
+            marked = MARK + word
+            if self.letters.issuperset(marked):
+                pieces = self._known(marked)
+                found = (len(pieces), " ".join(map(self.text_of_id.__getitem__, pieces)), "".join(pieces).replace(MARK, " "))
+            else:
+                ids = [p if isinstance(p, int) else self.id_of[p] for p in self._pieces_of(marked)]
+                found = (len(ids), " ".join(map(str, ids)), self._surface(ids))
             if len(word) <= 64:
                 if len(self.words) >= self.cached:
                     self.words.clear()
@@ -277,17 +289,20 @@ def _utf8(held: bytearray) -> str:
 _OPEN: dict[bytes, PieceCodec] = {}
 
 
-def codec_of(model: bytes) -> PieceCodec:
-    """One codec per model and worker process."""
+def codec_of(model: bytes, unstable: frozenset[str] | None = None) -> PieceCodec:
+    """One codec per model and process."""
     key = hashlib.sha256(model).digest()
     if key not in _OPEN:
-        _OPEN[key] = PieceCodec(model)
+        _OPEN[key] = PieceCodec(model, unstable=unstable)
     return _OPEN[key]
 
 
-def _read(path: str) -> bytes:
+def _read(path: str) -> tuple[bytes, frozenset[str]]:
+    """A model file and its unstable pieces, found once, on the driver."""
     with open(path, "rb") as f:
-        return f.read()
+        model = f.read()
+    codec = codec_of(model)
+    return model, frozenset(p for p in codec.score if MARK not in p[1:] and p not in codec.automaton)
 
 
 def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -296,7 +311,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str =
     at, schema = df.columns.index(text), T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(model.value)
+        codec = codec_of(*model.value)
         for batch in batches:
             ids = pa.array([codec.encode(t.as_py()) for t in batch.column(at)], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
@@ -310,7 +325,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "
     at, schema = df.columns.index(ids), T.StructType([*df.schema.fields, T.StructField(out, T.StringType(), False)])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(model.value)
+        codec = codec_of(*model.value)
         for batch in batches:
             texts = pa.array([codec.decode(x.as_py() or []) for x in batch.column(at)], type=pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out])
@@ -329,7 +344,7 @@ def piece_round_trips(df: DataFrame, model_path: str, doc_id: str = "doc_id", te
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(model.value)
+        codec = codec_of(*model.value)
         for batch in batches:
             rows = [codec.round_trip(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
