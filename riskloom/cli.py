@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed
-from .operators import suppress, views
+from .operators import routes, suppress, views
 from .plans import scan as runs
 from .sinks import documents
 from .sources import history, manifests, settings
@@ -22,8 +22,11 @@ POLICY_FILE, BASELINE_FILE = "riskloom.toml", ".riskloom-baseline.json"
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="riskloom")
     sub = top.add_subparsers(dest="command", required=True)
-    for name in ("scan", "baseline", "history"):
+    for name in ("scan", "baseline", "history", "init"):
         sub.add_parser(name).add_argument("path", nargs="?", default=".")
+    p = sub.add_parser("why")
+    p.add_argument("name")
+    p.add_argument("path", nargs="?", default=".")
     for name in ("check",):
         p = sub.add_parser(name)
         p.add_argument("names", nargs="+")
@@ -55,9 +58,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in fixed.RULES:
             print(f"{r.id}  {r.weight:>3}  {r.category:<10}  {r.title}{'  (online)' if r.online else ''}")
         return 0
+    if args.command == "init":
+        return _init(root)
     spark = spark or SparkSession.builder.appName("riskloom").getOrCreate()
     if args.command == "history":
         return _history(args, spark, root, now)
+    if args.command == "why":
+        return _why(args, spark, root)
     if args.command == "check":
         report = runs.check(spark, args.names, now, args.ecosystem, policy)
     elif args.command == "diff":
@@ -83,6 +90,35 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return views.gate(report.verdicts, args.fail_on or policy.fail_on).first()["exit_code"]
 
 
+def _init(root: str) -> int:
+    """Write a policy file with the defaults; one that is there stays."""
+    path = os.path.join(root, POLICY_FILE)
+    if os.path.exists(path):
+        print(f"{path} is there already")
+        return 0
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('fail_on = "high"\nfresh_days = 14\ncorrelate = true\ndisable = []\n')
+    print(f"wrote {path}")
+    return 0
+
+
+def _why(args: argparse.Namespace, spark: SparkSession, root: str, most: int = 6) -> int:
+    """The routes by which a package came in: of the exact name, else of names that hold it."""
+    texts = manifests.read_manifests(spark, root)
+    packages = manifests.dedupe(manifests.parse_manifests(texts))
+    edges = routes.lock_edges(manifests.lock_entries(texts))
+    names = packages.where("kind = 'package'").select("ecosystem", "name").distinct()
+    found = names.where(F.col("name") == args.name)
+    if found.isEmpty():
+        found = names.where(F.lower("name").contains(args.name.lower())).orderBy("name").limit(most)
+    rows = routes.routes_to(edges, routes.roots_of(edges, packages), found).orderBy("target", "turn").collect()
+    for r in rows:
+        print(" > ".join(r["route"]))
+    if not rows:
+        print(f"nothing brings {args.name} in")
+    return 0
+
+
 def _history(args: argparse.Namespace, spark: SparkSession, root: str, now: datetime) -> int:
     repo = history.top_folder(root)
     paths = [os.path.relpath(p, repo) for p in manifests.find_manifests(os.path.realpath(root))] if repo else []

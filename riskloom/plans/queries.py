@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..corpus import Corpus
-from ..functions import names, texts, urls
+from ..functions import names, texts, urls, versions
 from ..operators import changes, correlate, exposure, routes, rules, scoring, suppress, views
 from ..schema import complete, coord
 from ..sinks import documents
@@ -717,3 +717,52 @@ def campaign_report(spark, sf_dir):
     packages = stored(packages, "campaign-packages")
     found = correlate.correlate(packages, spark.createDataFrame([], "pkg_id string, rel string, text string"))
     return found.select("label", F.size("members").alias("members"), F.size("links").alias("links"), "burst")
+
+
+@query(f"WITH {_WINDOWS} SELECT name, version, first, CASE WHEN days < 1 THEN greatest(1, cast(round_even(days * 24, 0) AS bigint)) || ' hours' WHEN days < 60 THEN cast(round_even(days, 0) AS bigint) || ' days' ELSE cast(round_even(days / 30.44::double, 0) AS bigint) || ' months' END AS lasted FROM windows")
+def exposure_lengths(spark, sf_dir):
+    """How long each version was pinned, in words."""
+    return _windows(spark, sf_dir).select("name", "version", "first", texts.lasted(F.col("days")).alias("lasted"))
+
+
+@query(f"""WITH {_WINDOWS}, axis AS (SELECT min("when") AS a, greatest(max("when"), timestamp '2024-01-31') AS b FROM commits)
+SELECT name, version, w.first, round(epoch(e."when" - a) / epoch(b - a), 6) AS share FROM windows w JOIN commits e ON e.idx = w.first, axis""")
+def exposure_axis(spark, sf_dir):
+    """Where each window begins in the period that a history covers, from 0 to 1."""
+    axis = inputs.commits(spark, sf_dir).agg(F.min("when").alias("a"), F.greatest(F.max("when"), F.lit(AS_OF)).alias("b"))
+    share = exposure.axis_share(F.col("entered"), F.col("a"), F.col("b"))
+    return _windows(spark, sf_dir).crossJoin(F.broadcast(axis)).select("name", "version", "first", F.round(share, 6).alias("share"))
+
+
+@query("""SELECT brand AS name, arg_max(version, key) AS version FROM (
+  SELECT p_brand AS brand, p_size || '.' || (p_partkey % 13) || '.' || (p_partkey % 7) AS version, p_size * 10000 + (p_partkey % 13) * 100 + p_partkey % 7 AS key FROM part WHERE p_partkey % 3 <> 0) GROUP BY brand""")
+def newest_versions(spark, sf_dir):
+    """The highest plain version of each name; prereleases do not count."""
+    text = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 13).cast("string"), (F.col("p_partkey") % 7).cast("string"))
+    tagged = F.when(F.col("p_partkey") % 3 == 0, F.concat(text, F.lit("-rc.1"))).otherwise(text)
+    return versions.newest(table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), tagged.alias("version")))
+
+
+@query(f"""WITH packages AS ({SQL["packages"]}), installed AS (SELECT 'npm' AS ecosystem, name, min(id) AS least FROM packages WHERE id % 3 = 0 GROUP BY name)
+SELECT p.id, 'run ' || i.least AS script, '/modules/' || p.name AS source_dir FROM packages p JOIN installed i ON i.name = p.name AND p.ecosystem = i.ecosystem""")
+def installed_scripts(spark, sf_dir):
+    """Install scripts and folders of the installed copies of packages."""
+    rows = inputs.packages(spark, sf_dir)
+    found = rows.where("id % 3 = 0").groupBy("name").agg(F.min("id").alias("least"))
+    none = F.lit(None).cast("string")
+    script = F.create_map(F.lit("install"), F.concat(F.lit("run "), F.col("least").cast("string")))
+    installed = found.select(F.lit("npm").alias("ecosystem"), "name", script.alias("scripts"), none.alias("repository"), none.alias("homepage"), F.concat(F.lit("/modules/"), "name").alias("source_dir"))
+    out = manifests.attach_installed(rows, installed)
+    return out.where("source_dir IS NOT NULL").select("id", F.col("scripts")["install"].alias("script"), "source_dir")
+
+
+@query()
+def whole_scan(spark, sf_dir):
+    """Lockfile texts to verdicts: parsed, merged, judged by all offline rules, correlated and scored."""
+    rows = inputs.packages(spark, sf_dir).where("ecosystem = 'npm'")
+    entry = F.struct("version", "resolved", "integrity")
+    path = F.concat(F.lit("node_modules/x"), F.col("id").cast("string"), F.lit("/node_modules/"), "name")
+    docs = rows.groupBy((F.col("id") % 20).alias("app")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(path, entry))).alias("packages"))).alias("text"))
+    origin = F.concat(F.lit("app"), F.col("app").cast("string"), F.lit("/package-lock.json"))
+    texts_ = docs.select(F.lit("").alias("project"), origin.alias("origin"), F.lit("package-lock.json").alias("basename"), "text")
+    return scan.scan(texts_, AS_OF, corpus=CORPUS).verdicts.select("name", "version", "origin", "score", "severity", F.array_join("findings.rule_id", ",").alias("found"))

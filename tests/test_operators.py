@@ -226,3 +226,13 @@ def test_command_line_over_a_repository(spark, tmp_path, capsys):
     assert cli.main(["diff", str(tmp_path), "--since", "HEAD~1", "--format", "json"], spark) == 0
     assert json.loads(capsys.readouterr().out)["summary"]["changed"] == 1
     assert cli.main(["check", "lodahs", "--fail-on", "medium"], spark) == 1
+
+
+def test_why_and_init(spark, tmp_path, capsys):
+    lock = {"packages": {"": {"dependencies": {"app-kit": "1"}}, "node_modules/app-kit": {"version": "1", "dependencies": {"colorz": "1"}}, "node_modules/colorz": {"version": "1"}}}
+    (tmp_path / "package-lock.json").write_text(json.dumps(lock))
+    assert cli.main(["why", "color", str(tmp_path)], spark) == 0
+    assert capsys.readouterr().out == "app-kit > colorz\n"
+    assert cli.main(["init", str(tmp_path)]) == 0 and cli.main(["init", str(tmp_path)]) == 0
+    assert "there already" in capsys.readouterr().out
+    assert settings.read_policy(str(tmp_path / "riskloom.toml"), date(2026, 1, 1)) == settings.Policy()
