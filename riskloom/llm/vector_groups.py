@@ -28,7 +28,7 @@ from .runtime import materialize, narrow, table
 from .vectors import matrix, usable
 
 #: Rows that a cell should have; larger ones are cut again.
-CELL = 4_096
+CELL = 8_192
 #: Pivots of one cut: about so many rows chosen by hash, whatever the cell's size.
 PIVOTS = 16
 #: A vector joins every cell whose pivot is at most this much farther than its nearest.
