@@ -190,7 +190,7 @@ def repeat_to_mix(df: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame
     mixed = mix_sources(df, doc_id=doc_id, **options)
     copies = unused_name(df, "copies")
     taken = mixed.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
-    found = df.join(taken, F.col(f"`{doc_id}`").eqNullSafe(F.col("mixed_id"))).drop("mixed_id")
+    found = df.join(taken.hint("shuffle_hash"), F.col(f"`{doc_id}`").eqNullSafe(F.col("mixed_id"))).drop("mixed_id")
     turn = unused_name(found, "turn")
     return found.withColumn(turn, F.explode(F.expr(f"sequence(1L, `{copies}`)"))).drop(copies, turn)
 

@@ -138,7 +138,7 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
         "simhash-kept",
     )
     copies = unused_name(df, "copies")
-    found = df.join(kept.withColumnRenamed("n", copies), F.col(f"`{doc_id}`").eqNullSafe(F.col("kept_id"))).drop("kept_id")
+    found = df.join(kept.withColumnRenamed("n", copies).hint("shuffle_hash"), F.col(f"`{doc_id}`").eqNullSafe(F.col("kept_id"))).drop("kept_id")
     alone = found.where(F.col(copies) == 1)
     rank = unused_name(df, "rank")
     order = Window.partitionBy(doc_id).orderBy(F.col(f"`{text}`"))
