@@ -32,6 +32,8 @@ FIRST_RADIUS, GROWTH = 0.3, 1.2
 #: Rows of a block of vectors: a sixteenth of all, between these.
 LEAST_BLOCK, MOST_BLOCK = 2_048, 65_536
 QUERY_BLOCK = 4_096
+#: Above twice any projection of a unit vector; above what the order of a sum may change.
+_APART, _ROUNDING = 1_000.0, 1e-9
 _INSIDE = 0.6826894921370859  # of a normal variable, within one standard deviation: HALF_WIDTH's collision probability
 
 
@@ -45,16 +47,18 @@ class CollisionIndex:
         self.directions = np.random.default_rng([seed, dims]).standard_normal((dims, PROJECTIONS))
         projected = (vectors / self.norms[:, None]) @ self.directions
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy().astype(np.int32)
-        self.sorted = np.take_along_axis(projected, self.order.T.astype(np.int64), axis=0).T.copy()
+        # One array after the other, each moved to a range of its own: one binary search serves all windows.
+        self.shift = _APART * np.arange(PROJECTIONS)
+        self.sorted = (np.take_along_axis(projected, self.order.T.astype(np.int64), axis=0) + self.shift).T.ravel()
+        self.order = self.order.ravel()
         self.needed = int(np.floor(PROJECTIONS * _INSIDE - MISS * np.sqrt(PROJECTIONS * _INSIDE * (1 - _INSIDE))))
 
     def search(self, query: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of about the ``k`` nearest; ``skip`` is a place that takes no part."""
         n = len(self.vectors)
         norm = np.sqrt((query * query).sum())
-        at = (query / norm) @ self.directions
-        low = np.array([np.searchsorted(s, a) for s, a in zip(self.sorted, at)])
-        high = low.copy()
+        at = (query / norm) @ self.directions + self.shift
+        low = high = np.searchsorted(self.sorted, at)
         hits = np.zeros(n, np.int32)
         verified = np.zeros(n, bool)
         cosine = np.full(n, -np.inf)
@@ -63,27 +67,24 @@ class CollisionIndex:
         radius = FIRST_RADIUS
         while True:
             half = HALF_WIDTH * radius
-            parts = []
-            for j in range(PROJECTIONS):
-                a = self.sorted[j].searchsorted(at[j] - half)
-                b = self.sorted[j].searchsorted(at[j] + half, side="right")
-                parts.append(self.order[j, a : low[j]])
-                parts.append(self.order[j, high[j] : b])
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
+            wider, higher = np.searchsorted(self.sorted, at - half), np.searchsorted(self.sorted, at + half, side="right")
+            parts = [self.order[a:b] for a, b in zip([*wider, *high], [*low, *higher])]
+            low, high = wider, higher
             hits += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
             new = np.nonzero((hits >= self.needed) & ~verified)[0] if radius < 2 else np.nonzero(~verified)[0]
             if len(new):
                 verified[new] = True
-                cosine[new] = (self.vectors[new] * query).sum(axis=1) / (self.norms[new] * norm)
+                cosine[new] = self.vectors.take(new, axis=0) @ query / (self.norms[new] * norm)
             inside = 1 - radius * radius / 2
-            if radius >= 2 or (cosine >= inside).sum() >= k:
+            if radius >= 2 or (cosine >= inside - _ROUNDING).sum() >= k:
                 break
             radius *= GROWTH
         found = np.nonzero(cosine > -np.inf)[0]
         if len(found) > k:
             edge = np.partition(cosine[found], len(found) - k)[len(found) - k]
-            found = found[cosine[found] >= edge]
-        return found, cosine[found]
+            found = found[cosine[found] >= edge - _ROUNDING]
+        # Summed row by row, so that equal vectors have equal cosines.
+        return found, (self.vectors[found] * query).sum(axis=1) / (self.norms[found] * norm)
 
 
 def _search_block(k: int):
