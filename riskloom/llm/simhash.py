@@ -130,9 +130,8 @@ def near_duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "te
     return docs.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their group; rows that share an id are one document, of which one row stays."""
-    groups = near_duplicate_groups(df, doc_id, text, **options)
+def keep_first(df: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose id is its group's in ``groups`` (doc_id, component_id); rows that share an id are one document, of which one row stays."""
     kept = materialize(
         groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("kept_id"), "n"),
         "simhash-kept",
@@ -146,6 +145,11 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return alone.unionByName(repeated).drop(copies)
 
 
+def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of their group; rows that share an id are one document, of which one row stays."""
+    return keep_first(df, near_duplicate_groups(df, doc_id, text, **options), doc_id, text)
+
+
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: words in threes, links of two bits or fewer."""
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
