@@ -9,8 +9,9 @@ that neither has seen by neither.  A word's evidence is the difference of its
 two log-likelihoods over its length; a document's is that of its strongest
 word, which a logistic curve turns into a score.
 
-All labelled rows are counted, in Spark.  The model that leaves Spark is two
-tables of at most ``2**SLOT_BITS`` rows each.
+All labelled rows are counted, in Spark, and every gram counted is kept.  The
+model that leaves Spark is two tables sorted by id, of all grams and of all
+contexts; it grows with the different spellings, at 12 bytes a row for scoring.
 """
 
 from __future__ import annotations
@@ -26,13 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chargrams import LETTERS, WordGrams, slot_column, slots
+from .chargrams import LETTERS, WordGrams
 from .runtime import materialize, narrow, table, unused_name
 
 #: Characters of a gram of the class-conditional order, and of the shared one.
 ORDER, SHARED = 5, 3
-#: Places of each of the model's tables; of grams that meet in one the most frequent stays.
-SLOT_BITS = 20
 #: The logistic curve is fitted on about so many labelled rows at most.
 CURVE_ROWS = 20_000
 #: Rows are scored in groups of about so many characters.
@@ -126,7 +125,7 @@ def _by_model() -> dict[str, tuple[Column, Column]]:
 
 
 def _model_tables(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Evidence of known grams, and of other characters after known contexts: ``(slot, id, all, first, second)``."""
+    """Evidence of known grams, and of other characters after known contexts: ``(id, all, first, second)``."""
     total = F.col("o0") + F.col("t0") + F.col("o1") + F.col("t1")
     once = grams.agg(F.count_if(total == 1).alias("one"), F.count_if(total == 2).alias("two")).first()
     one, two = once["one"] or 0, once["two"] or 0
@@ -152,14 +151,10 @@ def _model_tables(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
         return own + left_over(side, name) * F.col("lower")
 
     joined = grams.join(seen, "context").join(lower, "shared")
-    known = joined.select(F.col("gram").alias("id"), total.alias("weight"), *[(F.ln(chance("t", m)) - F.ln(chance("o", m))).alias(m) for m in _MODELS])
-    other = seen.select(F.col("context").alias("id"), (F.col("n_o_all") + F.col("n_t_all")).alias("weight"), *[(F.ln(left_over("t", m)) - F.ln(left_over("o", m))).alias(m) for m in _MODELS])
+    known = joined.select(F.col("gram").alias("id"), *[(F.ln(chance("t", m)) - F.ln(chance("o", m))).cast("float").alias(m) for m in _MODELS])
+    other = seen.select(F.col("context").alias("id"), *[(F.ln(left_over("t", m)) - F.ln(left_over("o", m))).cast("float").alias(m) for m in _MODELS])
 
-    def slotted(rows: DataFrame) -> DataFrame:
-        best = F.max(F.struct("weight", "id", *_MODELS)).alias("x")
-        return rows.groupBy(F.expr(slot_column("id", SLOT_BITS)).alias("slot")).agg(best).select("slot", "x.id", *[F.col(f"x.{m}").cast("float").alias(m) for m in _MODELS])
-
-    return slotted(known), slotted(other)
+    return known, other
 
 
 @dataclass
@@ -171,6 +166,11 @@ class ToxicityModel:
     slope: float = 0.0
     offset: float = -30.0
 
+    def only(self, *models: str) -> ToxicityModel:
+        """The same curve and tables, without the evidence of other models."""
+        (known, k), (other, o) = self.known, self.other
+        return ToxicityModel((known, {m: k[m] for m in models}), (other, {m: o[m] for m in models}), self.slope, self.offset)
+
     def evidence(self, words: list[str], model: str = "all") -> np.ndarray:
         """Difference of the log-likelihoods of each word, over its length."""
         if not words:
@@ -180,7 +180,9 @@ class ToxicityModel:
         found = np.zeros(len(at), np.float32)
         missing = np.ones(len(at), bool)
         for (tags, values), key in ((self.known, "gram"), (self.other, "context")):
-            place = slots(ids[key].view(np.uint64), SLOT_BITS)
+            if not len(tags):
+                continue
+            place = np.minimum(np.searchsorted(tags, ids[key]), len(tags) - 1)
             hit = missing & (tags[place] == ids[key])
             found[hit] = values[model][place[hit]]
             missing &= ~hit
@@ -224,15 +226,11 @@ def _fit_curve(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 1e-3) ->
 
 
 def _collected(rows: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """A slotted table (at most ``2**SLOT_BITS`` rows) as arrays by slot."""
+    """A table of evidence as arrays, sorted by id."""
     got = rows.toArrow()
-    tags = np.full(1 << SLOT_BITS, np.iinfo(np.int64).min, np.int64)
-    place = got.column("slot").to_numpy()
-    tags[place] = got.column("id").to_numpy()
-    values = {m: np.zeros(1 << SLOT_BITS, np.float32) for m in _MODELS}
-    for m in _MODELS:
-        values[m][place] = got.column(m).to_numpy()
-    return tags, values
+    tags = got.column("id").to_numpy()
+    order = np.argsort(tags)
+    return tags[order], {m: got.column(m).to_numpy()[order] for m in _MODELS}
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -260,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     grams = materialize(count_grams(rows), "toxicity-grams")
     per_class = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(per_class) < 2 or grams.isEmpty():
-        empty = (np.full(1 << SLOT_BITS, np.iinfo(np.int64).min, np.int64), {m: np.zeros(1 << SLOT_BITS, np.float32) for m in _MODELS})
+        empty = (np.zeros(0, np.int64), {m: np.zeros(0, np.float32) for m in _MODELS})
         return ToxicityModel(empty, empty)
     known, other = _model_tables(grams)
     model = ToxicityModel(_collected(known), _collected(other))
@@ -269,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     dice = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1_000_000
     chosen = marks.where(dice < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]))  # about CURVE_ROWS rows at most
     chosen = narrow(docs, doc_id=doc_id, text=text).join(F.broadcast(chosen), "doc_id").select("toxic", half.alias("half"), "text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SLOT_BITS
+    sent = docs.sparkSession.sparkContext.broadcast(model.only("first", "second"))
 
     def other_half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _grouped(batches, 2):
@@ -294,7 +292,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     """
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType(), False), T.StructField("expression", T.StringType())])
     at = docs.columns.index(text)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SLOT_BITS
+    sent = docs.sparkSession.sparkContext.broadcast(model.only("all"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _grouped(batches, at):
