@@ -8,10 +8,10 @@ zero or one.  What a source takes then changes only by the rounding of its last
 unsettled document, and ``made_up`` documents of the size that is nearest to
 that difference make up for it.
 
-The pairing is a reduction tree: rows are dealt to groups of about ``fan_in``
-whatever their source's size, each group is settled but for one document by a
-fold over its rows from the largest to the smallest, and those that are left go
-on to the next level.  DataFrame functions only.
+The pairing is a reduction tree: the rows of each source are dealt to groups of
+about ``fan_in``, each group is settled but for one document by a fold over its
+rows from the largest to the smallest, and those that are left go on to the
+next level, until their source has a single group.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import materialize, narrow, table, unused_name
+from .runtime import keyed, materialize, narrow, table, unused_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 _ALMOST = 1e-9
-_ITEM = "struct<size:bigint,doc_id:bigint,copy_no:int,p:double>"
+_ITEM = "struct<size:bigint,doc_id:bigint,copy_no:bigint,p:double>"
+#: Rows of one class that are numbered at a time.
+BLOCK = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
@@ -96,6 +98,71 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, lambda acc, x: F.when(acc["carry"].isNull(), first(acc, x)).otherwise(_pivot(acc["carry"], x, acc["done"], seed)))
 
 
+def _joined(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on columns of the same names in which null equals null."""
+    other = right.withColumnsRenamed({c: f"{c}_of_other" for c in names})
+    found = left.join(other, [F.col(c).eqNullSafe(F.col(f"{c}_of_other")) for c in names], how)
+    return found.drop(*[f"{c}_of_other" for c in names])
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``copy_no`` from 1 to ``n``, a row each; classes of very many rows are dealt to tasks in blocks."""
+    few = classes.where(F.col("n") <= BLOCK).withColumn("copy_no", F.explode(F.expr("sequence(1L, n)")))
+    blocks = classes.where(F.col("n") > BLOCK).withColumn("first", F.explode(F.expr(f"sequence(1L, n, {BLOCK}L)"))).repartition("doc_id", "size", "first")
+    many = blocks.withColumn("copy_no", F.explode(F.expr(f"sequence(first, least(first + {BLOCK - 1}L, n))"))).drop("first")
+    return few.unionByName(many)
+
+
+def _mixed(sizes: DataFrame, weights: Sequence[float], most: float, seed: int, fan_in: int, made_up: int) -> DataFrame:
+    """``sizes`` (source, doc_id, size) to ``source, doc_id, size, source_size, target, copy_no, copies``.
+
+    Equal rows are counted first and told apart by ``copy_no``, from 1.
+    """
+    classes = sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n"))
+    targets = materialize(source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
+    wanted = _joined(classes, targets, ["source"], "left")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(ratio + _ALMOST)
+    wanted = wanted.withColumn("whole", whole).withColumn("p", F.greatest(ratio - whole, F.lit(0.0)))
+    open_ = (F.col("size") > 0) & (F.col("p") > _ALMOST)
+    columns = ("source", "doc_id", "size", "source_size", "target", "whole", "copy_no", "open", "extra")
+    numbered = materialize(_numbered(wanted.withColumn("open", open_)), "mix-numbered")
+    settled = [numbered.where("NOT open").withColumn("extra", F.lit(0)).select(*columns)]
+
+    open_rows = numbered.where("open")
+    groups_of = lambda n: F.ceil(n / F.lit(fan_in)).cast("long")
+    counts = materialize(open_rows.groupBy("source").agg(groups_of(F.count("*")).alias("groups")), "mix-groups")
+    largest = counts.agg(F.max("groups")).first()[0] or 0
+    rows = _joined(open_rows, counts, ["source"])
+    level = 0
+    key = ("source", "source_size", "target", "whole", "groups")
+    done_columns = [F.lit(True).alias("open"), F.round("p").cast("int").alias("extra")]
+    while largest:
+        # A source of one group is down to one open row after this level, and goes no further.
+        dealt = F.pmod(F.xxhash64("doc_id", "copy_no", "size", F.lit(seed + level)), F.col("groups"))
+        items = F.collect_list(F.struct("size", "doc_id", "copy_no", "p"))
+        folded = rows.groupBy(*key, dealt.alias("group")).agg(_fold(F.sort_array(items, asc=False), seed + level).alias("fold"))
+        folded = materialize(folded.select(*key, "fold.carry", "fold.done"), f"mix-level-{level}")
+        settled.append(folded.select(*key, F.explode("done").alias("x")).select(*key, "x.*").select("*", *done_columns).select(*columns))
+        last = F.shiftrightunsigned(F.xxhash64("doc_id", "copy_no", "size", F.lit(~seed)), 11) / F.lit(float(1 << 53)) < F.col("p")
+        left = folded.where("carry IS NOT NULL").select(*key, "carry.*")
+        settled.append(left.where("groups = 1").withColumns({"open": F.lit(True), "extra": last.cast("int")}).select(*columns))
+        rows = left.where("groups > 1").withColumn("groups", groups_of(F.col("groups")))
+        largest = 0 if largest == 1 else -(-largest // fan_in)
+        level += 1
+
+    rounded = settled[0]
+    for part in settled[1:]:
+        rounded = rounded.unionByName(part)
+    rounded = _make_up(materialize(rounded, "mix-rounded"), made_up)
+    return rounded.withColumn("copies", (F.col("whole") + F.col("extra")).cast("long"))
+
+
+def _sizes(df: DataFrame, *more: str, **columns: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return narrow(df, **columns).select(F.col("doc_id").cast("long"), "source", size.alias("size"), *more)
+
+
 def mix_sources(
     df: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -114,43 +181,16 @@ def mix_sources(
     rows, each with its own copies.  Reruns agree, whatever the partitions.  An
     empty table gives an empty one, and no other column is read.  ``doc_id`` is
     an integer and may be null.
-    """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    docs = materialize(narrow(df, doc_id=doc_id, source=source, text=text).select(F.col("doc_id").cast("long"), "source", size.alias("size")), "mix-sizes")
-    targets = materialize(source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
-    wanted = docs.join(targets, docs["source"].eqNullSafe(targets["source"]), "left").select("doc_id", docs["source"].alias("source"), "size", "source_size", "target")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(ratio + _ALMOST)
-    wanted = wanted.withColumn("whole", whole).withColumn("p", F.greatest(ratio - whole, F.lit(0.0)))
-    open_ = (F.col("size") > 0) & (F.col("p") > _ALMOST)
-    columns = ("source", "doc_id", "size", "source_size", "target", "whole", "copy_no", "extra")
-    settled = [wanted.where(~open_).withColumns({"copy_no": F.lit(None).cast("int"), "extra": F.lit(0)}).select(*columns)]
 
-    repeats = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    rows = wanted.where(open_).withColumn("copy_no", F.row_number().over(repeats).cast("int"))
-    count = docs.count()
-    level = 0
-    key = ("source", "source_size", "target", "whole")
-    while True:
-        groups = max(1, -(-count // fan_in))
-        dealt = F.pmod(F.xxhash64("doc_id", "copy_no", "size", F.lit(seed + level)), F.lit(groups))
-        items = F.collect_list(F.struct("size", "doc_id", "copy_no", "p"))
-        folded = rows.groupBy(*key, dealt.alias("group")).agg(_fold(F.sort_array(items, asc=False), seed + level).alias("fold"))
-        folded = materialize(folded.select(*key, "fold.carry", "fold.done"), f"mix-level-{level}")
-        settled.append(folded.select(*key, F.explode("done").alias("x")).select(*key, "x.*").withColumn("extra", F.round("p").cast("int")).select(*columns))
-        rows = folded.where("carry IS NOT NULL").select(*key, "carry.*")
-        if groups == 1:
-            break
-        count, level = rows.count(), level + 1
-    last = F.shiftrightunsigned(F.xxhash64("doc_id", "copy_no", "size", F.lit(~seed)), 11) / F.lit(float(1 << 53)) < F.col("p")
-    settled.append(rows.withColumn("extra", last.cast("int")).select(*columns))
-
-    rounded = settled[0]
-    for part in settled[1:]:
-        rounded = rounded.unionByName(part)
-    rounded = _make_up(materialize(rounded, "mix-rounded"), made_up)
-    copies = (F.col("whole") + F.col("extra")).cast("long")
-    return rounded.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    The levels of the tree are as many as the logarithm, to the base
+    ``fan_in``, of the rows of the largest source; the number of sources does
+    not matter.  Every document's expected copies are its wanted ones up to the
+    at most ``made_up`` documents of a source that are turned at the end, which
+    trade that for a total nearer to the target.
+    """
+    sizes = materialize(_sizes(df, doc_id=doc_id, source=source, text=text), "mix-sizes")
+    mixed = _mixed(sizes, weights, most, seed, fan_in, made_up)
+    return mixed.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _make_up(rounded: DataFrame, rounds: int) -> DataFrame:
@@ -158,40 +198,66 @@ def _make_up(rounded: DataFrame, rounds: int) -> DataFrame:
 
     Only per-source minima move; a source that no document brings nearer keeps its copies.
     """
-    same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
+    row = ("source", "doc_id", "size", "copy_no")
     off = materialize(rounded.groupBy("source").agg((F.sum((F.col("whole") + F.col("extra")) * F.col("size")) - F.first("target")).alias("off")), "mix-off")
     turned = None
     for k in range(rounds):
-        open_ = rounded.where("copy_no IS NOT NULL").select("source", "doc_id", "size", "copy_no", "extra")
+        open_ = rounded.where("open").select(*row, "extra")
         if turned is not None:
-            open_ = open_.join(turned, same(open_, turned, "source", "doc_id", "size", "copy_no"), "left_anti")
-        near = open_.join(off, open_["source"].eqNullSafe(off["source"])).drop(off["source"])
-        rest = F.abs(F.col("off") + F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size")))
+            open_ = _joined(open_, turned, row, "left_anti")
+        near = _joined(open_, off, ["source"])
+        step = F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size"))
+        rest = F.abs(F.col("off") + step)
         choice = F.struct(rest.alias("rest"), "size", "doc_id", "copy_no", "extra")
         best = near.where(rest < F.abs("off")).groupBy("source").agg(F.min(choice).alias("x"))
         best = materialize(best.select("source", "x.*"), f"mix-turned-{k}")
-        step = F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size"))
-        off = materialize(off.join(best, off["source"].eqNullSafe(best["source"]), "left").select(off["source"], (F.col("off") + F.coalesce(step, F.lit(0))).alias("off")), "mix-off")
-        best = best.select("source", "doc_id", "size", "copy_no")
+        off = _joined(off, best.select("source", step.alias("step")), ["source"], "left")
+        off = materialize(off.select("source", (F.col("off") + F.coalesce("step", F.lit(0))).alias("off")), "mix-off")
+        best = best.select(*row)
         turned = best if turned is None else turned.unionByName(best)
     if turned is None:
         return rounded
-    turned = turned.withColumn("turn", F.lit(1))
-    found = rounded.join(turned, same(rounded, turned, "source", "doc_id", "size", "copy_no"), "left")
-    names = [rounded[c].alias(c) for c in rounded.columns if c != "extra"]
-    return found.select(*names, F.when(turned["turn"] == 1, 1 - rounded["extra"]).otherwise(rounded["extra"]).alias("extra"))
+    found = _joined(rounded, turned.withColumn("turn", F.lit(1)), row, "left")
+    return found.withColumn("extra", F.when(F.col("turn") == 1, 1 - F.col("extra")).otherwise(F.col("extra"))).drop("turn")
 
 
-def repeat_to_mix(df: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def repeat_to_mix(
+    df: DataFrame,
+    weights: Sequence[float] = (5, 2, 1),
+    doc_id: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    most: float = 3.0,
+    seed: int = 42,
+    fan_in: int = 128,
+    made_up: int = 3,
+) -> DataFrame:
     """The rows of ``df`` as often as the mix takes them; rows that it leaves out go.
 
-    Rows that share an id share their copies: each is taken as often as the first of them.
+    Every row has its own copies, with an id, without one or with a repeated
+    one: rows are told apart by their place in their files, not by ids.
     """
-    mixed = mix_sources(df, doc_id=doc_id, **options)
-    copies = unused_name(df, "copies")
-    taken = mixed.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
-    found = df.join(taken.hint("shuffle_hash"), F.col(f"`{doc_id}`").eqNullSafe(F.col("mixed_id"))).drop("mixed_id")
-    turn = unused_name(found, "turn")
+    rows, at = keyed(df)
+    named = _sizes(rows, "row_file", "row_place", doc_id=doc_id, source=source, text=text, row_file=at[0], row_place=at[1])
+    named = materialize(named, "mix-rows")
+    same = ("source", "doc_id", "size")
+    mixed = materialize(_mixed(named.select(*same), weights, most, seed, fan_in, made_up).select(*same, "copy_no", "copies"), "mix-copies")
+    # Rows that agree in source, id and size are numbered in parts of about BLOCK rows, so that no task orders them all.
+    repeated = mixed.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1")
+    several = _joined(named, repeated, same)
+    part = F.pmod(F.xxhash64("row_file", "row_place"), F.ceil(F.col("n") / BLOCK).cast("long"))
+    several = several.withColumn("part", part).withColumn("at", F.row_number().over(Window.partitionBy(*same, "part").orderBy("row_file", "row_place")))
+    several = materialize(several, "mix-repeated")
+    before = several.groupBy(*same, "part").agg(F.count("*").alias("in_part"))
+    before = before.withColumn("before", F.sum("in_part").over(Window.partitionBy(*same).orderBy("part")) - F.col("in_part")).drop("in_part")
+    numbered = _joined(several, before, (*same, "part")).select(*named.columns, (F.col("at") + F.col("before")).alias("copy_no"))
+    alone = _joined(named, repeated.drop("n"), same, "left_anti").withColumn("copy_no", F.lit(1).cast("long"))
+    numbered = alone.unionByName(numbered)
+    copies = unused_name(rows, "copies")
+    taken = _joined(numbered, mixed, (*same, "copy_no")).where("copies > 0").select("row_file", "row_place", F.col("copies").alias(copies))
+    taken = materialize(taken.withColumnsRenamed(dict(zip(("row_file", "row_place"), at))), "mix-taken")
+    turn = unused_name(rows, "turn")
+    found = rows.join(taken.hint("shuffle_hash"), at).drop(*at)  # a few numbers a row, evenly dealt
     return found.withColumn(turn, F.explode(F.expr(f"sequence(1L, `{copies}`)"))).drop(copies, turn)
 
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with two longs that name each row, whatever its ids are, and the names of these columns.
+
+    They are a hash of the row's file and its place there, so that they stay
+    the same in every read of the same files.  A table that is no plain read
+    of files is written first.
+    """
+    plain = df._jdf.queryExecution().analyzed().children().isEmpty()
+    names = [unused_name(df, "row_file"), unused_name(df, "row_place")]
+    for rows in (df, None) if plain else (None,):
+        rows = materialize(df, "keyed-rows") if rows is None else rows
+        try:
+            about = rows.metadataColumn("_metadata")
+            return rows.select("*", F.xxhash64(about["file_path"]).alias(names[0]), about["row_index"].alias(names[1])), names
+        except AnalysisException:
+            continue
+    raise ValueError("the rows of this table cannot be named")
+
+
 def unused_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has, whatever its letter case."""
     taken = {c.lower() for c in df.columns}

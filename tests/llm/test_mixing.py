@@ -73,3 +73,44 @@ def test_empty_and_repeating(spark):
     assert out.columns == df.columns
     mixed = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(df).collect()}
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i, n in mixed.items() for _ in range(n))
+
+
+def test_many_sources(spark):
+    rows = [(i, f"s{i:03d}", "w " * (1 + i % 7)) for i in range(300)] + [(1000 + i, "s000", "w " * (1 + i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix_sources(df, fan_in=16).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _, _ in rows)
+    sizes = {}
+    for i, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want, source = plain_targets(sizes), {i: s for i, s, _ in rows}
+    for r in got:
+        assert abs(r["target"] - want[source[r["doc_id"]]]) < 1e-6 and 0 <= r["taken"] <= 3 * r["size"]
+
+
+def test_rows_without_or_with_the_same_id_have_their_own_copies(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(None, "ab"[i % 2], "w " * rnd.choice([1, 3, 50]), i) for i in range(120)] + [(7, "a", "w " * rnd.choice([2, 9]), i) for i in range(120, 180)] + [(i, "c", "x y", i) for i in range(200, 260)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, place int")
+    monkeypatch.setattr(mixing, "BLOCK", 10)  # equal rows are numbered in several parts
+    mixed = mixing.mix_sources(df)
+    out = mixing.repeat_to_mix(df).collect()
+    key = lambda r: (str(r[0]), len(r[2].split()))
+    wanted = {}
+    for r in mixed.collect():
+        k = (str(r["doc_id"]), r["size"])
+        wanted[k] = wanted.get(k, 0) + r["copies"]
+    taken, of_place = {}, {}
+    for r in out:
+        taken[key(r)] = taken.get(key(r), 0) + 1
+        of_place[r["place"]] = of_place.get(r["place"], 0) + 1
+    assert taken == {k: n for k, n in wanted.items() if n}
+    assert max(of_place.values()) <= 3
+    lengths = {}
+    for _, s, t, i in rows:
+        lengths[s] = lengths.get(s, 0) + len(t.split())
+    got = {}
+    for r in out:
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+    for s, target in plain_targets(lengths).items():
+        assert abs(got.get(s, 0) - target) <= 50, (s, got, target)
