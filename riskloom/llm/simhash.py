@@ -18,13 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .runtime import materialize, narrow, table, unused_name
+from .runtime import keyed, materialize, narrow, table
 
 BITS = 64
 SEED = 42
@@ -56,7 +56,9 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", words: int = 3) -> DataFrame:
-    """``df`` with the SimHash of ``text`` as a signed long in column ``out``."""
+    """``df`` with the SimHash of ``text`` as a signed long in column ``out``, which must be a new name."""
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {out} already")
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType(), False)])
     at = df.columns.index(text)
 
@@ -111,6 +113,12 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 2, bucket: int = 512) -
     return _pairs(shared.where(F.col("n") <= bucket), max_bits).unionByName(far).distinct()
 
 
+def _groups(prints: DataFrame, max_bits: int, bucket: int) -> DataFrame:
+    """``prints`` (fp, ...), a row per fingerprint, with ``root``, which names its group."""
+    roots = connected_components(fingerprint_links(prints.select("fp"), max_bits, bucket), label="simhash-components")
+    return prints.join(roots, prints["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2, bucket: int = 512) -> DataFrame:
     """One row per row of ``df``: ``doc_id``, ``fingerprint`` (hex) and ``component_id``.
 
@@ -121,33 +129,34 @@ def near_duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "te
     ``df`` are not read.
     """
     docs = materialize(with_fingerprint(narrow(df, doc_id=doc_id, text=text), out="fp", words=words).select("doc_id", "fp"), "simhash-docs")
-    prints = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = fingerprint_links(prints.select("fp"), max_bits, bucket)
-    roots = connected_components(edges, label="simhash-components")
-    linked = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = _groups(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits, bucket)
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = linked.join(named, "root").select("fp", "component_id")
     return docs.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(df: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is its group's in ``groups`` (doc_id, component_id); rows that share an id are one document, of which one row stays."""
-    kept = materialize(
-        groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("kept_id"), "n"),
-        "simhash-kept",
-    )
-    copies = unused_name(df, "copies")
-    found = df.join(kept.withColumnRenamed("n", copies).hint("shuffle_hash"), F.col(f"`{doc_id}`").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    alone = found.where(F.col(copies) == 1)
-    rank = unused_name(df, "rank")
-    order = Window.partitionBy(doc_id).orderBy(F.col(f"`{text}`"))
-    repeated = found.where(F.col(copies) > 1).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
-    return alone.unionByName(repeated).drop(copies)
-
-
-def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their group; rows that share an id are one document, of which one row stays."""
-    return keep_first(df, near_duplicate_groups(df, doc_id, text, **options), doc_id, text)
+def first_row() -> Column:
+    """Of several rows the one that stays: that of the smallest id, null last, then of the first place."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_file", "row_place")).alias("first")
+
+
+def keep_rows(rows: DataFrame, at: list[str], firsts: DataFrame) -> DataFrame:
+    """The rows of a keyed table that are a ``first`` in ``firsts``, without their keys."""
+    kept = materialize(firsts.select(*[F.col(f"first.{c}").alias(name) for c, name in zip(("row_file", "row_place"), at)]), "first-rows")
+    return rows.join(kept.hint("shuffle_hash"), at, "left_semi").drop(*at)  # two numbers a row, evenly dealt
+
+
+def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2, bucket: int = 512) -> DataFrame:
+    """One row of every group: that of the smallest id, null last.
+
+    Rows are told apart by their place in their files: texts without an id, or
+    with the same one, are grouped by what they say like any others.
+    """
+    rows, at = keyed(df)
+    docs = narrow(rows, doc_id=doc_id, text=text, row_file=at[0], row_place=at[1])
+    docs = materialize(with_fingerprint(docs, out="fp", words=words).drop("text"), "simhash-docs")
+    linked = _groups(docs.groupBy("fp").agg(first_row()), max_bits, bucket)
+    return keep_rows(rows, at, linked.groupBy("root").agg(F.min("first").alias("first")))
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import xxhash
+import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import components, simhash
+from riskloom.llm import components, shingles, simhash
 
 WORDS = "the of and to in is on it as by at or an be we us he so no if up do go my me".split()
 
@@ -97,3 +98,20 @@ def test_components_of_a_chain(spark):
     got = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
     assert components.connected_components(edges.where("false")).count() == 0
+
+
+def test_dropping_tells_rows_without_an_id_apart(spark):
+    texts = ["one text of its own", "a second and other one", "a second and other one", "third words that differ from both", None, ""]
+    rows = [(None, t, i) for i, t in enumerate(texts)] + [(5, "fifth text here with id", 9), (5, "fifth but of other words entirely", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_file int")
+    for module in (simhash, shingles):
+        kept = module.drop_near_duplicates(df)
+        assert kept.columns == df.columns
+        got = kept.collect()
+        assert len(got) == 6 and {r["text"] or "" for r in got} == {t or "" for _, t, _ in rows}
+
+
+def test_a_taken_name_is_refused(spark):
+    df = spark.createDataFrame([(1, "x")], "fingerprint long, text string")
+    with pytest.raises(ValueError):
+        simhash.with_fingerprint(df)
