@@ -124,10 +124,6 @@ OUTSIDE_REGISTRY = r"^(git\+|git:|file:|link:|https?://)"
 RANGE_SPEC = r"[\^~*><|\s]|latest|^\d+\.x"
 URL_HOST = r"\bhttps?://([A-Za-z0-9._-]+(?::\d+)?)"
 SCRIPT_FILE = r"[\w./@-]+\.(?:js|cjs|mjs|py)\b"
-REQUIREMENT = r"^(?P<name>[A-Za-z0-9][A-Za-z0-9._-]*)(?:\[(?P<extras>[^\]]+)\])?\s*(?P<spec>(?:[=<>!~^]=?|===)\s*[^;#\s]+)?"
-INDEX_OPTION = r"^(?:--index-url|--extra-index-url|-i)(?:\s+|=)(\S+)"
-YARN_HEAD = r'^"?([^"\s,]+)"?(?:,\s*"?[^"\s,]+"?)*:\s*$'
-YARN_FIELD = r'^\s{2,}"?([\w-]+)"?\s+"?([^"\n]+?)"?\s*$'
 
 NPM_MANIFESTS = ("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "package.json")
 PYPI_MANIFESTS = ("poetry.lock", "Pipfile.lock", "requirements.txt", "pyproject.toml")
