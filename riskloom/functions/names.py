@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus
@@ -24,60 +24,97 @@ def compared_name(ecosystem: Column, name: Column) -> Column:
     return F.when(ecosystem == "pypi", pep503(bare)).otherwise(bare)
 
 
-def swap_distance(a: str, b: str, most: int = 2) -> int:
-    """Edits between two strings, where swapping neighbours is one edit and no part is edited twice; ``most + 1`` beyond that.
+#: Letters at the beginning of a name that its keys are made of.
+KEYED = 7
 
-    Only the diagonals within ``most`` of the main one are filled.
+
+def letters_left_out(name: str, most: int = 2) -> Column:
+    """The first ``KEYED`` letters of a name, and what is left of them without any one, or any ``most`` (1 or 2).
+
+    Two names within ``most`` edits share one of these at least, an edit being
+    a letter more, less or other, or two neighbours swapped: each edit takes
+    one letter at most from either beginning, be it changed or pushed out.
+    """
+    # One expression as text: as columns it would take hundreds of calls to the JVM.
+    without = lambda text, i: f"concat(left({text}, {i - 1}), substr({text}, {i + 1}))"
+    at = [("h", 0), *[(without("h", i), i) for i in range(1, KEYED + 1)]]
+    if most > 1:
+        at += [(without(without("h", j), i), j) for j in range(2, KEYED + 1) for i in range(1, j)]
+    keys = ", ".join(f"CASE WHEN length(h) >= {least} THEN {key} END" for key, least in at)
+    return F.expr(f"array_compact(element_at(transform(array(left({name}, {KEYED})), h -> array({keys})), 1))")
+
+
+def swap_distance(a: Column, b: Column) -> Column:
+    """Edits between two strings, where swapping neighbours is one edit and no part is edited twice.
+
+    One row of the table of prefixes after the other, each an array; for the few
+    pairs that share a key, as it is not compiled.
+    """
+    empty = F.array().cast("array<int>")
+    letter = lambda text, i: F.substr(text, i, F.lit(1))
+    start = F.sequence(F.lit(0), F.length(b))
+
+    def next_row(state: Column, i: Column) -> Column:
+        above, before = state["above"], state["before"]
+
+        def cell(row: Column, j: Column) -> Column:
+            same = F.when(letter(a, i) == letter(b, j), 0).otherwise(1)
+            plain = F.least(F.element_at(above, j + 1) + 1, F.element_at(row, -1) + 1, F.element_at(above, j) + same)
+            swapped = (i > 1) & (j > 1) & (letter(a, i) == letter(b, j - 1)) & (letter(a, i - 1) == letter(b, j))
+            return F.array_append(row, F.when(swapped, F.least(plain, F.try_element_at(before, j - 1) + same)).otherwise(plain))
+
+        columns = F.when(F.length(b) > 0, F.sequence(F.lit(1), F.length(b))).otherwise(empty)
+        return F.struct(F.aggregate(columns, F.array(i), cell).alias("above"), above.alias("before"))
+
+    rows = F.when(F.length(a) > 0, F.sequence(F.lit(1), F.length(a))).otherwise(empty)
+    return F.aggregate(rows, F.struct(start.alias("above"), empty.alias("before")), next_row, lambda s: F.element_at(s["above"], -1))
+
+
+def popular_table(spark: SparkSession, corpus: Corpus) -> DataFrame:
+    """``(ecosystem, target)`` of a corpus, which is a list that people keep and so is small."""
+    rows = [(e, n) for e in ("npm", "pypi") for n in corpus.names(e)]
+    return spark.createDataFrame(_strings(["ecosystem", "target"], rows))
+
+
+def _strings(columns: list[str], rows: list[tuple]) -> pa.Table:
+    return pa.table({c: pa.array([r[i] for r in rows], pa.string()) for i, c in enumerate(columns)})
+
+
+def nearest_popular(asked: DataFrame, corpus: Corpus, most: int = 2) -> DataFrame:
+    """``asked`` (ecosystem, compared) to ``ecosystem, compared, distance, target``: the closest popular name at one to ``most`` edits, of equally close ones the first.
+
+    Names meet by equality of what is left without some letters; only those
+    that meet are compared.
+    """
+    popular = popular_table(asked.sparkSession, corpus)
+    lengths = [len(n) for e in ("npm", "pypi") for n in corpus.names(e)] or [0]
+    spread = asked.sparkSession.sparkContext.defaultParallelism  # few bytes, but each name has many keys
+    may = asked.where(F.length("compared").between(min(lengths) - most, max(lengths) + most)).repartition(spread)
+    left = may.select("ecosystem", "compared", F.explode(letters_left_out("compared", most)).alias("key"))
+    right = popular.select("ecosystem", "target", F.explode(letters_left_out("target", most)).alias("key"))
+    near = F.levenshtein("compared", "target", 2 * most) >= 0  # a swap is two plain edits
+    alike = (F.abs(F.length("compared") - F.length("target")) <= most) & near
+    met = left.join(F.broadcast(right.distinct()), ["ecosystem", "key"]).where(alike).select("ecosystem", "compared", "target").distinct()
+    far = met.withColumn("distance", swap_distance(F.col("compared"), F.col("target"))).where(F.col("distance").between(1, most))
+    return far.groupBy("ecosystem", "compared").agg(F.min(F.struct("distance", "target")).alias("hit")).select("ecosystem", "compared", "hit.distance", "hit.target")
+
+
+def with_affixes(spark: SparkSession, corpus: Corpus, affixes: dict[str, tuple[str, ...]], least: int = 4) -> DataFrame:
+    """``ecosystem, worn, stripped, affix``: every popular name of ``least`` letters or more with an affix put on it.
+
+    An affix stands in front or behind, with a separator or without.  Where one
+    worn name comes of several, the one of the first affix in its list counts,
+    and of that the first way: in front with a separator, behind with one, in
+    front, behind.
     """
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    far = most + 1
-    rows = [[far] * (len(b) + 1) for _ in range(3)]
-    rows[0] = [j if j <= most else far for j in range(len(b) + 1)]
-    for i in range(1, len(a) + 1):
-        above, here = rows[(i - 1) % 3], [far] * (len(b) + 1)
-        if i <= most:
-            here[0] = i
-        for j in range(max(1, i - most), min(len(b), i + most) + 1):
-            same = a[i - 1] == b[j - 1]
-            cost = min(above[j] + 1, here[j - 1] + 1, above[j - 1] + (not same))
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                cost = min(cost, rows[(i - 2) % 3][j - 2] + (not same))
-            here[j] = min(cost, far)
-        rows[i % 3] = here
-        if min(here) > most:
-            return far
-    return rows[len(a) % 3][len(b)]
-
-
-def nearest_popular(name: str, targets: tuple[str, ...], most: int = 2) -> tuple[int, str] | None:
-    """The closest target at one to ``most`` edits; of equally close ones the first."""
-    letters = set(name)
-    near = [t for t in targets if abs(len(t) - len(name)) <= most and len(letters - set(t)) <= most]
-    found = [(d, t) for t in near if 0 < (d := swap_distance(name, t, most)) <= most]
-    return min(found, default=None)
-
-
-def nearest_udf(corpus: Corpus, most: int = 2):
-    """Arrow-batched ``nearest_popular`` of (ecosystem, compared name)."""
-
-    @F.pandas_udf("struct<distance:int,target:string>")
-    def nearest(ecosystem: pd.Series, name: pd.Series) -> pd.DataFrame:
-        known: dict[tuple, tuple] = {}
-        out = []
-        for key in zip(ecosystem, name):
-            if key not in known:
-                known[key] = (key[1] is not None and nearest_popular(key[1], corpus.names(key[0]), most)) or (None, None)
-            out.append(known[key])
-        return pd.DataFrame(out, columns=["distance", "target"]).astype({"distance": "Int32"})
-
-    return nearest
-
-
-def affix_forms(name: Column, affixes: tuple[str, ...]) -> Column:
-    """``(stripped, affix)`` for each affix, taken off in front, behind, and without a separator, in that order."""
-    tries = []
-    for affix in affixes:
-        for pattern in (f"^{affix}[-_.]", f"[-_.]{affix}$", f"^{affix}", f"{affix}$"):
-            tries.append(F.struct(F.regexp_replace(name, pattern, "").alias("stripped"), F.lit(affix).alias("affix")))
-    return F.array(*tries)
+    rows = []
+    for ecosystem, known in affixes.items():
+        for name in corpus.names(ecosystem):
+            if len(name) >= least:
+                for i, affix in enumerate(known):
+                    ways = [[affix + sep + name for sep in "-_."], [name + sep + affix for sep in "-_."], [affix + name], [name + affix]]
+                    rows += [(ecosystem, worn, name, affix, i * 4 + way) for way, forms in enumerate(ways) for worn in forms]
+    best: dict[tuple, tuple] = {}
+    for row in rows:
+        best[row[:2]] = min(best.get(row[:2], row), row, key=lambda r: r[4])
+    return spark.createDataFrame(_strings(["ecosystem", "worn", "stripped", "affix"], list(best.values())))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clip(text: Column, width: int = 88) -> Column:
@@ -33,8 +36,23 @@ def joined_some(values: Column, most: int, tail: str = " and {} more") -> Column
     return F.concat(F.array_join(F.slice(values, 1, most), ", "), F.when(F.size(values) > most, more).otherwise(""))
 
 
-def entropy(text: Column) -> Column:
-    """Bits per character. Each distinct character is counted once, inside the row."""
+def _bits(text: str | None) -> float:
+    """Bits per character; characters are counted as code points, sorted."""
+    if not text:
+        return 0.0
+    _, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"), return_counts=True)
+    share = n / n.sum()
+    return float(-(share * np.log2(share)).sum()) + 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def entropy(text: pd.Series) -> pd.Series:
+    """Bits per character of whole texts, zero for none: one pass over each, in Arrow batches."""
+    return text.map(_bits, na_action=None).astype("float64")
+
+
+def entropy_of_short(text: Column) -> Column:
+    """``entropy`` inside the JVM, for strings of one kind of letters: a pass for each distinct character."""
     letters = F.split(text, "")
     n = F.length(text).cast("double")
     of = F.transform(F.array_distinct(letters), lambda c: n - F.length(F.replace(text, c, F.lit(""))).cast("double"))

@@ -12,6 +12,8 @@ import unicodedata
 from collections.abc import Callable, Iterable
 from datetime import datetime
 
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,21 +60,20 @@ def _install_hook() -> Column:
     return F.when(F.size(hooks()) > 0, F.array(shown)).otherwise(flagged)
 
 
-def _affix(corpus: Corpus) -> Column:
-    """The first affix, in the order of the list, that leaves a popular name of four letters or more."""
-    name = names.compared_name(F.col("ecosystem"), F.col("name"))
+def _affix() -> Column:
+    """What ``_with_affixes`` has joined to a row."""
+    text = F.concat(F.lit('"'), F.col("_worn.stripped"), F.lit('" with "'), F.col("_worn.affix"), F.lit('" attached'))
+    return _one(F.col("_worn").isNotNull(), text)
 
-    def of(ecosystem: str) -> Column:
-        known = F.array(*[F.lit(n) for n in corpus.names(ecosystem)])
-        forms = F.filter(names.affix_forms(name, fixed.AFFIXES[ecosystem]), lambda f: (f["stripped"] != name) & (F.length(f["stripped"]) >= 4) & F.array_contains(known, f["stripped"]))
-        hit = F.try_element_at(forms, F.lit(1))
-        text = F.concat(F.lit('"'), hit["stripped"], F.lit('" with "'), hit["affix"], F.lit('" attached'))
-        return _one(hit.isNotNull() & ~F.array_contains(known, name), text)
 
-    out = F.array().cast(_NONE)
-    for ecosystem in fixed.AFFIXES:
-        out = F.when(F.col("ecosystem") == ecosystem, of(ecosystem)).otherwise(out)
-    return out
+def _with_affixes(packages: DataFrame, corpus: Corpus) -> DataFrame:
+    """Rows with ``_worn``: the popular name and the affix that a name consists of, if it is not popular itself."""
+    known = names.with_affixes(packages.sparkSession, corpus, fixed.AFFIXES)
+    popular = names.popular_table(packages.sparkSession, corpus)
+    known = known.join(popular.withColumnRenamed("target", "worn"), ["ecosystem", "worn"], "left_anti")
+    known = known.select(F.col("ecosystem").alias("_eco"), "worn", F.struct("stripped", "affix").alias("_worn"))
+    name = names.compared_name(F.col("ecosystem"), F.col("name"))
+    return packages.join(F.broadcast(known), (F.col("ecosystem") == F.col("_eco")) & (name == F.col("worn")), "left").drop("_eco", "worn")
 
 
 def _look_alikes() -> Column:
@@ -185,7 +186,7 @@ def row_evidence(as_of: datetime, fresh_days: int = 14, corpus: Corpus = DEFAULT
     signed = F.col("provenance").isNotNull()
     built, declared = F.col("provenance")["repository"], F.col("declared_repo")
     return {
-        "HEM102": lambda: _affix(corpus),
+        "HEM102": _affix,
         "HEM103": _look_alikes,
         "HEM104": lambda: _scope_drop(corpus),
         "HEM201": _install_hook,
@@ -244,8 +245,30 @@ def forget_rule(id: str) -> None:
 
 def rules_table(spark, rules: Iterable[fixed.RuleInfo] | None = None) -> DataFrame:
     """The rule dimension: ``rule_id, category, weight, title, online, certain, fix``."""
-    rows = [(r.id, r.category, r.weight, r.title, r.online, r.certain, r.fix) for r in (rules or [*fixed.RULES, *_USER_INFO])]
-    return spark.createDataFrame(rows, "rule_id string, category string, weight int, title string, online boolean, certain boolean, fix string")
+    columns = {"rule_id": "id", "category": "category", "weight": "weight", "title": "title", "online": "online", "certain": "certain", "fix": "fix"}
+    kinds = {"weight": pa.int32(), "online": pa.bool_(), "certain": pa.bool_()}
+    known = list(rules or [*fixed.RULES, *_USER_INFO])
+    return spark.createDataFrame(pa.table({c: pa.array([getattr(r, name) for r in known], kinds.get(c, pa.string())) for c, name in columns.items()}))
+
+
+_BUILT: dict[tuple, Column] = {}
+
+
+def _built(r: fixed.RuleInfo, evidence: Callable[[], Column], asked: tuple) -> Column:
+    """A rule's id and evidence as a struct.
+
+    It depends on the rule and on what is asked alone, and takes dozens of calls
+    to the JVM to build; so it is kept for as long as the session's context.
+    """
+    key = (SparkContext._active_spark_context, r.id, evidence if r.id in _USER_EVIDENCE else None, asked)
+    if key not in _BUILT:
+        for old in [k for k in _BUILT if k[0] is not key[0]]:
+            del _BUILT[old]
+        seen = evidence()
+        if r.category != "lockfile":
+            seen = F.when(F.col("kind") == "package", seen).otherwise(F.array().cast(_NONE))
+        _BUILT[key] = F.struct(F.lit(r.id).alias("rule_id"), F.filter(seen, lambda e: e != "").alias("evidence"))
+    return _BUILT[key]
 
 
 def row_findings(packages: DataFrame, as_of: datetime, online: bool = False, disabled: Iterable[str] = (), fresh_days: int = 14, corpus: Corpus = DEFAULT) -> DataFrame:
@@ -254,13 +277,9 @@ def row_findings(packages: DataFrame, as_of: datetime, online: bool = False, dis
     Rows that stand for a manifest see the lockfile rules only.
     """
     known = {**row_evidence(as_of, fresh_days, corpus), **_USER_EVIDENCE}
-    found = []
-    for r in active_rules(online, disabled):
-        if r.id in known:
-            seen = known[r.id]()
-            if r.category != "lockfile":
-                seen = F.when(F.col("kind") == "package", seen).otherwise(F.array().cast(_NONE))
-            found.append(F.struct(F.lit(r.id).alias("rule_id"), F.filter(seen, lambda e: e != "").alias("evidence")))
+    found = [_built(r, known[r.id], (as_of, fresh_days, corpus)) for r in active_rules(online, disabled) if r.id in known]
+    if any(r.id == "HEM102" for r in active_rules(online, disabled)):
+        packages = _with_affixes(packages, corpus)
     if not found:
         return packages.select("pkg_id", F.lit("").alias("rule_id"), F.array().cast(_NONE).alias("evidence")).where("false")
     hits = F.filter(F.array(*found), lambda f: F.size(f["evidence"]) > 0)
@@ -270,12 +289,10 @@ def row_findings(packages: DataFrame, as_of: datetime, online: bool = False, dis
 def near_miss_findings(packages: DataFrame, corpus: Corpus = DEFAULT) -> DataFrame:
     """HEM101: names one or two edits from a popular one. Each distinct name is compared once."""
     rows = packages.where("kind = 'package'").select("pkg_id", "ecosystem", names.compared_name(F.col("ecosystem"), F.col("name")).alias("compared"))
-    popular = F.lit(False)
-    for ecosystem in fixed.AFFIXES:
-        popular = popular | ((F.col("ecosystem") == ecosystem) & F.col("compared").isin(*corpus.names(ecosystem)))
-    asked = rows.select("ecosystem", "compared").distinct().where((F.length("compared") >= 4) & ~popular)
-    near = asked.withColumn("hit", names.nearest_udf(corpus)("ecosystem", "compared")).where("hit.target IS NOT NULL")
-    text = F.concat(texts.plural(F.col("hit.distance"), "edit"), F.lit(' away from "'), F.col("hit.target"), F.lit('"'))
+    popular = names.popular_table(packages.sparkSession, corpus).withColumnRenamed("target", "compared")
+    asked = rows.select("ecosystem", "compared").where(F.length("compared") >= 4).distinct().join(F.broadcast(popular), ["ecosystem", "compared"], "left_anti")
+    near = names.nearest_popular(asked, corpus)
+    text = F.concat(texts.plural(F.col("distance"), "edit"), F.lit(' away from "'), F.col("target"), F.lit('"'))
     return rows.join(near, ["ecosystem", "compared"]).select("pkg_id", F.lit("HEM101").alias("rule_id"), F.array(text).alias("evidence"))
 
 
@@ -299,7 +316,7 @@ def obfuscation(rel: Column, text: Column) -> Column:
     lines = F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]")
     longest = F.aggregate(lines, F.lit(0), lambda m, x: F.greatest(m, F.length(x)))
     newlines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    blobs = F.filter(F.regexp_extract_all(text, F.lit(fixed.LONG_BLOB), F.lit(0)), lambda b: texts.entropy(b) > 4.5)
+    blobs = F.filter(F.regexp_extract_all(text, F.lit(fixed.LONG_BLOB), F.lit(0)), lambda b: texts.entropy_of_short(b) > 4.5)
     blob = F.try_element_at(blobs, F.lit(1))
     parts = F.split(rel, "/")
     bundled = F.exists(parts, lambda p: p.isin(*fixed.BUNDLE_FOLDERS)) | rel.endswith(".min.js") | rel.endswith(".min.ts")
@@ -308,7 +325,7 @@ def obfuscation(rel: Column, text: Column) -> Column:
     ).when(
         (longest > 5000) & (newlines < 20), F.concat(rel, F.lit(": single line of "), longest.cast("string"), F.lit(" characters"))
     ).when(
-        blob.isNotNull(), F.concat(rel, F.lit(": "), F.length(blob).cast("string"), F.lit("-char blob, entropy "), F.format_string("%.1f", texts.entropy(blob)))
+        blob.isNotNull(), F.concat(rel, F.lit(": "), F.length(blob).cast("string"), F.lit("-char blob, entropy "), F.format_string("%.1f", texts.entropy_of_short(blob)))
     )
 
 

@@ -2,6 +2,7 @@ import string
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom import fixed
 from riskloom.corpus import DEFAULT, Corpus
@@ -23,11 +24,16 @@ def pkg(spark, name, ecosystem="npm", **more):
     return findings(spark, ecosystem=ecosystem, name=name, **more)
 
 
-def test_near_names():
-    assert names.nearest_popular("requsts", DEFAULT.pypi) == (1, "requests")
-    assert names.nearest_popular("colorz", DEFAULT.npm) == (1, "colors")
-    assert names.nearest_popular("lodahs", DEFAULT.npm) == (1, "lodash")
-    assert names.swap_distance("ca", "abc", 3) == 3
+def near(spark, ecosystem, asked, corpus=DEFAULT):
+    rows = names.nearest_popular(spark.createDataFrame([(ecosystem, a) for a in asked], "ecosystem string, compared string"), corpus).collect()
+    return {r["compared"]: (r["distance"], r["target"]) for r in rows}
+
+
+def test_near_names(spark):
+    assert near(spark, "pypi", ["requsts", "quite-another-name", "requests"])["requsts"] == (1, "requests")
+    assert near(spark, "npm", ["webpcak", "ln", "lodahs"]) == {"webpcak": (1, "webpack"), "lodahs": (1, "lodash"), "ln": (2, "ms")}
+    df = spark.createDataFrame([("ca", "abc", 3), ("", "ab", 2), ("ab", "", 2), ("é中a", "é中b", 1), ("abcd", "badc", 2)], "a string, b string, d int")
+    assert all(r["d"] == r["got"] for r in df.select("d", names.swap_distance(F.col("a"), F.col("b")).alias("got")).collect())
 
 
 def _plain_distance(a, b):
@@ -40,15 +46,20 @@ def _plain_distance(a, b):
     return d[len(a), len(b)]
 
 
-def test_every_single_edit_is_found():
+def test_every_edit_is_found(spark):
     targets = DEFAULT.pypi[::9]
+    corpus, asked = Corpus((), targets), set()
     for name in targets:
         edits = {name[:i] + name[i + 1 :] for i in range(len(name))} | {name[:i] + c + name[i:] for i in range(len(name) + 1) for c in "aq-"}
         edits |= {name[:i] + name[i + 1] + name[i] + name[i + 2 :] for i in range(len(name) - 1)} | {name[:i] + "z" + name[i + 1 :] for i in range(len(name))}
-        for e in sorted(edits - {name})[::3]:
-            brute = min((d, t) for t in targets if 0 < (d := _plain_distance(e, t)))
-            assert names.nearest_popular(e, targets) == brute
-            assert names.swap_distance(e, name) == min(3, _plain_distance(e, name))
+        asked |= set(sorted(edits - {name})[::3])
+        asked |= {e[:i] + "é" + e[i + 1 :] for e in sorted(edits)[::11] for i in (0, len(e) - 1)} | {e[1:2] + e[:1] + e[2:] for e in sorted(edits)[::7]}
+    want = {}
+    for e in asked:
+        found = min(((d, t) for t in targets if 0 < (d := _plain_distance(e, t)) <= 2), default=None)
+        if found:
+            want[e] = found
+    assert len(want) > 300 and near(spark, "pypi", asked, corpus) == want
 
 
 def test_naming_rules(spark):
