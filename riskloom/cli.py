@@ -5,18 +5,31 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed
-from .operators import routes, suppress, views
+from .operators import exposure, routes, scoring, suppress, views
 from .plans import scan as runs
+from .plans.storage import stored
+from .schema import complete
 from .sinks import documents
-from .sources import history, manifests, settings
+from .sources import feeds, history, manifests, online, settings
 
 POLICY_FILE, BASELINE_FILE = "riskloom.toml", ".riskloom-baseline.json"
+WORKFLOW_FILE = os.path.join(".github", "workflows", "riskloom.yml")
+
+
+def _at_least(least: int):
+    def read(text: str) -> int:
+        if not text.lstrip("-").isdigit() or int(text) < least:
+            raise argparse.ArgumentTypeError(f"{text} is no whole number from {least}")
+        return int(text)
+
+    return read
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -27,60 +40,82 @@ def _parser() -> argparse.ArgumentParser:
     p = sub.add_parser("why")
     p.add_argument("name")
     p.add_argument("path", nargs="?", default=".")
-    for name in ("check",):
-        p = sub.add_parser(name)
-        p.add_argument("names", nargs="+")
-        p.add_argument("--ecosystem", choices=("npm", "pypi"), default="npm")
+    p = sub.add_parser("check")
+    p.add_argument("names", nargs="+")
+    p.add_argument("--ecosystem", choices=("npm", "pypi"), default="npm")
     p = sub.add_parser("diff")
     p.add_argument("path", nargs="?", default=".")
     p.add_argument("--since", required=True)
     sub.add_parser("rules")
+    sub.add_parser("explain").add_argument("rule")
     for p in sub.choices.values():
         p.add_argument("--format", choices=("text", "json", "sarif", "markdown"), default="text")
         p.add_argument("--config")
         p.add_argument("--fail-on", choices=fixed.FAIL_LEVELS)
+        p.add_argument("--online", action="store_true", help="ask registries and the advisory service")
+        p.add_argument("--fresh-days", type=_at_least(0), help="days that a release counts as fresh")
+        p.add_argument("--no-correlate", action="store_true", help="judge every package by itself")
+        p.add_argument("--ignore-baseline", action="store_true", help="report accepted findings too")
     sub.choices["history"].add_argument("--package", default="")
-    sub.choices["history"].add_argument("--limit", type=int, default=200)
+    sub.choices["history"].add_argument("--limit", type=_at_least(1), default=200)
+    sub.choices["history"].add_argument("--since", default="")
     return top
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """Exit status: 1 if a verdict is at or above the failing level, 2 on wrong use."""
+def _wrong(text: str) -> int:
+    print(text, file=sys.stderr)
+    return 2
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, client: online.Client | None = None) -> int:
+    """Exit status: 1 if a verdict is at or above the failing level, 2 on wrong use.
+
+    ``client`` answers for the services of an online run; without one they are asked over HTTPS.
+    """
     args = _parser().parse_args(argv)
     now = datetime.now(timezone.utc)
     root = getattr(args, "path", ".")
+    if not os.path.isdir(root):
+        return _wrong(f"{root} is no folder")
     try:
         policy = settings.read_policy(args.config or settings.default_path(root, POLICY_FILE), now.date())
     except settings.PolicyError as e:
-        print(e, file=sys.stderr)
-        return 2
+        return _wrong(str(e))
+    policy = replace(policy, fresh_days=policy.fresh_days if args.fresh_days is None else args.fresh_days, correlate=policy.correlate and not args.no_correlate)
     if args.command == "rules":
         for r in fixed.RULES:
-            print(f"{r.id}  {r.weight:>3}  {r.category:<10}  {r.title}{'  (online)' if r.online else ''}")
+            if r.online or not args.online:
+                print(f"{r.id}  {r.weight:>3}  {r.category:<10}  {r.title}{'  (online)' if r.online else ''}")
         return 0
+    if args.command == "explain":
+        return _explain(args.rule)
     if args.command == "init":
         return _init(root)
     spark = spark or SparkSession.builder.appName("riskloom").getOrCreate()
+    client = (client or online.https_client()) if args.online else None
+    asked = {"online": args.online, "client": client}
     if args.command == "history":
-        return _history(args, spark, root, now)
+        return _history(args, spark, root, now, client)
     if args.command == "why":
         return _why(args, spark, root)
     if args.command == "check":
-        report = runs.check(spark, args.names, now, args.ecosystem, policy)
+        try:
+            report = runs.check(spark, args.names, now, args.ecosystem, policy, **asked)
+        except ValueError as e:
+            return _wrong(str(e))
     elif args.command == "diff":
         repo = history.top_folder(root)
         base = repo and history.resolve_commit(repo, args.since)
         if not base:
-            print(f"{args.since} is no revision of {root}", file=sys.stderr)
-            return 2
+            return _wrong(f"{args.since} is no revision of {root}")
         paths = [os.path.relpath(p, repo) for p in manifests.find_manifests(os.path.realpath(root))]
         old = history.manifest_texts(spark, repo, [base], paths).withColumn("project", F.lit(""))
         new = manifests.read_manifests(spark, root)
-        report = runs.diff(manifests.dedupe(manifests.parse_manifests(old)), manifests.dedupe(manifests.parse_manifests(new)), now, policy)
+        report = runs.diff(manifests.dedupe(manifests.parse_manifests(old)), manifests.dedupe(manifests.parse_manifests(new)), now, policy, root=root, **asked)
     else:
-        accepted = settings.read_baseline(os.path.join(root, BASELINE_FILE)) if args.command == "scan" else None
+        accepted = settings.read_baseline(os.path.join(root, BASELINE_FILE)) if args.command == "scan" and not args.ignore_baseline else None
         known = spark.createDataFrame([(x,) for x in accepted], "fingerprint string") if accepted else None
-        report = runs.scan(manifests.read_manifests(spark, root), now, policy, accepted=known)
+        report = runs.scan(manifests.read_manifests(spark, root), now, policy, accepted=known, root=root, **asked)
     if args.command == "baseline":
         prints = [r["fingerprint"] for r in suppress.fingerprints(report.findings, report.packages).select("fingerprint").collect()]
         print(f"{settings.write_baseline(os.path.join(root, BASELINE_FILE), prints, f'{now:%Y-%m-%dT%H:%M:%SZ}')} findings accepted")
@@ -90,15 +125,76 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return views.gate(report.verdicts, args.fail_on or policy.fail_on).first()["exit_code"]
 
 
+#: What a category looks at, for ``explain``.
+_LOOKS_AT = {
+    "naming": "the name itself, beside the names that people type every day; installing the wrong one runs a stranger's code",
+    "install": "the scripts that a package manager runs on its own while it installs, before anybody has read a line",
+    "code": "the files of the installed copy, for shapes that hide what the code does from a reviewer",
+    "lockfile": "how a manifest pins what it asks for: whether another build could get other bytes under the same name",
+    "registry": "what the registry tells of a release: who published it, when, how large it is and who uses it",
+    "provenance": "signed statements of where and from what source a release was built",
+    "intel": "public records that name this exact version",
+    "campaign": "what packages of different owners have in common, which one package at a time does not show",
+}
+
+
+def _explain(asked: str) -> int:
+    r = fixed.RULE_BY_ID.get(asked.upper())
+    if r is None:
+        return _wrong(f"no rule {asked}")
+    print(f"{r.id}  {r.title}")
+    print(f"It belongs to the category {r.category}, which reads {_LOOKS_AT[r.category]}.")
+    counted = "it settles the verdict by itself" if r.certain else "the heaviest finding of a category counts in full, others in part, and each further category raises the sum"
+    print(f"Its weight is {r.weight} of 100: {counted}.")
+    print("It runs with --online alone, as it needs answers of a service." if r.online else "It runs offline.")
+    print(f"What to do: {r.fix}")
+    return 0
+
+
+_WORKFLOW = """\
+name: dependencies
+on:
+  pull_request:
+  push:
+    branches: [main]
+  schedule:
+    - cron: "17 5 * * 1"
+permissions:
+  contents: read
+jobs:
+  judge:
+    runs-on: ubuntu-latest
+    steps:
+      - uses: actions/checkout@v4
+        with:
+          fetch-depth: 0
+      - uses: actions/setup-python@v5
+        with:
+          python-version: "3.12"
+      - run: pip install pyspark pyarrow pandas .
+      # A request is judged by what it changes, the branch by all it holds.
+      - if: github.event_name == 'pull_request'
+        run: python -m riskloom.cli diff --since "origin/${{ github.base_ref }}" --format markdown >> "$GITHUB_STEP_SUMMARY"
+      - if: github.event_name == 'push'
+        run: python -m riskloom.cli scan .
+      # What was installed once, against what is known by now.
+      - if: github.event_name == 'schedule'
+        run: python -m riskloom.cli history . --online --fail-on critical
+"""
+
+
 def _init(root: str) -> int:
-    """Write a policy file with the defaults; one that is there stays."""
-    path = os.path.join(root, POLICY_FILE)
-    if os.path.exists(path):
-        print(f"{path} is there already")
-        return 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('fail_on = "high"\nfresh_days = 14\ncorrelate = true\ndisable = []\n')
-    print(f"wrote {path}")
+    """Write a policy file with the defaults and a CI workflow; what is there stays."""
+    texts = {POLICY_FILE: 'fail_on = "high"\nfresh_days = 14\ncorrelate = true\ndisable = []\n', WORKFLOW_FILE: _WORKFLOW}
+    for name, text in texts.items():
+        path = os.path.join(root, name)
+        if os.path.exists(path):
+            print(f"{path} is there already")
+            continue
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        print(f"wrote {path}")
     return 0
 
 
@@ -106,7 +202,7 @@ def _why(args: argparse.Namespace, spark: SparkSession, root: str, most: int = 6
     """The routes by which a package came in: of the exact name, else of names that hold it."""
     texts = manifests.read_manifests(spark, root)
     packages = manifests.dedupe(manifests.parse_manifests(texts))
-    edges = routes.lock_edges(manifests.lock_entries(texts))
+    edges = routes.lock_edges(manifests.lock_entries(texts)).unionByName(routes.tree_edges(texts))
     names = packages.where("kind = 'package'").select("ecosystem", "name").distinct()
     found = names.where(F.col("name") == args.name)
     if found.isEmpty():
@@ -119,20 +215,37 @@ def _why(args: argparse.Namespace, spark: SparkSession, root: str, most: int = 6
     return 0
 
 
-def _history(args: argparse.Namespace, spark: SparkSession, root: str, now: datetime) -> int:
+def _history(args: argparse.Namespace, spark: SparkSession, root: str, now: datetime, client: online.Client | None) -> int:
     repo = history.top_folder(root)
-    paths = [os.path.relpath(p, repo) for p in manifests.find_manifests(os.path.realpath(root))] if repo else []
+    if not repo:
+        return _wrong(f"{root} is in no repository")
+    since = history.resolve_commit(repo, args.since) if args.since else ""
+    if since is None:
+        return _wrong(f"{args.since} is no revision of {root}")
+    paths = [os.path.relpath(p, repo) for p in manifests.find_manifests(os.path.realpath(root))]
     if not paths:
         print("no manifest with a history here")
         return 0
-    commits, more = history.commits_touching(spark, repo, paths, args.limit)
+    commits, more = history.commits_touching(spark, repo, paths, args.limit, since)
     shas = [r["sha"] for r in commits.orderBy("idx").collect()]
     shots = runs.pinned_snapshots(history.manifest_texts(spark, repo, shas, paths), commits)
-    found = runs.history(commits, shots, now, package=args.package, truncated=more)
+    intel = None
+    if client is not None:
+        pinned = complete(shots.select("ecosystem", "name", "version").distinct())
+        hits = stored(online.osv_hits(pinned, client), "history-hits")
+        intel = feeds.split_intel(hits, online.osv_records(hits, client))
+    found = runs.history(commits, shots, now, intel, package=args.package, truncated=more)
+    if client is not None:
+        ends = found.reported.select("entered_sha", "left_sha").collect()  # reported windows alone
+        tags = history.tags_containing(spark, repo, [s for r in ends for s in r if s])
+        found.reported = exposure.tags_during(found.reported.drop("tags"), tags)
     if history.is_shallow(repo):
         found.warnings.append("this is a shallow clone, so older commits are missing")
-    print(documents.history_json(found))
-    return 0
+    print(documents.history_json(found) if args.format == "json" else documents.history_text(found, args.package, args.online))
+    if not args.fail_on or args.fail_on == "never":
+        return 0
+    floor = fixed.SEVERITY_ORDER.index(args.fail_on)
+    return int(not found.reported.where(scoring.severity_rank(F.col("severity")) >= floor).isEmpty())
 
 
 if __name__ == "__main__":

@@ -77,3 +77,24 @@ def summary(every: DataFrame, reported_: DataFrame) -> DataFrame:
     coord = F.concat("name", F.lit("@"), "version")
     bad = reported_.agg(F.count_distinct(F.when(F.col("severity") == "critical", coord)).alias("exposed"), F.count_distinct(F.when(F.col("severity") != "clean", coord)).alias("flagged"))
     return coords.crossJoin(bad).select("versions", "exposed", (F.col("flagged") - F.col("exposed")).alias("with_advisories"))
+
+
+#: What to do about a window, by whether its version is malware and still there.
+REMEDIES = {
+    "open": "It is still pinned: remove it, then replace every credential that an install could read, those of CI first.",
+    "past": "It is gone, but what an install could read in that time was exposed: replace every such credential.",
+    "advisory": "Move past the versions that the advisory names.",
+}
+
+
+def remedy() -> Column:
+    """What a window calls for, null if nothing."""
+    return F.when(F.col("severity") == "critical", F.when(F.col("open"), REMEDIES["open"]).otherwise(REMEDIES["past"])).when((F.col("severity") == "medium") & F.col("open"), REMEDIES["advisory"])
+
+
+def longest_exposure(reported_: DataFrame) -> DataFrame:
+    """One row, or none: the window in which malware stayed longest, and how many versions were exposed."""
+    bad = reported_.where("severity = 'critical'")
+    coord = F.concat("name", F.lit("@"), "version")
+    worst = F.max_by(F.struct("ecosystem", "name", "version", "entered", "left_at", "days", "open"), F.struct("days", "name", "version"))
+    return bad.groupBy().agg(F.count_distinct(coord).alias("versions"), worst.alias("worst")).where("versions > 0").select("versions", "worst.*")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.names import pep503
@@ -28,6 +32,36 @@ def lock_edges(entries: DataFrame) -> DataFrame:
     return tried.join(there, ["project", "origin", "found"], "left_semi").select(F.lit("npm").alias("ecosystem"), "parent", "child").distinct()
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("parent", T.StringType()), T.StructField("child", T.StringType())])))
+def _tree(text: pd.Series) -> pd.Series:
+    def read(t: str | None) -> list[dict]:
+        try:
+            doc = json.loads(t or "")
+            if any((doc.get("packages") or {}).keys()):
+                return []
+            out, todo = [], [(None, doc.get("dependencies") or {})]
+            while todo:
+                parent, entries = todo.pop()
+                for name, e in entries.items():
+                    out.append({"parent": parent, "child": name})
+                    out += [{"parent": name, "child": c} for c in e.get("requires") or {}]
+                    todo.append((name, e.get("dependencies") or {}))
+            return out
+        except (ValueError, AttributeError, TypeError):
+            return []
+
+    return pd.Series([read(t) for t in text], dtype=object)
+
+
+def tree_edges(texts: DataFrame) -> DataFrame:
+    """Edges of nested lockfiles: from each package to what it holds and to what it requires; a null parent is the project.
+
+    Manifests that are no such lockfile give none.
+    """
+    locks = texts.where(F.col("basename").isin("package-lock.json", "npm-shrinkwrap.json"))
+    return locks.select(F.explode(_tree("text")).alias("e")).select(F.lit("npm").alias("ecosystem"), "e.parent", "e.child").distinct()
+
+
 def poetry_edges(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``entries`` (name, dependencies) to edges among declared packages, and roots: declared but depended on by none."""
     declared = entries.select(pep503(F.col("name")).alias("name")).where("name <> ''").distinct()

@@ -15,7 +15,8 @@ from .. import fixed
 from ..corpus import DEFAULT, Corpus
 from ..operators import changes, correlate, exposure, rules, scoring, suppress
 from ..schema import FINDING, complete
-from ..sources import feeds, manifests
+from ..sources import feeds, installed, manifests
+from ..sources import online as online_sources
 from ..sources.settings import Policy
 from .storage import stored
 
@@ -45,6 +46,32 @@ class Report:
     as_of: datetime | None = None
 
 
+def service_feeds(packages: DataFrame, client: online_sources.Client) -> tuple[Feeds, list[str]]:
+    """What the registries and the advisory service say of packages, each answer fetched once, and what could not be asked.
+
+    ``packages`` are complete rows; the answers are stored, so that no later
+    step asks again.
+    """
+    asked = packages.where("kind = 'package' AND name IS NOT NULL").select("ecosystem", "name", F.when(F.col("version") != "", F.col("version")).alias("version")).distinct()
+    npm, pypi = (stored(asked.where(F.col("ecosystem") == e), f"asked-{e}") for e in ("npm", "pypi"))
+    of_npm = stored(online_sources.npm_releases(npm, client), "npm-releases")
+    of_pypi = stored(online_sources.pypi_releases(pypi, client), "pypi-releases")
+    hits = stored(online_sources.osv_hits(packages, client), "osv-hits")
+    proofs = feeds.slsa_provenance(stored(online_sources.npm_bundles(npm, client), "npm-bundles"))
+    proofs = proofs.unionByName(feeds.publisher_provenance(stored(online_sources.pypi_bundles(of_pypi, client), "pypi-bundles")), allowMissingColumns=True)
+    found = Feeds(
+        releases=of_npm.unionByName(of_pypi.drop("filename"), allowMissingColumns=True),
+        downloads=stored(online_sources.npm_downloads(npm, client), "npm-downloads"),
+        attestations=proofs,
+        intel_hits=hits,
+        intel_records=stored(online_sources.osv_records(hits, client), "osv-records"),
+    )
+    failed = found.releases.where("lookup_status = 'failed'").select("ecosystem", "name").distinct()
+    n = failed.count()
+    first = failed.orderBy("ecosystem", "name").first() if n else None
+    return found, [f"{n} lookups failed, so some online rules saw nothing (first: {first['ecosystem']}:{first['name']})"] if n else []
+
+
 def enrich(packages: DataFrame, from_feeds: Feeds) -> DataFrame:
     """Packages with what the feeds say of them."""
     out = packages
@@ -97,34 +124,75 @@ def judge(
     return Report(packages, found, scored, suppressed, known, seen, warnings=warnings, online=online, as_of=as_of)
 
 
-def scan(texts: DataFrame, as_of: datetime, policy: Policy = Policy(), online: bool = False, from_feeds: Feeds | None = None, installed: DataFrame | None = None, **inputs) -> Report:
-    """A run over manifest texts (project, origin, basename, text)."""
-    packages = manifests.dedupe(manifests.parse_manifests(texts))
-    if installed is not None:
-        packages = manifests.attach_installed(packages, installed)
-    if online and from_feeds is not None:
-        packages = enrich(packages, from_feeds)
-    return judge(stored(complete(packages), "packages"), as_of, policy, online, **inputs)
+def _asked(packages: DataFrame, online: bool, from_feeds: Feeds | None, client: online_sources.Client | None) -> tuple[DataFrame, list[str]]:
+    """Packages with what feeds, given or fetched, say of them, and warnings."""
+    warnings: list[str] = []
+    if online and from_feeds is None and client is not None:
+        from_feeds, warnings = service_feeds(packages, client)
+    return (enrich(packages, from_feeds) if online and from_feeds is not None else packages), warnings
+
+
+def scan(
+    texts: DataFrame,
+    as_of: datetime,
+    policy: Policy = Policy(),
+    online: bool = False,
+    from_feeds: Feeds | None = None,
+    installed_rows: DataFrame | None = None,
+    root: str | None = None,
+    client: online_sources.Client | None = None,
+    **inputs,
+) -> Report:
+    """A run over manifest texts (project, origin, basename, text).
+
+    With ``root``, a folder that the executors share, installed copies are read
+    from it: their scripts, their code and what their hooks run.  With a
+    ``client``, an online run asks the services.
+    """
+    packages = complete(manifests.dedupe(manifests.parse_manifests(texts)))
+    if installed_rows is not None:
+        packages = manifests.attach_installed(packages, installed_rows)
+    if root is not None:
+        packages = stored(installed.with_installed(packages, root), "installed")
+        inputs.setdefault("source_files", stored(installed.source_files(packages), "source-files"))
+        inputs.setdefault("install_sources", stored(installed.install_sources(packages), "install-sources"))
+    packages, warnings = _asked(packages, online, from_feeds, client)
+    packages = stored(complete(packages), "packages")
+    report = judge(packages, as_of, policy, online, **inputs)
+    nothing_read = source_warning(packages) if policy.correlate and root is not None else None
+    report.warnings += warnings + ([nothing_read] if nothing_read else [])
+    return report
+
+
+CHECK_SCOPE = "Only the name was judged: nothing is installed under it here and no lockfile pins it{}."
 
 
-def check(spark: SparkSession, specs: list[str], as_of: datetime, default: str = "npm", policy: Policy = Policy(), online: bool = False, from_feeds: Feeds | None = None) -> Report:
-    """A run over names given by hand."""
-    named = spark.createDataFrame([(s,) for s in specs], "text string").select(manifests.parse_spec(F.col("text"), default).alias("s"))
+def check(spark: SparkSession, specs: list[str], as_of: datetime, default: str = "npm", policy: Policy = Policy(), online: bool = False, from_feeds: Feeds | None = None, client: online_sources.Client | None = None) -> Report:
+    """A run over names given by hand. A spec without a name raises ``ValueError``."""
+    named = spark.createDataFrame([(s,) for s in specs], "text string").select("text", manifests.parse_spec(F.col("text"), default).alias("s"))
+    empty = [r["text"] for r in named.where("coalesce(s.name, '') = ''").collect()]
+    if empty:
+        raise ValueError(f"no package name in {empty[0]!r}")
     packages = complete(named.select("s.*", F.col("s.version").alias("spec"), F.lit(True).alias("direct"), F.lit("(command line)").alias("origin")))
-    if online and from_feeds is not None:
-        packages = enrich(packages, from_feeds)
-    return judge(packages, as_of, policy, online)
+    packages, warnings = _asked(packages, online, from_feeds, client)
+    report = judge(packages, as_of, policy, online)
+    report.warnings += warnings + [CHECK_SCOPE.format("" if online else "; --online asks the registries too")]
+    return report
 
 
-def diff(base: DataFrame, head: DataFrame, as_of: datetime, policy: Policy = Policy(), online: bool = False, from_feeds: Feeds | None = None, **inputs) -> Report:
+def diff(base: DataFrame, head: DataFrame, as_of: datetime, policy: Policy = Policy(), online: bool = False, from_feeds: Feeds | None = None, root: str | None = None, client: online_sources.Client | None = None, **inputs) -> Report:
     """A run over what was added or updated between two sets of complete package rows."""
     delta = stored(changes.compare(base, head), "changes")
     touched = delta.where(F.col("change").isin("added", "updated")).select(F.col("head_id").alias("pkg_id"))
     subjects = head.join(touched, "pkg_id", "left_semi")
-    if online and from_feeds is not None:
-        subjects = enrich(subjects, from_feeds)
+    if root is not None:
+        subjects = stored(installed.with_installed(subjects, root), "installed")
+        inputs.setdefault("source_files", stored(installed.source_files(subjects), "source-files"))
+        inputs.setdefault("install_sources", stored(installed.install_sources(subjects), "install-sources"))
+    subjects, warnings = _asked(subjects, online, from_feeds, client)
     report = judge(stored(subjects, "subjects"), as_of, policy, online, **inputs)
     report.changes = delta
+    report.warnings += warnings
     return report
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..operators import scoring, views
+from ..functions import texts
+from ..operators import exposure, scoring, views
 from ..plans.scan import History, Report
 
 TOOL = "riskloom"
@@ -127,6 +128,61 @@ def history_json(history: History) -> str:
     return json.dumps(doc, indent=2, ensure_ascii=False)
 
 
+def history_text(history: History, package: str = "", online: bool = False, most: int = 100) -> str:
+    """A history run for a terminal: what was exposed, a line per reported window with what to do, and what was read."""
+    counted = history.summary.first()
+    span = history.commits.agg(F.count("*").alias("n"), F.min("when").alias("a"), F.max("when").alias("b")).first()
+    shown = exposure.report_order(history.reported.withColumns({"lasted": texts.lasted(F.col("days")), "remedy": exposure.remedy()})).limit(most).collect()
+    out = []
+    if package:
+        n = history.reported.select("name", "version").distinct().count()
+        spans = history.reported.count()
+        out.append(f"{n} version{'' if n == 1 else 's'} of {package} pinned here, in {spans} span{'' if spans == 1 else 's'}" if n else f"nothing like {package} was pinned here")
+    elif counted["exposed"]:
+        worst = exposure.longest_exposure(history.reported).withColumn("lasted", texts.lasted(F.col("days"))).first()
+        until = "and still is" if worst["open"] else f"until {worst['left_at']:%Y-%m-%d}"
+        out.append(f"EXPOSED: {counted['exposed']} version{'' if counted['exposed'] == 1 else 's'} on a list of malware; {worst['name']}@{worst['version']} was pinned for {worst['lasted']}, {until}")
+    elif counted["with_advisories"]:
+        out.append(f"{counted['with_advisories']} version{'' if counted['with_advisories'] == 1 else 's'} with an advisory")
+    elif online:
+        out.append(f"never exposed: none of {counted['versions']} versions in {span['n']} commits is on a list of malware or has an advisory")
+    else:
+        out.append(f"read, not checked: {counted['versions']} versions in {span['n']} commits; --online asks for each")
+    for r in shown:
+        entered = f"{r['entered']:%Y-%m-%d}" if r["bounded"] else f"by {r['entered']:%Y-%m-%d}"
+        left = "now" if r["open"] else f"{r['left_at']:%Y-%m-%d}"
+        out.append(f"{r['severity']:<8}  {r['ecosystem']}:{r['name']}@{r['version']}  {entered} to {left}  ({r['lasted']})")
+        said = [f"{m['id']}: {m['summary']}" for m in r["malware"] or []] + ([", ".join(r["advisories"][:4])] if r["advisories"] else []) + ([f"in {', '.join(r['tags'][:4])}"] if r["tags"] else [])
+        out += [f"            {x}" for x in said]
+        if r["remedy"]:
+            out.append(f"            {r['remedy']}")
+    ever = "in the commits read" if history.truncated or history.warnings else "ever pinned"
+    out.append(f"{span['n']} commits, {counted['versions']} versions {ever}" + (f", {span['a']:%Y-%m-%d} to {span['b']:%Y-%m-%d}" if span["n"] else ""))
+    if history.truncated:
+        out.append(f"! only the newest {span['n']} commits were read; --limit reads more")
+    return "\n".join([*out, *[f"! {w}" for w in history.warnings]])
+
+
+def _campaign_lines(report: Report, most: int = 5) -> list[str]:
+    """The first campaigns, a line for each and one for each of its links."""
+    if report.campaigns is None:
+        return []
+    rows = report.campaigns.orderBy(F.length("label"), "label").limit(most + 1).collect()
+    out = []
+    for r in rows[:most]:
+        burst = f", {r['burst']}" if r["burst"] else ""
+        out.append(f"{r['label']}: {len(r['members'])} packages{burst}: {', '.join(r['members'][:6])}{' and more' if len(r['members']) > 6 else ''}")
+        out += [f"  {x['kind']}: {x['display']}: {x['detail']}" for x in r["links"][:4]]
+    return out + (["and more campaigns"] if len(rows) > most else [])
+
+
+def _change_line(report: Report) -> str | None:
+    if report.changes is None:
+        return None
+    n = {r["change"]: r["n"] for r in report.changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
+    return ", ".join(f"{n.get(k, 0)} {k}" for k in ("added", "updated", "removed", "unchanged"))
+
+
 def report_markdown(report: Report, most: int = 20) -> str:
     """A report for a pull request: what is worst, a table of the first ``most``, and their evidence."""
     dots = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "⚪"}
@@ -135,7 +191,9 @@ def report_markdown(report: Report, most: int = 20) -> str:
     line = _headline(report) or "Nothing matched."
     bad = any(r["severity"] in ("critical", "high") for r in rows)
     out = [f"<!-- {TOOL} -->", f"## {TOOL}", "", f"> [!{'WARNING' if bad else 'NOTE'}]", f"> {line}", ""]
-    safe = lambda s: s.replace("`", "'")
+    safe = lambda s: s.replace("`", "'").replace("|", "\\|")
+    if changed := _change_line(report):
+        out += [f"{changed}.", ""]
     if rows:
         out += ["| | Package | Score | Why |", "|:--:|---|--:|---|"]
         for r in rows:
@@ -153,7 +211,9 @@ def report_markdown(report: Report, most: int = 20) -> str:
                 out += [f"  - `{safe(e)}`" for e in f["evidence"][:4]]
             out += ["", f"*fix:* {r['findings'][0]['fix']}", ""]
         out += ["</details>", ""]
-    return "\n".join(out)
+    if alike := _campaign_lines(report):
+        out += ["### Campaigns", "", *[f"{'  ' if x.startswith('  ') else ''}- {safe(x.strip())}" for x in alike], ""]
+    return "\n".join([*out, *[f"> {w}" for w in report.warnings]])
 
 
 def report_text(report: Report) -> str:
@@ -166,6 +226,11 @@ def report_text(report: Report) -> str:
         for f in r["findings"]:
             out.append(f"     {f['rule_id']}  {f['title']}")
             out += [f"       {e}" for e in f["evidence"][:4]]
+    out += _campaign_lines(report)
+    crowded = views.crowds(report.verdicts).orderBy(F.desc("n"), "first_name").limit(6).collect()
+    out += [f"{r['n']} packages with {', '.join(r['rules'])} alone, such as {r['first_name']}" for r in crowded]
+    if changed := _change_line(report):
+        out.append(changed)
     counts = views.severity_counts(report.verdicts).collect()
     out.append(", ".join(f"{r['n']} {r['severity']}" for r in counts if r["n"]) or "nothing matched")
     return "\n".join([*out, *[f"! {w}" for w in report.warnings]])

@@ -64,7 +64,10 @@ def with_registry(packages: DataFrame, history: DataFrame, downloads: DataFrame
         F.when(F.col("lookup_status") == "ok", F.coalesce(F.col("repository"), F.lit("")) == "").alias("repo_missing"),
         repo_slug(F.col("repository")).alias("declared_repo"),
     )
-    found = asked.join(meta, ["ecosystem", "name", "resolved_version"], "left")
+    # The registry lacks a name, not one of its releases: whatever version was asked for.
+    gone = history.where("lookup_status = 'absent'").select("ecosystem", "name").distinct().withColumn("gone", F.lit(True))
+    found = asked.join(meta, ["ecosystem", "name", "resolved_version"], "left").join(gone, ["ecosystem", "name"], "left")
+    found = found.withColumn("unpublished", F.coalesce("gone", "unpublished")).drop("gone")
     if downloads is not None:
         found = found.join(downloads.select("ecosystem", "name", "downloads"), ["ecosystem", "name"], "left")
     own = [c for c in packages.columns if c not in found.columns or c in ("ecosystem", "name", "version")]

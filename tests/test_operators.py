@@ -116,19 +116,19 @@ def test_publisher_campaign_with_burst(spark):
 def test_routes(spark):
     lock = {
         "packages": {
-            "": {"dependencies": {"app-kit": "1", "other": "1"}},
-            "node_modules/app-kit": {"version": "1", "dependencies": {"build-tools": "1"}},
-            "node_modules/build-tools": {"version": "1", "dependencies": {"colorz": "1", "missing": "1"}},
-            "node_modules/build-tools/node_modules/colorz": {"version": "1"},
-            "node_modules/other": {"version": "1", "dependencies": {"app-kit": "1", "other": "1"}},
+            "": {"dependencies": {"tide-clock": "1", "other": "1"}},
+            "node_modules/tide-clock": {"version": "1", "dependencies": {"moss-garden": "1"}},
+            "node_modules/moss-garden": {"version": "1", "dependencies": {"pebble": "1", "missing": "1"}},
+            "node_modules/moss-garden/node_modules/pebble": {"version": "1"},
+            "node_modules/other": {"version": "1", "dependencies": {"tide-clock": "1", "other": "1"}},
         }
     }
     entries = manifests.lock_entries(frame(spark, [("p", "package-lock.json", "package-lock.json", json.dumps(lock))], manifests.TEXTS))
     edges = routes.lock_edges(entries)
-    assert {(r["parent"], r["child"]) for r in edges.collect()} == {(None, "app-kit"), (None, "other"), ("app-kit", "build-tools"), ("build-tools", "colorz"), ("other", "app-kit"), ("other", "other")}
-    targets = frame(spark, [("npm", "colorz"), ("npm", "other"), ("npm", "nowhere")], "ecosystem string, name string")
+    assert {(r["parent"], r["child"]) for r in edges.collect()} == {(None, "tide-clock"), (None, "other"), ("tide-clock", "moss-garden"), ("moss-garden", "pebble"), ("other", "tide-clock"), ("other", "other")}
+    targets = frame(spark, [("npm", "pebble"), ("npm", "other"), ("npm", "nowhere")], "ecosystem string, name string")
     got = {(r["target"], r["turn"]): r["route"] for r in routes.routes_to(edges, routes.roots_of(edges), targets).collect()}
-    assert got == {("colorz", 1): ["app-kit", "build-tools", "colorz"], ("other", 1): ["other"]}
+    assert got == {("pebble", 1): ["tide-clock", "moss-garden", "pebble"], ("other", 1): ["other"]}
 
 
 def test_diff(spark):
@@ -220,19 +220,21 @@ def test_command_line_over_a_repository(spark, tmp_path, capsys):
         git("commit", "-qm", f"chalk {v}")
     assert cli.main(["scan", str(tmp_path)], spark) == 0
     assert "nothing matched" in capsys.readouterr().out
-    assert cli.main(["history", str(tmp_path), "--package", "chalk"], spark) == 0
+    assert cli.main(["history", str(tmp_path), "--package", "chalk", "--format", "json"], spark) == 0
     doc = json.loads(capsys.readouterr().out)
     assert sorted(w["version"] for w in doc["windows"]) == ["5.3.0", "5.3.0", "5.6.1"] and doc["range"]["commits"] == 3
+    assert cli.main(["history", str(tmp_path)], spark) == 0
+    assert capsys.readouterr().out.startswith("read, not checked: 2 versions in 3 commits")
     assert cli.main(["diff", str(tmp_path), "--since", "HEAD~1", "--format", "json"], spark) == 0
     assert json.loads(capsys.readouterr().out)["summary"]["changed"] == 1
     assert cli.main(["check", "lodahs", "--fail-on", "medium"], spark) == 1
 
 
 def test_why_and_init(spark, tmp_path, capsys):
-    lock = {"packages": {"": {"dependencies": {"app-kit": "1"}}, "node_modules/app-kit": {"version": "1", "dependencies": {"colorz": "1"}}, "node_modules/colorz": {"version": "1"}}}
+    lock = {"packages": {"": {"dependencies": {"tide-clock": "1"}}, "node_modules/tide-clock": {"version": "1", "dependencies": {"pebble": "1"}}, "node_modules/pebble": {"version": "1"}}}
     (tmp_path / "package-lock.json").write_text(json.dumps(lock))
-    assert cli.main(["why", "color", str(tmp_path)], spark) == 0
-    assert capsys.readouterr().out == "app-kit > colorz\n"
+    assert cli.main(["why", "pebb", str(tmp_path)], spark) == 0
+    assert capsys.readouterr().out == "tide-clock > pebble\n"
     assert cli.main(["init", str(tmp_path)]) == 0 and cli.main(["init", str(tmp_path)]) == 0
     assert "there already" in capsys.readouterr().out
     assert settings.read_policy(str(tmp_path / "riskloom.toml"), date(2026, 1, 1)) == settings.Policy()
