@@ -271,9 +271,11 @@ def _built(r: fixed.RuleInfo, evidence: Callable[[], Column], asked: tuple) -> C
     return _BUILT[key]
 
 
-def row_findings(packages: DataFrame, as_of: datetime, online: bool = False, disabled: Iterable[str] = (), fresh_days: int = 14, corpus: Corpus = DEFAULT) -> DataFrame:
+def row_findings(packages: DataFrame, as_of: datetime, online: bool = False, disabled: Iterable[str] = (), fresh_days: int = 14, corpus: Corpus = DEFAULT, carry: Iterable[str] = ()) -> DataFrame:
     """``(pkg_id, rule_id, evidence)`` of the rules over single rows, by one scan of complete package rows.
 
+    Columns of ``packages`` named in ``carry`` come along.
+
     Rows that stand for a manifest see the lockfile rules only.
     """
     known = {**row_evidence(as_of, fresh_days, corpus), **_USER_EVIDENCE}
@@ -281,9 +283,9 @@ def row_findings(packages: DataFrame, as_of: datetime, online: bool = False, dis
     if any(r.id == "HEM102" for r in active_rules(online, disabled)):
         packages = _with_affixes(packages, corpus)
     if not found:
-        return packages.select("pkg_id", F.lit("").alias("rule_id"), F.array().cast(_NONE).alias("evidence")).where("false")
+        return packages.select("pkg_id", *carry, F.lit("").alias("rule_id"), F.array().cast(_NONE).alias("evidence")).where("false")
     hits = F.filter(F.array(*found), lambda f: F.size(f["evidence"]) > 0)
-    return packages.select("pkg_id", F.explode(hits).alias("f")).select("pkg_id", "f.rule_id", "f.evidence")
+    return packages.select("pkg_id", *carry, F.explode(hits).alias("f")).select("pkg_id", *carry, "f.rule_id", "f.evidence")
 
 
 def near_miss_findings(packages: DataFrame, corpus: Corpus = DEFAULT) -> DataFrame:

