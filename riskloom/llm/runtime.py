@@ -74,3 +74,10 @@ def unused_name(df: DataFrame, stem: str) -> str:
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns of ``df``, under the operator's own names."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+def without(df: DataFrame, *added: str) -> tuple[list, list[int]]:
+    """Fields and places of the columns of ``df`` that stay where columns named ``added`` are put behind them; one of the same name gives way."""
+    names = {a.lower() for a in added}
+    at = [i for i, c in enumerate(df.columns) if c.lower() not in names]
+    return [df.schema.fields[i] for i in at], at

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .runtime import keyed, materialize, narrow, table
+from .runtime import keyed, materialize, narrow, table, without
 
 BITS = 64
 SEED = 42
@@ -56,16 +56,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", words: int = 3) -> DataFrame:
-    """``df`` with the SimHash of ``text`` as a signed long in column ``out``, which must be a new name."""
-    if out.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"there is a column {out} already")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType(), False)])
+    """``df`` with the SimHash of ``text`` as a signed long in column ``out``; a column of that name gives way."""
+    fields, stay = without(df, out)
+    schema = T.StructType([*fields, T.StructField(out, T.LongType(), False)])
     at = df.columns.index(text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(at)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], pa.array(values.view(np.int64))], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(each, schema)
 
