@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .merges import merge_by_rank
-from .runtime import narrow, table
+from .runtime import narrow, table, without
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -114,19 +114,20 @@ class PieceCodec:
         longest: list[str | None] = [None] * n
         for end, (before, piece) in self.automaton.iter(text):  # of one start, longer matches end later
             longest[end - before] = piece
-        failed = 0
+        failed = bytearray((n >> 3) + 1)  # a bit for each position
         taken: list[str] = []
         last = None
         at, piece, pairs = 0, longest[0], self.pairs
         while at < n:
             while piece is not None:
-                if not failed >> (at + len(piece)) & 1:
+                to = at + len(piece)
+                if not failed[to >> 3] >> (to & 7) & 1:
                     may = last is None or pairs.get((last, piece))
                     if may or (may is None and self._may_follow(last, piece)):
                         break
                 piece = self._next_shorter(piece)
             if piece is None:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 if not taken:
                     raise AssertionError("a string of known characters has an encoding")
                 piece = taken.pop()
@@ -306,15 +307,16 @@ def _read(path: str) -> tuple[bytes, frozenset[str]]:
 
 
 def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with the ids of whole texts, end id last, in column ``out``; a null text counts as empty."""
+    """``df`` with the ids of whole texts, end id last, in column ``out``; a null text counts as empty, and a column of that name gives way."""
     model = df.sparkSession.sparkContext.broadcast(_read(model_path))  # one vocabulary file
-    at, schema = df.columns.index(text), T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    fields, stay = without(df, out)
+    at, schema = df.columns.index(text), T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(*model.value)
         for batch in batches:
             ids = pa.array([codec.encode(t.as_py()) for t in batch.column(at)], type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], ids], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(each, schema)
 
@@ -322,13 +324,14 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str =
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the texts of id lists in column ``out``; a null list gives an empty text."""
     model = df.sparkSession.sparkContext.broadcast(_read(model_path))
-    at, schema = df.columns.index(ids), T.StructType([*df.schema.fields, T.StructField(out, T.StringType(), False)])
+    fields, stay = without(df, out)
+    at, schema = df.columns.index(ids), T.StructType([*fields, T.StructField(out, T.StringType(), False)])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(*model.value)
         for batch in batches:
             texts = pa.array([codec.decode(x.as_py() or []) for x in batch.column(at)], type=pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], texts], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(each, schema)
 
