@@ -7,14 +7,14 @@ polynomial of its code points modulo 2**64.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import numpy as np
+import regex
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Runs of letters, in any script.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, in any script; fractions, raised digits and Roman numerals are none.
+LETTERS = regex.compile(r"\p{L}+")
 
 
 class WordGrams:

@@ -22,12 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chargrams import LETTERS, WordGrams, slots
-from .runtime import narrow, table, unused_name
+from .runtime import narrow, table, unused_name, without
 
 #: Expected size of the sample that a language is learned from.
 ROWS_PER_LANGUAGE = 3_000
-#: Languages learned: the most frequent labels.
-MOST_LANGUAGES = 256
 ORDERS = (1, 2, 3, 4)
 SLOT_BITS = 16
 PENALTY = 6.0
@@ -65,9 +63,11 @@ def _words(text: str | None) -> list[str]:
 
 
 def _scripts(grams: WordGrams) -> np.ndarray:
-    """The script of each word's first letter."""
-    first = np.nonzero(grams.blank)[0][:-1] + 1
-    return _SCRIPT_AT[np.searchsorted(_STARTS, grams.codes[first], side="right") - 1]
+    """The script of most of each word's letters; of equals the first by name."""
+    at = np.nonzero(~grams.blank)[0]
+    letter = _SCRIPT_AT[np.searchsorted(_STARTS, grams.codes[at], side="right") - 1]
+    seen = np.bincount(grams.word[at] * len(SCRIPTS) + letter, minlength=grams.n_words * len(SCRIPTS))
+    return seen.reshape(-1, len(SCRIPTS)).argmax(axis=1)
 
 
 def _places(grams: WordGrams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -86,20 +86,27 @@ class LanguageModel:
     candidates: np.ndarray  # (scripts, languages)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """(words, languages); a language that is no candidate for a word's script scores far below."""
+        """(words, languages); grams are looked up for the candidates of a word's script alone, other languages score far below.
+
+        A word in a script that no language is written in scores zero for all.
+        """
+        out = np.zeros((len(words), len(self.languages)), np.float32)
         if not words or not self.languages:
-            return np.zeros((len(words), len(self.languages)), np.float32)
-        grams = WordGrams(words)
-        out = np.zeros((len(words), len(self.languages)))
-        for word, place in _places(grams):
-            values = self.grams[place]
-            for i in range(len(self.languages)):
-                out[:, i] += np.bincount(word, values[:, i], minlength=len(words))
-        allowed = self.candidates[_scripts(grams)]
-        some = allowed.any(axis=1)
-        out[some] = np.where(allowed[some], out[some], out[some].min(axis=1, keepdims=True) - 20.0)
-        out[~some] = 0.0
-        return out.astype(np.float32)
+            return out
+        script = _scripts(WordGrams(words))
+        for s in np.unique(script):
+            languages = np.nonzero(self.candidates[s])[0]
+            if not len(languages):
+                continue
+            some = np.nonzero(script == s)[0]
+            scores = np.zeros((len(some), len(languages)))
+            if len(languages) > 1:  # where one is left, nothing is to be told apart
+                for word, place in _places(WordGrams([words[i] for i in some])):
+                    for k, language in enumerate(languages):
+                        scores[:, k] += np.bincount(word, self.grams[place, language], minlength=len(some))
+            out[some] = scores.min(axis=1, keepdims=True) - 20.0
+            out[np.ix_(some, languages)] = scores
+        return out
 
     def label(self, texts: list[str | None], penalty: float = PENALTY) -> list[np.ndarray]:
         """The language of every word of each text, as places in ``languages``."""
@@ -151,13 +158,13 @@ def viterbi(texts: list[np.ndarray], scores: np.ndarray, penalty: float) -> list
 
 
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LanguageModel:
-    """Learn from the rows of ``docs`` where ``learn`` holds and the label is not null.
+    """Learn from the rows of ``docs`` where ``learn`` holds and the label is not null, every label that occurs.
 
-    Without any such row the model knows no language and every text is ``und``.
+    The model has 2**16 numbers for each language.  Without any such row the model knows no language and every text is ``und``.
     """
     rows = docs.where(learn & F.col(f"`{lang}`").isNotNull())
     rows = narrow(rows, doc_id=doc_id, text=text, lang=lang)
-    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return LanguageModel([], np.zeros((1 << SLOT_BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
@@ -170,20 +177,18 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
     n_languages = len(languages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (kind, slot, lang, n): n-grams of kind 0, scripts of kind 1."""
-        grams_of = np.zeros((n_languages, 1 << SLOT_BITS), np.int64)
-        scripts_of = np.zeros((n_languages, len(SCRIPTS)), np.int64)
+        """Rows (kind, slot, lang, n) of each batch: n-grams of kind 0, scripts of kind 1."""
         for batch in batches:
+            seen: dict[int, list[np.ndarray]] = {0: [], 1: []}
             for lang_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = _words(value.as_py())
                 if words:
                     grams = WordGrams(words)
-                    scripts_of[lang_] += np.bincount(_scripts(grams), minlength=len(SCRIPTS))
-                    for _, places in _places(grams):
-                        grams_of[lang_] += np.bincount(places, minlength=1 << SLOT_BITS)
-        for kind, counts in ((0, grams_of), (1, scripts_of)):
-            lang_, slot = np.nonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), kind)), pa.array(slot), pa.array(lang_), pa.array(counts[lang_, slot])], names=["kind", "slot", "lang", "n"])
+                    seen[1].append(_scripts(grams) + (lang_ << SLOT_BITS))
+                    seen[0] += [places + (lang_ << SLOT_BITS) for _, places in _places(grams)]
+            for kind, keys in seen.items():
+                key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key & ((1 << SLOT_BITS) - 1)), pa.array(key >> SLOT_BITS), pa.array(n)], names=["kind", "slot", "lang", "n"])
 
     counts = sample.mapInArrow(count, "kind long, slot long, lang long, n long").groupBy("kind", "slot", "lang").agg(F.sum("n").alias("n")).toArrow()
     kind, slot, lang_, n = (counts.column(c).to_numpy() for c in ("kind", "slot", "lang", "n"))
@@ -204,12 +209,13 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty:
     """``docs`` with ``lang_pred``, ``score`` and ``spans`` (runs of words of one language, in order).
 
     Null texts and those without a letter are ``und`` with score 0 and no spans.
-    Whole texts are read.  Columns of those names in ``docs`` are an error.
+    Whole texts are read.  Columns of those names in ``docs`` give way.
     """
+    fields, stay = without(docs, "lang_pred", "score", "spans")
     added = [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("spans", _SPANS, False)]
-    schema = T.StructType([*docs.schema.fields, *added])
+    schema = T.StructType([*fields, *added])
     at = docs.columns.index(text)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SLOT_BITS and MOST_LANGUAGES
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**SLOT_BITS numbers a language
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +241,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty:
                     cuts = np.concatenate((np.nonzero(np.diff(labels, prepend=-1))[0], [len(labels)]))
                     spans.append([{"lang": names[labels[i]], "words": int(j - i)} for i, j in zip(cuts[:-1], cuts[1:])])
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span_type)],
-                    names=[*part.schema.names, "lang_pred", "score", "spans"],
+                    [*[part.column(i) for i in stay], pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span_type)],
+                    names=[f.name for f in schema.fields],
                 )
 
     return docs.mapInArrow(each, schema)

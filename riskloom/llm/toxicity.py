@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chargrams import LETTERS, WordGrams
-from .runtime import materialize, narrow, table, unused_name
+from .runtime import materialize, narrow, table, unused_name, without
 
 #: Characters of a gram of the class-conditional order, and of the shared one.
 ORDER, SHARED = 5, 3
@@ -288,9 +288,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     """``docs`` with ``toxicity`` (0 to 1) and ``expression``, the word with the strongest evidence (null without words).
 
     Whole texts are read; null, empty and wordless ones have evidence zero.
-    Columns of those names in ``docs`` are an error.
+    Columns of those names in ``docs`` give way.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType(), False), T.StructField("expression", T.StringType())])
+    fields, stay = without(docs, "toxicity", "expression")
+    schema = T.StructType([*fields, T.StructField("toxicity", T.DoubleType(), False), T.StructField("expression", T.StringType())])
     at = docs.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model.only("all"))
 
@@ -298,7 +299,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
         for batch in _grouped(batches, at):
             found = sent.value.strongest(batch.column(at).to_pylist())
             scores = pa.array([sent.value.score(e) for e, _ in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores, pa.array([w for _, w in found], pa.string())], names=[*batch.schema.names, "toxicity", "expression"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], scores, pa.array([w for _, w in found], pa.string())], names=[f.name for f in schema.fields])
 
     return docs.mapInArrow(each, schema)
 

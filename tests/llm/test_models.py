@@ -111,3 +111,22 @@ def test_grams_stay_within_words():
     assert [len(grams.ends(n)) for n in (1, 2, 3, 4)] == [3, 5, 3, 1]
     same = chargrams.WordGrams(["xab", "ab"])
     assert same.ids(3)[4] == same.ids(3)[7] == grams.ids(3)[3] or same.ids(2)[3] == grams.ids(2)[2]
+
+
+def test_texts_without_a_letter_and_taken_names(spark):
+    rows, _ = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, place int")
+    model = language.train(df, F.lit(True))
+    odd = spark.createDataFrame([(1, "½ ² Ⅷ 12 _", "a"), (2, "", "b"), (3, None, "c"), (4, "ab " * 200_000, "d")], "doc_id long, text string, score string")
+    got = {r["doc_id"]: r for r in language.identify(odd, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["lang_pred"] in SYLLABLES and 0 <= got[4]["score"] <= 1
+    kept = language.drop_unidentified(odd, model)
+    assert kept.columns == odd.columns and [r["score"] for r in kept.collect()] == ["d"]
+
+
+def test_every_label_is_learned(spark):
+    df = spark.createDataFrame([(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} " * 5, f"l{i}") for i in range(300)], "doc_id long, text string, lang string")
+    model = language.train(df, F.lit(True))
+    assert len(model.languages) == 300
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df.select("doc_id", "text"), model).collect()}
+    assert sum(got[i] == f"l{i}" for i in range(300)) >= 290
