@@ -11,8 +11,8 @@ end resets the state.
 
 White space always resets it too.  So the map of any chunk of text from states
 to states needs only its first and last unfinished word beside a count, such
-maps compose associatively, and a prefix scan over the chunks of a long text
-gives the counts up to every chunk.
+maps compose associatively, and the up-sweep of a prefix scan over the chunks
+of a long text, the half that the whole text's count needs, gives its map.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -175,13 +175,18 @@ class TokenCounter:
         """Tokens of a normalized string without white space."""
         found = self.pieces.get(piece)
         if found is None:
-            found = sum(self._word(w.encode("utf-8", "surrogatepass")) for w in self.pattern.findall(piece))
+            found = sum(self._word(w.encode("utf-8", "surrogatepass")) for w in self._pretokens(piece))
             if len(piece) <= 64:
                 if len(self.pieces) >= self.cached:
                     self.pieces.clear()
                 self.pieces[piece] = found
         return found
 
+    def _pretokens(self, piece: str) -> Iterator[str]:
+        if len(piece) <= CHUNK:
+            return iter(self.pattern.findall(piece))
+        return (m.group() for m in self.pattern.finditer(piece))  # one at a time, however long the piece
+
     def chunk_map(self, chunk: str) -> ChunkMap:
         """The map of a chunk of normalized text."""
         words = _SPACE.split(chunk) if _FALSE_SPACE.search(chunk) else chunk.split()
@@ -217,8 +222,7 @@ class TokenCounter:
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # each character by itself
         if len(text) <= CHUNK:
             return self.total(self.chunk_map(text))
-        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        return self.total(prefix_scan(maps, self.compose)[-1])
+        return self.total(composed((self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)), self.compose, ChunkMap("")))
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; special strings count one each."""
@@ -232,12 +236,23 @@ class TokenCounter:
         return len(found) + sum(self._segment(s) for s in self.special.split(text))
 
 
-def prefix_scan(items: Sequence, compose: Callable) -> list:
-    """All prefixes' compositions, in rounds that double the reach: as many as the logarithm of the length."""
-    out, reach = list(items), 1
-    while reach < len(out):
-        out = [compose(out[i - reach], x) if i >= reach else x for i, x in enumerate(out)]
-        reach *= 2
+def composed(items: Iterable, compose: Callable, unit):
+    """The composition of all items: the up-sweep of a parallel prefix scan, whose last prefix it is.
+
+    Neighbours of equal reach are composed as soon as both are there, so that
+    of n items as many as the logarithm of n are held at a time, and each is
+    copied that often.
+    """
+    held: list[tuple[int, object]] = []
+    for item in items:
+        reach = 1
+        while held and held[-1][0] == reach:
+            item = compose(held.pop()[1], item)
+            reach *= 2
+        held.append((reach, item))
+    out = unit
+    while held:
+        out = compose(held.pop()[1], out)
     return out
 
 
