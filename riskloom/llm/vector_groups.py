@@ -1,15 +1,20 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Vectors of one label are cut into cells around pivots; a vector that is almost
-as near to another pivot joins that cell too.  In every cell a graph is built:
-of each vector's nearest, one is dropped if it is much closer to a neighbour
-already kept, and a few links go far.  A vector's adjacency lists from all its
+Vectors of one label are cut into cells around pivots; a vector is at home with
+its nearest pivot and joins every other cell from whose border it is no farther
+than two linked vectors can be, so that all its links are in its home cell
+whatever the cut.  In every cell a graph is built: of each vector's nearest, one
+is dropped if it is much closer to a neighbour already kept, and a few links go
+far.  A vector's adjacency lists from all its
 cells are united.  Then every vector is searched for from its own cell's medoid,
 greedily, and from what lies within the threshold the search widens as long as
 it finds more; all links are verified by exact cosine.  The search of each cell
 is audited against brute force on a sample of its vectors, and repeated with a
 wider beam where it missed any.
 
+A cell that no cut makes smaller, because its vectors are all alike, is dealt to
+blocks, and every two of its blocks are compared whole in a task of their own.
+
 Equal vectors are one node with a weight.  Links leave a cell as counts and as
 the edges of a spanning forest, so that a dense group's pairs are never rows.
 """
@@ -31,8 +36,6 @@ from .vectors import matrix, usable
 CELL = 8_192
 #: Pivots of one cut: about so many rows chosen by hash, whatever the cell's size.
 PIVOTS = 16
-#: A vector joins every cell whose pivot is at most this much farther than its nearest.
-MARGIN = 0.12
 #: Links kept of near and of far candidates, and how much closer a kept neighbour must be to drop one.
 NEAR, FAR, ALPHA = 20, 8, 1.2
 #: Candidates of the pruning.
@@ -47,7 +50,16 @@ SLACK = 0.03
 # cells
 
 
-def _assign(margin: float):
+def _assign(least: float):
+    """Rows of cells that are cut to rows of the cells they are cut into.
+
+    Let x be at home with pivot p, y with q, and their distance at most r.  The
+    border between p and q is a plane with x on the side of p and y on that of
+    q, so y is no farther than r from it: |y-p|^2 - |y-q|^2 <= 2 r |p-q|.  So
+    where y joins all cells for which that holds, x finds it at home.
+    """
+    reach = float(np.sqrt(2 - 2 * least)) + 1e-6
+
     def each(rows: pa.RecordBatch) -> pa.RecordBatch:
         dims = len(rows.column("vector")[0])
         vectors = matrix(rows.column("vector"), dims)
@@ -61,9 +73,10 @@ def _assign(margin: float):
         for cell, members in groups.items():
             pivots = matrix(pivots_of.slice(members[0], 1).flatten(), dims)
             pivots /= np.sqrt((pivots * pivots).sum(axis=1))[:, None]
-            far = np.sqrt(np.maximum(2 - 2 * vectors[members] @ pivots.T, 0))
+            apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+            far = np.maximum(2 - 2 * vectors[members] @ pivots.T, 0)  # squares of distances
             nearest = far.argmin(axis=1)
-            joins = far <= far[np.arange(len(members)), nearest][:, None] + margin
+            joins = far - far[np.arange(len(members)), nearest][:, None] <= 2 * reach * apart[nearest] + 1e-9
             for m, home, row in zip(members, nearest, joins):
                 for p in np.nonzero(row)[0]:
                     out_row.append(m)
@@ -76,11 +89,12 @@ def _assign(margin: float):
     return lambda batches: (each(b) for b in batches if b.num_rows)
 
 
-def _cells(nodes: DataFrame, size: int, margin: float, rounds: int = 6) -> DataFrame:
+def _cells(nodes: DataFrame, size: int, least: float, rounds: int = 6) -> DataFrame:
     """``(rid, weight, vector, cell, home)`` in overlapping cells of about ``size`` rows.
 
     Every vector is at home in one cell.  A cell that a cut does not make
-    smaller, because its vectors are all alike, stays as it is.
+    smaller, because its vectors are all alike, stays as it is, and so does what
+    is left after ``rounds``: ``_crowded`` takes both.
     """
     now = nodes.withColumn("home", F.lit(True))
     done: list[DataFrame] = []
@@ -97,7 +111,7 @@ def _cells(nodes: DataFrame, size: int, margin: float, rounds: int = 6) -> DataF
         if pivots.isEmpty():
             break
         cut = now.join(pivots, "cell").select("rid", "weight", "vector", "cell", "home", "pivots")
-        cut = materialize(cut.mapInArrow(_assign(margin), cut.drop("pivots").schema), f"groups-cut-{k}")
+        cut = materialize(cut.mapInArrow(_assign(least), cut.drop("pivots").schema), f"groups-cut-{k}")
         # A cut that copies most rows into most cells is taken back.
         kept = cut.select("*", F.regexp_replace("cell", r"\.\d+$", "").alias("parent"))
         useful = kept.groupBy("parent", "cell").agg(F.count("*").alias("n")).groupBy("parent").agg(F.max("n").alias("most"))
@@ -231,31 +245,85 @@ def _search(least: float):
             if not missed:
                 break
             beam *= 4
-        parent = list(range(n))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        count = np.zeros(n, np.int64)
-        for i in np.nonzero(home)[0]:
+        count, forest = np.zeros(n, np.int64), _Forest(n)
+        for i in np.nonzero(home)[0].tolist():
             found = range_search(vectors[i], vectors, links, entry, least, beam) if beam < n else np.nonzero(vectors @ vectors[i] >= least - 1e-9)[0]
             found = exactly(i, found)
             count[i] = weight[found].sum()
             for j in found.tolist():
-                a, b = root(int(i)), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        roots = np.array([root(i) for i in range(n)], dtype=np.int64) if n else np.zeros(0, np.int64)
+                forest.join(i, j)
+        roots = forest.roots()
         keep = home | (roots != np.arange(n))
         return pa.table({"rid": pa.array(rid[keep]), "home": pa.array(home[keep]), "links": pa.array(count[keep]), "root": pa.array(rid[roots][keep])})
 
     return each
 
 
-def vector_groups(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cell: int = CELL, margin: float = MARGIN) -> DataFrame:
+class _Forest:
+    """Disjoint sets of places, each named by its least."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.root(x), self.root(y)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(i) for i in range(len(self.parent))], dtype=np.int64)
+
+
+def _compare(least: float):
+    """Links between the two blocks of a task, or within the one that it has."""
+
+    def each(rows: pa.Table) -> pa.Table:
+        rid, weight, home, block = (np.asarray(rows.column(c)) for c in ("rid", "weight", "home", "block"))
+        raw = matrix(rows.column("vector"), len(rows.column("vector")[0]))
+        norms = np.sqrt((raw * raw).sum(axis=1))
+        vectors = raw / norms[:, None]
+        first = np.nonzero(block == block.min())[0]
+        second = np.nonzero(block == block.max())[0]
+        one = len(first) == len(block)
+        count, forest = np.zeros(len(rid), np.int64), _Forest(len(rid))
+        for start in range(0, len(first), 512):
+            some = first[start : start + 512]
+            near = vectors[some] @ vectors[second].T >= least - 1e-9
+            for i, hits in zip(some.tolist(), near):
+                found = second[hits]
+                cosine = (raw[found] * raw[i]).sum(axis=1) / (norms[found] * norms[i])
+                found = found[(cosine >= least) & (found != i)]
+                if home[i]:
+                    count[i] += weight[found].sum()
+                if not one:
+                    count[found[home[found]]] += weight[i]
+                for j in found.tolist():
+                    if home[i] or home[j]:
+                        forest.join(i, j)
+        roots = forest.roots()
+        keep = home | (roots != np.arange(len(rid)))
+        return pa.table({"rid": pa.array(rid[keep]), "home": pa.array(home[keep]), "links": pa.array(count[keep]), "root": pa.array(rid[roots][keep])})
+
+    return each
+
+
+def _crowded(cells: DataFrame, size: int, least: float) -> DataFrame:
+    """``rid, home, links, root`` of cells of more than twice ``size`` rows, by tasks of two blocks of about ``size`` each."""
+    n = cells.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rid", F.lit(3)), F.col("blocks")).cast("int")
+    dealt = cells.join(n, "cell").withColumn("block", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    return dealt.groupBy("cell", "low", "high").applyInArrow(_compare(least), "rid long, home boolean, links long, root long")
+
+
+def vector_groups(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cell: int = CELL) -> DataFrame:
     """One row per row of ``df``: ``vec_id, n_links, component_id, kept``.
 
     Vectors link if their labels are equal and not null and their cosine is at
@@ -270,17 +338,21 @@ def vector_groups(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id", ve
     grouped = rows.where("usable").groupBy("label", "vector").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     nodes = materialize(grouped.withColumn("rid", F.monotonically_increasing_id()), "groups-nodes")
     start = F.concat(F.col("label").cast("string"), F.lit("/"), F.size("vector").cast("string"))
-    cells = materialize(_cells(nodes.select("rid", "weight", "vector", start.alias("cell")), cell, margin), "groups-cells")
+    cells = materialize(_cells(nodes.select("rid", "weight", "vector", start.alias("cell")), cell, least), "groups-cells")
+    large = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * cell).select("cell"), "groups-crowded")
+    every, cells = cells, cells.join(large, "cell", "left_anti")
 
     lists = cells.groupBy("cell").applyInArrow(_build, "rid long, near array<long>")
     lists = lists.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # from all its cells
     found = cells.join(lists, "rid", "left").groupBy("cell").applyInArrow(_search(least), "rid long, home boolean, links long, root long")
+    if not large.isEmpty():
+        found = found.unionByName(_crowded(every.join(large, "cell", "left_semi"), cell, least))
     found = materialize(found, "groups-found")
 
     roots = connected_components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")), label="groups-components")
     linked = nodes.join(roots, nodes["rid"] == roots["node"], "left").select("rid", "label", "vector", "weight", "least", F.coalesce("root", "rid").alias("root"))
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    counts = found.where("home").select("rid", "links")
+    counts = found.where("home").groupBy("rid").agg(F.sum("links").alias("links"))
     node = linked.join(named, "root").join(counts, "rid", "left").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     back = rows.where("usable").join(node, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     return back.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -92,6 +92,26 @@ def test_groups(spark):
 def test_groups_in_small_cells(spark):
     data = rows(vectors(600, dims=32, seed=5))
     df = spark.createDataFrame([(*r, "x") for r in data], SCHEMA)
-    want = {i: n for i, n, _ in plain_groups(data)}
-    got = {r["vec_id"]: r["n_links"] for r in vector_groups.vector_groups(df, cell=64).collect()}
-    assert sum(got.values()) >= 0.95 * sum(want.values()) and all(got[i] <= want[i] for i in want)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_groups.vector_groups(df, cell=64).collect())
+    assert got == plain_groups(data)
+
+
+def test_one_label_of_many_vectors_equals_brute_force(spark):
+    """Six intrinsic dimensions, so that links cross the borders of cells, and a crowd that no cut makes smaller."""
+    rnd = np.random.default_rng(9)
+    v = rnd.normal(size=(6000, 6)) @ rnd.normal(size=(6, 24))
+    v[:1500] = v[0] + rnd.normal(size=(1500, 24)) * 0.02
+    v = v.astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in e], 1, "x") for i, e in enumerate(v)], SCHEMA)
+    unit = v.astype(np.float64)
+    unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    root = np.arange(len(v))
+    while True:
+        best = np.array([min(root[i], root[near[i]].min(initial=len(v))) for i in range(len(v))])
+        if (best == root).all():
+            break
+        root = best
+    got = vector_groups.vector_groups(df, cell=500).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == list(zip(range(len(v)), near.sum(axis=1).tolist(), root.tolist()))
