@@ -31,7 +31,9 @@ SLOT_BITS = 16
 PENALTY = 6.0
 UNKNOWN = "und"
 #: Texts are read in groups of about so many characters.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 2_000_000
+#: Grams are counted for about so many characters at a time.
+COUNTED_CHARS = 500_000
 #: A language is a candidate for a script that this share of its words is written in.
 SCRIPT_SHARE = 0.001
 
@@ -178,17 +180,24 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (kind, slot, lang, n) of each batch: n-grams of kind 0, scripts of kind 1."""
+        def counted(seen: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for kind, keys in seen.items():
+                key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key & ((1 << SLOT_BITS) - 1)), pa.array(key >> SLOT_BITS), pa.array(n)], names=["kind", "slot", "lang", "n"])
+
         for batch in batches:
-            seen: dict[int, list[np.ndarray]] = {0: [], 1: []}
+            seen, chars = {0: [], 1: []}, 0
             for lang_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = _words(value.as_py())
                 if words:
                     grams = WordGrams(words)
                     seen[1].append(_scripts(grams) + (lang_ << SLOT_BITS))
                     seen[0] += [places + (lang_ << SLOT_BITS) for _, places in _places(grams)]
-            for kind, keys in seen.items():
-                key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key & ((1 << SLOT_BITS) - 1)), pa.array(key >> SLOT_BITS), pa.array(n)], names=["kind", "slot", "lang", "n"])
+                    chars += len(grams.codes)
+                if chars > COUNTED_CHARS:
+                    yield from counted(seen)
+                    seen, chars = {0: [], 1: []}, 0
+            yield from counted(seen)
 
     counts = sample.mapInArrow(count, "kind long, slot long, lang long, n long").groupBy("kind", "slot", "lang").agg(F.sum("n").alias("n")).toArrow()
     kind, slot, lang_, n = (counts.column(c).to_numpy() for c in ("kind", "slot", "lang", "n"))
