@@ -35,7 +35,7 @@ ORDER, SHARED = 5, 3
 #: The logistic curve is fitted on about so many labelled rows at most.
 CURVE_ROWS = 20_000
 #: Rows are scored in groups of about so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 500_000
 _MODELS = ("all", "first", "second")
 
 
