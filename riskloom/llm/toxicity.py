@@ -9,9 +9,12 @@ that neither has seen by neither.  A word's evidence is the difference of its
 two log-likelihoods over its length; a document's is that of its strongest
 word, which a logistic curve turns into a score.
 
-All labelled rows are counted, in Spark, and every gram counted is kept.  The
-model that leaves Spark is two tables sorted by id, of all grams and of all
-contexts; it grows with the different spellings, at 12 bytes a row for scoring.
+All labelled rows are counted, in Spark, and every gram counted is kept, in two
+tables of all grams and of all contexts.  Up to ``MOST_SENT`` grams they are sent
+to the workers as sorted arrays.  Beyond, they stay in Spark: the different words
+meet them by joins, the ``HOT_WORDS`` words of most documents are sent with their
+evidence and the others' evidence is joined to the documents.  Evidence is
+a multiple of 2**-20, so that its sums are exact and both ways agree.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chargrams import LETTERS, WordGrams
-from .runtime import materialize, narrow, table, unused_name, without
+from .runtime import keyed, materialize, narrow, table, unused_name, without
 
 #: Characters of a gram of the class-conditional order, and of the shared one.
 ORDER, SHARED = 5, 3
@@ -36,6 +40,10 @@ ORDER, SHARED = 5, 3
 CURVE_ROWS = 20_000
 #: Rows are scored in groups of about so many characters.
 GROUP_CHARS = 500_000
+#: Grams, and so contexts, that are sent to the workers at most: 20 bytes a row to the driver, 12 to a worker.
+MOST_SENT = 2_000_000
+#: Words of most documents whose evidence is sent beyond that, at 24 bytes each.
+HOT_WORDS = 1 << 16
 _MODELS = ("all", "first", "second")
 
 
@@ -151,20 +159,26 @@ def _model_tables(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
         return own + left_over(side, name) * F.col("lower")
 
     joined = grams.join(seen, "context").join(lower, "shared")
-    known = joined.select(F.col("gram").alias("id"), *[(F.ln(chance("t", m)) - F.ln(chance("o", m))).cast("float").alias(m) for m in _MODELS])
-    other = seen.select(F.col("context").alias("id"), *[(F.ln(left_over("t", m)) - F.ln(left_over("o", m))).cast("float").alias(m) for m in _MODELS])
+    def evidence(of, name: str) -> Column:
+        return (F.round((F.ln(of("t", name)) - F.ln(of("o", name))) * (1 << 20)) / (1 << 20)).cast("float").alias(name)
 
+    known = joined.select(F.col("gram").alias("id"), *[evidence(chance, m) for m in _MODELS])
+    other = seen.select(F.col("context").alias("id"), *[evidence(left_over, m) for m in _MODELS])
     return known, other
 
 
 @dataclass
 class ToxicityModel:
-    """Two tables of evidence and the curve from a document's evidence to its score."""
+    """Two tables of evidence and the curve from a document's evidence to its score.
+
+    ``joined`` has the tables in Spark if they are too large for the arrays, which are empty then.
+    """
 
     known: tuple[np.ndarray, dict[str, np.ndarray]]
     other: tuple[np.ndarray, dict[str, np.ndarray]]
     slope: float = 0.0
     offset: float = -30.0
+    joined: tuple[DataFrame, DataFrame] | None = None
 
     def only(self, *models: str) -> ToxicityModel:
         """The same curve and tables, without the evidence of other models."""
@@ -209,6 +223,79 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.slope * evidence + self.offset))))
 
 
+# documents and a model too large to send
+
+
+def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(.., .., text) to the different words of a group of rows, with the number of rows that hold each."""
+    for batch in _grouped(batches, 2):
+        counts = Counter(w for t in batch.column(2) for w in set(_words(t.as_py())))
+        yield pa.RecordBatch.from_arrays([_digests(counts), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "word", "n"])
+
+
+def _digests(words) -> pa.Array:
+    return pa.array([xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in words], pa.binary())
+
+
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, word) to a row per place of a word: its gram and that one's context."""
+    for batch in _grouped(batches, 1):
+        grams = WordGrams(batch.column(1).to_pylist())
+        at, ids = _top_grams(grams)
+        names = batch.column(0).take(pa.array(grams.word[at]))
+        yield pa.RecordBatch.from_arrays([names, pa.array(ids["gram"]), pa.array(ids["context"])], names=["w", "gram", "context"])
+
+
+def _strongest_rows(rows: DataFrame, joined: tuple[DataFrame, DataFrame], model: str) -> DataFrame:
+    """``(row_file, row_place, evidence, expression)`` of ``rows`` (row_file, row_place, text), as ``ToxicityModel.strongest`` has it."""
+    words = rows.mapInArrow(_block_words, "w binary, word string, n long").groupBy("w").agg(F.first("word").alias("word"), F.sum("n").alias("n"))
+    words = materialize(words, "toxicity-words")
+    known, other = (df.select(F.col("id").alias(key), F.col(model).alias(f"by_{key}")) for df, key in zip(joined, ("gram", "context")))
+    places = words.select("w", "word").mapInArrow(_word_grams, "w binary, gram long, context long")
+    places = places.join(known, "gram", "left").join(other, "context", "left")
+    value = F.coalesce("by_gram", "by_context", F.lit(0.0)).cast("double")
+    found = words.join(places.groupBy("w").agg((F.sum(value) / F.count("*")).alias("evidence")), "w")
+    found = materialize(found, "toxicity-words-scored")
+
+    hot = found.select("w", "n", "evidence").orderBy(F.desc("n"), "w").limit(HOT_WORDS).toArrow()
+    sent = rows.sparkSession.sparkContext.broadcast(dict(zip(hot.column("w").to_pylist(), hot.column("evidence").to_pylist())))  # HOT_WORDS at most
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _grouped(batches, 2):
+            best, rest = [], []
+            for text in batch.column(2):
+                known_best, unknown = None, []
+                different = list(set(_words(text.as_py())))
+                for word, w in zip(different, _digests(different).to_pylist()):
+                    evidence = sent.value.get(w)
+                    if evidence is None:
+                        unknown.append(w)
+                    elif known_best is None or (-evidence, word) < known_best:
+                        known_best = (-evidence, word)
+                best.append(known_best)
+                rest.append(unknown)
+            arrays = [pa.array([b and b[0] for b in best], pa.float64()), pa.array([b and b[1] for b in best], pa.string()), pa.array(rest, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["row_file", "row_place", "less", "word", "rest"])
+
+    at = ["row_file", "row_place"]
+    seen = materialize(rows.mapInArrow(each, "row_file long, row_place long, less double, word string, rest array<binary>"), "toxicity-hot")
+    pair = F.struct((-F.col("evidence")).alias("less"), "word")
+    rare = seen.select(*at, F.explode("rest").alias("w")).join(found.select("w", "word", "evidence"), "w").groupBy(*at).agg(F.min(pair).alias("best"))
+    frequent = seen.where("word IS NOT NULL").select(*at, F.struct("less", "word").alias("best"))
+    best = rare.unionByName(frequent).groupBy(*at).agg(F.min("best").alias("best"))
+    return best.select(*at, (-F.col("best.less")).alias("evidence"), F.col("best.word").alias("expression"))
+
+
+def _score_by_joins(docs: DataFrame, model: ToxicityModel, text: str, stay: list[str]) -> DataFrame:
+    """``score_toxicity`` with a model too large to send."""
+    rows, at = keyed(docs)
+    best = _strongest_rows(narrow(rows, row_file=at[0], row_place=at[1], text=text), model.joined, "all")
+    best = best.select(F.col("row_file").alias(at[0]), F.col("row_place").alias(at[1]), F.col("evidence").alias("toxicity"), "expression")
+    kept = rows.select(*[f"`{c}`" for c in stay], *at).join(best, at, "left")
+    power = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), model.slope * F.coalesce("toxicity", F.lit(0.0)) + model.offset))
+    return kept.select(*[f"`{c}`" for c in stay], (1.0 / (1.0 + F.exp(-power))).alias("toxicity"), "expression")
+
+
 def _fit_curve(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
     """Slope and offset of a logistic curve; either class weighs the same, and the ridge keeps the slope finite."""
     weight = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
@@ -243,6 +330,18 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Reco
             yield batch.slice(a, b - a)
 
 
+def _curve_rows_by_joins(chosen: DataFrame, joined: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``(toxic, evidence)`` of ``chosen`` (toxic, half, text), each half by the model of the other."""
+    rows, at = keyed(chosen)
+    out = []
+    for half, name in ((0, "second"), (1, "first")):
+        part = rows.where(F.col("half") == half)
+        best = _strongest_rows(narrow(part, row_file=at[0], row_place=at[1], text="text"), joined, name)
+        best = best.select(F.col("row_file").alias(at[0]), F.col("row_place").alias(at[1]), "evidence")
+        out.append(part.join(best, at, "left").select("toxic", F.coalesce("evidence", F.lit(0.0)).alias("evidence")))
+    return out[0].unionByName(out[1])
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> ToxicityModel:
     """Learn from the labelled rows whose fold is not 1.
 
@@ -261,12 +360,21 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         empty = (np.zeros(0, np.int64), {m: np.zeros(0, np.float32) for m in _MODELS})
         return ToxicityModel(empty, empty)
     known, other = _model_tables(grams)
-    model = ToxicityModel(_collected(known), _collected(other))
+    if grams.count() <= MOST_SENT:
+        model = ToxicityModel(_collected(known), _collected(other))
+    else:
+        empty = (np.zeros(0, np.int64), {m: np.zeros(0, np.float32) for m in _MODELS})
+        model = ToxicityModel(empty, empty, joined=(materialize(known, "toxicity-known"), materialize(other, "toxicity-other")))
 
     shares = {k: min(1.0, CURVE_ROWS / 2 / n) for k, n in per_class.items()}
     dice = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1_000_000
     chosen = marks.where(dice < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]))  # about CURVE_ROWS rows at most
     chosen = narrow(docs, doc_id=doc_id, text=text).join(F.broadcast(chosen), "doc_id").select("toxic", half.alias("half"), "text")
+    if model.joined:
+        seen = _curve_rows_by_joins(chosen, model.joined).toPandas()  # about CURVE_ROWS rows
+        if seen["toxic"].nunique() == 2:
+            model.slope, model.offset = _fit_curve(seen["evidence"].to_numpy(), seen["toxic"].to_numpy())
+        return model
     sent = docs.sparkSession.sparkContext.broadcast(model.only("first", "second"))
 
     def other_half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,6 +400,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     """
     fields, stay = without(docs, "toxicity", "expression")
     schema = T.StructType([*fields, T.StructField("toxicity", T.DoubleType(), False), T.StructField("expression", T.StringType())])
+    if model.joined:
+        return _score_by_joins(docs, model, text, [docs.columns[i] for i in stay])
     at = docs.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model.only("all"))
 
