@@ -43,6 +43,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that a worker is sent at a time.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def sent_small(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends rows to Python by ``BATCH_BYTES``, unless it has a bound of its own.
+
+    By default ten thousand whole texts are sent at once, which each side holds several times.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == _UNSET:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def keyed(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """``df`` with two longs that name each row, whatever its ids are, and the names of these columns.
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .runtime import keyed, materialize, narrow, table, without
+from .runtime import keyed, materialize, narrow, sent_small, table, without
 
 BITS = 64
 SEED = 42
@@ -66,7 +66,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
             values = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(at)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], pa.array(values.view(np.int64))], names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(each, schema)
+    return sent_small(df).mapInArrow(each, schema)
 
 
 def _variants(prints: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .merges import merge_by_rank
-from .runtime import narrow, table
+from .runtime import narrow, sent_small, table
 
 END = "</w>"
 #: Controls that split words for Python but are no white space in Unicode.
@@ -289,7 +289,7 @@ def count_tokens(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: s
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.mapInArrow(each, schema)
+    return sent_small(docs).mapInArrow(each, schema)
 
 
 def default_model() -> str:
