@@ -102,11 +102,11 @@ def resample(
     Of the rows with ``least_words`` words or more, the ``percent`` of a hundred
     (rounded down) with the highest scores are drawn and ranked from 1, equal
     scores by the smaller id; the others have no rank.  Null and empty texts have
-    no features and weigh 0.  Rows that repeat an id or a text each count, and
-    score alike if both agree; among rows that agree in score and id, those with fewer features come
-    first.  A row without an id takes the noise of an empty one and comes last
-    among equal scores.  An empty target makes every gain as high as the corpus
-    leaves room; empty ``docs`` give an empty table.  No other column is read.
+    no features and weigh 0.  Rows that repeat an id or a text each count; of
+    rows that agree in score and id, the one with fewer features comes first.  A
+    row without an id takes the noise of an empty one and comes last among equal
+    scores.  With an empty target the rarer buckets gain most; empty ``docs``
+    give an empty table.  No other column is read.
     """
     corpus = materialize(bucket_arrays(narrow(docs, doc_id=doc_id, text=text), "doc_id", runs=runs, buckets=buckets), "importance-buckets")
     wanted = bucket_arrays(narrow(target, text=target_text), runs=runs, buckets=buckets)
