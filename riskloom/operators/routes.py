@@ -3,33 +3,48 @@
 from __future__ import annotations
 
 import json
+import tomllib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.names import pep503
+from ..plans.storage import stored
+from .ranks import heads
 
 
-def lock_edges(entries: DataFrame) -> DataFrame:
-    """Edges of flat lockfiles: ``entries`` (project, origin, path, entry) to ``ecosystem, parent, child``; a null parent is the project.
+def resolved_edges(entries: DataFrame) -> DataFrame:
+    """What each entry of flat lockfiles gets for every name it asks for.
 
-    A dependency resolves to the nearest enclosing ``node_modules``: every
-    folder on the way up is a candidate key of an equality join, and one that
-    exists is enough for an edge by name.
+    ``entries`` (project, origin, path, entry) to ``ecosystem, project, origin,
+    parent_path, parent, child, child_path, version``; the project itself has the
+    path ``''`` and a null parent.  A name resolves to the copy in the nearest
+    enclosing ``node_modules``: every folder on the way up is a candidate key of
+    an equality join, and of those that exist the deepest is kept, by a maximum
+    that tasks take before they shuffle.  Names found nowhere give no edge.
     """
     e = F.col("entry")
     none = F.array().cast("array<string>")
     names = [F.coalesce(F.map_keys(e[k]), none) for k in ("dependencies", "optionalDependencies", "peerDependencies")]
     own = F.coalesce(F.when(e["name"] != "", e["name"]), F.substring_index("path", "node_modules/", -1))
-    wanted = entries.select("project", "origin", "path", F.when(F.col("path") != "", own).alias("parent"), F.explode(F.array_distinct(F.concat(*names))).alias("child"))
+    at = ("project", "origin", "path")
+    wanted = entries.select(*at, F.when(F.col("path") != "", own).alias("parent"), F.explode(F.array_distinct(F.concat(*names))).alias("child"))
     parts = F.split("path", "/node_modules/")
-    folders = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/node_modules/")))
-    tried = wanted.withColumn("folder", F.explode(F.array_distinct(folders))).withColumn("found", F.concat(F.when(F.col("folder") != "", F.concat("folder", F.lit("/"))).otherwise(""), F.lit("node_modules/"), F.col("child")))
-    there = entries.select("project", "origin", F.col("path").alias("found"))
-    return tried.join(there, ["project", "origin", "found"], "left_semi").select(F.lit("npm").alias("ecosystem"), "parent", "child").distinct()
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/node_modules/"))
+    tried = wanted.select("*", F.posexplode(F.array_distinct(F.concat(F.array(F.lit("")), folders))).alias("depth", "folder"))
+    found = F.concat(F.when(F.col("folder") != "", F.concat("folder", F.lit("/"))).otherwise(""), F.lit("node_modules/"), F.col("child"))
+    there = entries.select("project", "origin", F.col("path").alias("found"), e["version"].alias("version"))
+    met = tried.withColumn("found", found).join(there, ["project", "origin", "found"])
+    nearest = met.groupBy(*at, "parent", "child").agg(F.max_by(F.struct("found", "version"), "depth").alias("copy"))
+    return nearest.select(F.lit("npm").alias("ecosystem"), "project", "origin", F.col("path").alias("parent_path"), "parent", "child", F.col("copy.found").alias("child_path"), F.col("copy.version").alias("version"))
+
+
+def lock_edges(entries: DataFrame) -> DataFrame:
+    """Edges of flat lockfiles by name: ``ecosystem, parent, child``; a null parent is the project."""
+    return resolved_edges(entries).select("ecosystem", "parent", "child").distinct()
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("parent", T.StringType()), T.StructField("child", T.StringType())])))
@@ -71,6 +86,30 @@ def poetry_edges(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, roots.select(F.lit("pypi").alias("ecosystem"), "name")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("dependencies", T.ArrayType(T.StringType()))])))
+def _poetry(text: pd.Series) -> pd.Series:
+    def read(t: str | None) -> list[dict]:
+        try:
+            found = tomllib.loads(t or "").get("package") or []
+            return [{"name": str(p.get("name") or ""), "dependencies": list(p.get("dependencies") or {})} for p in found]
+        except (tomllib.TOMLDecodeError, AttributeError, TypeError):
+            return []
+
+    return pd.Series([read(t) for t in text], dtype=object)
+
+
+def poetry_text_edges(texts: DataFrame) -> DataFrame:
+    """Edges of poetry lockfiles; what no package there depends on was asked for by the project and has a null parent."""
+    entries = texts.where("basename = 'poetry.lock'").select(F.explode(_poetry("text")).alias("p")).select("p.name", "p.dependencies")
+    edges, roots = poetry_edges(stored(entries, "poetry-entries"))
+    return edges.unionByName(roots.select("ecosystem", F.lit(None).cast("string").alias("parent"), F.col("name").alias("child")))
+
+
+def manifest_edges(texts: DataFrame, lock_entries: DataFrame) -> DataFrame:
+    """All edges that manifests tell of: flat and nested lockfiles and those of poetry; ``lock_entries`` are the flat ones' entries."""
+    return lock_edges(lock_entries).unionByName(tree_edges(texts)).unionByName(poetry_text_edges(texts)).distinct()
+
+
 def roots_of(edges: DataFrame, packages: DataFrame | None = None) -> DataFrame:
     """The packages that a project asks for itself."""
     own = edges.where("parent IS NULL").select("ecosystem", F.col("child").alias("name"))
@@ -79,42 +118,99 @@ def roots_of(edges: DataFrame, packages: DataFrame | None = None) -> DataFrame:
     return own.distinct()
 
 
-def routes_to(edges: DataFrame, roots: DataFrame, targets: DataFrame, limit: int = 3, longest: int = 12) -> DataFrame:
-    """The first routes from any root to each target: ``ecosystem, target, turn, route``.
+def _reaching(steps: DataFrame, targets: DataFrame, longest: int) -> DataFrame:
+    """The edges that can lie on a route of ``longest`` steps to a target: those into a package that reaches one, found backwards."""
+    near = stored(targets.select("ecosystem", F.col("target").alias("name")).distinct(), "routes-near")
+    front, every = near, near
+    for level in range(longest - 1):
+        back = steps.join(front.withColumnRenamed("name", "child"), ["ecosystem", "child"], "left_semi").select("ecosystem", F.col("parent").alias("name")).distinct()
+        front = stored(back.join(every, ["ecosystem", "name"], "left_anti"), f"routes-back-{level}")
+        if front.isEmpty():
+            break
+        every = every.unionByName(front)
+    return stored(steps.join(every.withColumnRenamed("name", "child"), ["ecosystem", "child"], "left_semi"), "routes-steps")
 
-    All targets are searched for at once, breadth first: a level joins the
-    frontier with the edges, routes that reach their target are emitted, and of
-    the others the first route to each package not seen yet goes on, in order of
-    the route.  A target that is a root has itself as its only route.  Frontier
-    and visited set are tables written at every level, so memory stays bounded.
-    """
-    spark = edges.sparkSession
-    from ..plans.storage import stored
 
-    asked = targets.select("ecosystem", F.col("name").alias("target")).distinct()
-    direct = asked.join(roots.withColumnRenamed("name", "target"), ["ecosystem", "target"], "left_semi")
-    found = [direct.select("ecosystem", "target", F.array("target").alias("route"))]
-    steps = edges.where("parent IS NOT NULL").select("ecosystem", "parent", "child").distinct()
-    open_ = asked.join(direct, ["ecosystem", "target"], "left_anti")
-    front = stored(open_.join(roots, "ecosystem").select("ecosystem", "target", F.array("name").alias("route")), "routes-front")
-    seen = stored(open_.select("ecosystem", "target", F.col("target").alias("child")), "routes-seen")
-    hits = spark.createDataFrame([], "ecosystem string, target string, n bigint")
+def _first_routes(steps: DataFrame, roots: DataFrame, longest: int) -> DataFrame:
+    """``ecosystem, name, route``: of every package within ``longest`` names the shortest route, of equals the first in order.
+
+    A root is its own route; where other roots lead to it too, the first of those routes is a second row.
+    One frontier serves all: a level holds each package once.
+    """
+    front = stored(roots.select("ecosystem", "name", F.array("name").alias("route")), "routes-front")
+    found, seen = [front], None
+    for level in range(longest - 1):
+        grown = front.withColumnRenamed("name", "parent").join(steps, ["ecosystem", "parent"]).where(~F.array_contains("route", F.col("child")))
+        if seen is not None:
+            grown = grown.join(seen, ["ecosystem", "child"], "left_anti")
+        longer = grown.groupBy("ecosystem", F.col("child").alias("name")).agg(F.min(F.concat("route", F.array("child"))).alias("route"))
+        front = stored(longer, f"routes-front-{level}")
+        if front.isEmpty():
+            break
+        found.append(front)
+        new = front.select("ecosystem", F.col("name").alias("child"))
+        seen = new if seen is None else seen.unionByName(new)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _searched_alone(steps: DataFrame, roots: DataFrame, targets: DataFrame, longest: int) -> DataFrame:
+    """``ecosystem, target, route``: routes to each target that never pass it before their end, with a frontier of its own for each."""
+    spark = steps.sparkSession
+    target = ["ecosystem", "target"]
+    front = stored(targets.join(roots, "ecosystem").select(*target, F.col("name").alias("parent"), F.array("name").alias("route")), "routes-alone")
+    seen = targets.select(*target, F.col("target").alias("child"))
+    found = spark.createDataFrame([], "ecosystem string, target string, route array<string>")
     for level in range(longest):
         if front.isEmpty():
             break
-        last = F.element_at("route", -1)
-        grown = front.withColumn("parent", last).join(steps, ["ecosystem", "parent"]).where(~F.array_contains("route", F.col("child")) | (F.col("child") == F.col("target")))
-        grown = stored(grown.select("ecosystem", "target", "child", F.concat("route", F.array("child")).alias("route")), f"routes-grown-{level}")
-        reached = grown.where("child = target").select("ecosystem", "target", "route")
-        found.append(reached)
-        hits = stored(hits.unionByName(reached.groupBy("ecosystem", "target").agg(F.count("*").alias("n"))).groupBy("ecosystem", "target").agg(F.sum("n").alias("n")), f"routes-hits-{level}")
-        full = hits.where(F.col("n") >= limit).select("ecosystem", "target")
-        fresh = grown.where("child <> target").join(full, ["ecosystem", "target"], "left_anti").join(seen, ["ecosystem", "target", "child"], "left_anti")
-        nxt = stored(fresh.groupBy("ecosystem", "target", "child").agg(F.min("route").alias("route")), f"routes-front-{level}")
-        seen = seen.unionByName(nxt.select("ecosystem", "target", "child"))
-        front = nxt.select("ecosystem", "target", "route")
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    turn = F.row_number().over(Window.partitionBy("ecosystem", "target").orderBy(F.size("route"), "route"))
-    return every.distinct().withColumn("turn", turn).where(F.col("turn") <= limit).select("ecosystem", "target", "turn", "route")
+        grown = front.join(steps, ["ecosystem", "parent"]).where(~F.array_contains("route", F.col("child")))
+        grown = stored(grown.select(*target, "child", F.concat("route", F.array("child")).alias("route")), f"routes-grown-{level}")
+        found = found.unionByName(grown.where("child = target").select(*target, "route"))
+        fresh = grown.where("child <> target").join(seen, [*target, "child"], "left_anti")
+        front = stored(fresh.groupBy(*target, "child").agg(F.min("route").alias("route")), f"routes-alone-{level}")
+        seen = seen.unionByName(front.select(*target, "child"))
+        front = front.withColumnRenamed("child", "parent")
+    return found
+
+
+def routes_to(edges: DataFrame, roots: DataFrame, targets: DataFrame, limit: int = 3, longest: int = 12) -> DataFrame:
+    """The first routes from any root to each target: ``ecosystem, target, turn, route``.
+
+    Routes are in order of length, then of their names; of those that reach a
+    target through the same package before it, the first counts.  A target that
+    is a root has itself as its only route, and a route is a root and at most
+    ``longest`` further names.
+
+    Edges that lead to no target are dropped first, backwards from the targets.
+    Then one search from all roots, for all targets together, gives every package
+    its first route, so that its tables grow with the packages and not with
+    roots or targets; a target's routes are the first routes of its
+    parents with itself put behind, cut to ``limit`` in each task before they are
+    shuffled.  A parent whose own first route passes the target has to be
+    reached another way: only targets for which such a parent could still give
+    one of the first ``limit`` routes are searched for again, each alone.
+    """
+    asked = targets.select("ecosystem", F.col("name").alias("target")).distinct()
+    roots = stored(roots.select("ecosystem", "name").distinct(), "routes-roots")
+    target = ["ecosystem", "target"]
+    direct = asked.join(roots.withColumnRenamed("name", "target"), target, "left_semi")
+    open_ = stored(asked.join(direct, target, "left_anti"), "routes-asked")
+    steps = _reaching(edges.where("parent IS NOT NULL AND parent <> child").select("ecosystem", "parent", "child").distinct(), open_, longest)
+    first = _first_routes(steps, roots, longest)
+    last = steps.join(open_.withColumnRenamed("target", "child"), ["ecosystem", "child"], "left_semi")
+    met = first.withColumnRenamed("name", "parent").join(last, ["ecosystem", "parent"])
+    met = stored(met.select("ecosystem", F.col("child").alias("target"), "route", F.array_contains("route", F.col("child")).alias("passes")), "routes-met")
+    order = ("size", "route")
+    best = heads(met.where("NOT passes").select(*target, F.concat("route", F.array("target")).alias("route")).withColumn("size", F.size("route")), target, order, limit)
+    best = stored(best, "routes-best")
+    # What a parent beyond the target may offer is longer than its first route with the target behind it.
+    offered = met.where("passes").groupBy(*target).agg(F.min(F.size("route") + 1).alias("least"))
+    reached = best.groupBy(*target).agg(F.count("*").alias("n"), F.max("size").alias("most"))
+    again = offered.where(F.col("least") <= longest + 1).join(reached, target, "left").where((F.coalesce("n", F.lit(0)) < limit) | (F.col("most") >= F.col("least")))
+    again = stored(again.select(*target), "routes-again")
+    every = best.select(*target, "route")
+    if not again.isEmpty():
+        alone = _searched_alone(steps, roots, again, longest)
+        every = every.join(again, target, "left_anti").unionByName(alone)
+    ranked = heads(every.withColumn("size", F.size("route")), target, order, limit, "turn")
+    return ranked.select(*target, "turn", "route").unionByName(direct.select(*target, F.lit(1).alias("turn"), F.array("target").alias("route")))
