@@ -138,6 +138,7 @@ SOURCE_FILES_MOST, SOURCE_BYTES_MOST, INSTALL_FILES_MOST = 40, 2_000_000, 8
 
 #: Sketches: tokens of a gram, hashes of a window, least tokens and prints of a file.
 GRAM, WINDOW, LEAST_TOKENS, LEAST_PRINTS = 9, 6, 120, 12
+PRINT_BASE, PRINT_PRIME = 1_000_003, (1 << 61) - 1
 #: Links: least shared prints and containment, most owners of a shared value, most files of a print's bucket.
 SHARED_LEAST, CONTAINED_LEAST, CROWD_MOST, BUCKET_MOST = 8, 0.80, 60, 64
 BURST_HOURS = 72

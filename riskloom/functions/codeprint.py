@@ -54,6 +54,7 @@ _LEXERS = {
     lang: re.compile(rf"(?P<comment>{_COMMENT[lang]})|(?P<quoted>{_QUOTED[lang]})|(?P<number>{_NUMBER})|(?P<name>{_NAME})|(?P<mark>{_MARK})")
     for lang in ("js", "py")
 }
+_PRIME = np.uint64(fixed.PRINT_PRIME)
 _TEMPLATE_PART = re.compile(r"\\[\s\S]?|\$\{|[`}\"']|[^\\$`}\"']+|\$")
 
 
@@ -109,17 +110,29 @@ def token_hash(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=6).digest(), "big")
 
 
+def _times_base_plus(hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``hashes * BASE + values`` modulo the Mersenne prime, without a product beyond 64 bits.
+
+    A hash is cut into its upper 30 and lower 31 bits.  The upper product stands
+    31 bits higher, so what of it lies beyond bit 61 comes back at bit 0.
+    """
+    upper, lower = (hashes >> np.uint64(31)) * np.uint64(fixed.PRINT_BASE), (hashes & np.uint64((1 << 31) - 1)) * np.uint64(fixed.PRINT_BASE)
+    total = (upper >> np.uint64(30)) + ((upper & np.uint64((1 << 30) - 1)) << np.uint64(31)) + lower + values
+    total = (total & _PRIME) + (total >> np.uint64(61))
+    return np.where(total >= _PRIME, total - _PRIME, total)
+
+
 def gram_hashes(tokens: list[str], gram: int = fixed.GRAM) -> np.ndarray:
-    """A 62-bit hash of every run of ``gram`` tokens."""
+    """Of every run of ``gram`` tokens, the value of its tokens' digests as digits to the base, modulo the prime: all runs at once."""
     if len(tokens) < gram:
         return np.zeros(0, np.int64)
     known = {t: token_hash(t) for t in set(tokens)}
     values = np.array([known[t] for t in tokens], dtype=np.uint64)
-    n, mixed = len(tokens) - gram + 1, np.zeros(len(tokens) - gram + 1, dtype=np.uint64)
+    n = len(tokens) - gram + 1
+    hashes = np.zeros(n, dtype=np.uint64)
     for k in range(gram):
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + values[k : k + n]
-        mixed ^= mixed >> np.uint64(29)
-    return (mixed >> np.uint64(2)).astype(np.int64)
+        hashes = _times_base_plus(hashes, values[k : k + n])
+    return hashes.astype(np.int64)
 
 
 def winnow(hashes: np.ndarray, window: int = fixed.WINDOW) -> list[int]:
@@ -140,6 +153,19 @@ def sketch(text: str | None, lang: str | None) -> list[int] | None:
     return prints if len(prints) >= fixed.LEAST_PRINTS else None
 
 
+def label(prints: list[int] | np.ndarray | None) -> str | None:
+    """A short name of a set of prints: a digest of the sorted prints, eight bytes each, the highest first."""
+    if prints is None or not len(prints):
+        return None
+    return hashlib.blake2b(np.sort(np.asarray(prints, dtype=np.int64)).astype(">u8").tobytes(), digest_size=8).hexdigest()
+
+
+@F.pandas_udf(T.StringType())
+def label_of(prints: pd.Series) -> pd.Series:
+    """Arrow-batched ``label``."""
+    return prints.map(label, na_action=None)
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def prints_of(text: pd.Series, lang: pd.Series) -> pd.Series:
     """Arrow-batched ``sketch``."""

@@ -1,28 +1,59 @@
 """Campaigns: packages that share install payloads, endpoints or a new publisher.
 
-Everything is a join.  Files with equal sketches are one class (a group by the
-sorted prints); classes that share prints are candidates by an equality join on
-the print, and verified by how many they share; members of a link that belong
-to one owner count once.  Links make a graph whose components are campaigns.
+Everything is a join.  Files with equal sketches are one class; classes that
+share prints are candidates by an equality join on the print, and verified by how
+many they share; members of a link that belong to one owner count once.  Links
+make a graph whose components are campaigns.
+
+Who is in a link or a campaign is kept as rows, one a member.  Nothing here holds
+all members of anything in one value: counts, least and greatest values and the
+first few names are aggregates, and labels are numbers in a distributed order.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import fixed
 from ..functions import codeprint, texts, urls
 from ..plans.storage import stored
+from .ranks import head_lists, numbered
+from .rules import new_publisher
+
+
+@dataclass
+class Links:
+    """``links`` (link, kind, key, display, detail, n: its members) and ``members`` (link, pkg_key), a row each."""
+
+    links: DataFrame
+    members: DataFrame
+
+    def union(self, other: Links) -> Links:
+        return Links(self.links.unionByName(other.links), self.members.unionByName(other.members))
+
+
+@dataclass
+class Campaigns:
+    """Campaigns as four tables.
+
+    ``heads`` (label, number, root, n: its members, n_payload, burst), ``members``
+    (label, pkg_key, name), ``links`` (label and the columns of ``Links``) and
+    ``link_members`` (label, link, kind, pkg_key).
+    """
 
-LINKS = "kind string, key string, display string, members array<string>, detail string"
+    heads: DataFrame
+    members: DataFrame
+    links: DataFrame
+    link_members: DataFrame
 
 
 def members(packages: DataFrame) -> DataFrame:
     """One row per release key with what correlation needs; of several manifests that hold it, the last by id."""
     rows = packages.where("kind = 'package'").withColumn("owner", urls.owner(F.col("ecosystem"), F.col("name"), F.col("repository")))
-    columns = ("pkg_id", "ecosystem", "name", "version", "owner", "repository", "homepage", "publisher", "prior_publishers", "published_at", "scripts")
+    columns = ("pkg_id", "ecosystem", "name", "version", "owner", "repository", "homepage", "publisher", "prior_publishers", "n_prior_publishers", "publisher_new", "published_at", "scripts")
     return rows.groupBy("pkg_key").agg(F.max_by(F.struct(*columns), "pkg_id").alias("m")).select("pkg_key", "m.*")
 
 
@@ -46,19 +77,18 @@ def endpoint_values(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 def publisher_values(rows: DataFrame) -> DataFrame:
     """``(pkg_key, value)``: publishers that are new to their package."""
-    prior = F.coalesce("prior_publishers", F.array().cast("array<string>"))
-    new = (F.coalesce("publisher", F.lit("")) != "") & (F.size(prior) > 0) & ~F.array_contains(prior, F.col("publisher"))
-    return rows.where(new).select("pkg_key", F.col("publisher").alias("value"))
+    return rows.where(new_publisher()).select("pkg_key", F.col("publisher").alias("value"))
 
 
-def value_links(values: DataFrame, rows: DataFrame, kind: str, detail: tuple[str, str], crowd: int = fixed.CROWD_MOST) -> DataFrame:
-    """Links of values held by two to ``crowd`` owners."""
-    held = values.join(rows.select("pkg_key", "owner"), "pkg_key")
-    # Owners are counted first, by partial aggregation; only values few share collect their members.
-    counted = held.groupBy("value").agg(_owners().alias("owners")).where(F.col("owners").between(2, crowd)).select("value")
-    found = held.join(counted, "value").groupBy("value").agg(F.array_sort(F.collect_set("pkg_key")).alias("members"))
-    text = F.concat(F.lit(detail[0]), F.size("members").cast("string"), F.lit(detail[1]))
-    return found.select(F.lit(kind).alias("kind"), F.col("value").alias("key"), F.col("value").alias("display"), "members", text.alias("detail"))
+def value_links(values: DataFrame, rows: DataFrame, kind: str, detail: tuple[str, str], crowd: int = fixed.CROWD_MOST) -> Links:
+    """Links of values held by two to ``crowd`` owners; owners are counted before any member is kept."""
+    held = values.select("pkg_key", "value").distinct().join(rows.select("pkg_key", "owner"), "pkg_key")
+    counted = held.groupBy("value").agg(_owners().alias("owners"), F.count_distinct("pkg_key").alias("n")).where(F.col("owners").between(2, crowd))
+    link = F.concat(F.lit(f"{kind}:"), F.col("value"))
+    text = F.concat(F.lit(detail[0]), F.col("n").cast("string"), F.lit(detail[1]))
+    links = counted.select(link.alias("link"), F.lit(kind).alias("kind"), F.col("value").alias("key"), F.col("value").alias("display"), text.alias("detail"), "n")
+    members = held.join(counted.select("value"), "value", "left_semi").select(link.alias("link"), "pkg_key").distinct()
+    return Links(links, members)
 
 
 def sketches(sources: DataFrame) -> DataFrame:
@@ -67,24 +97,22 @@ def sketches(sources: DataFrame) -> DataFrame:
     return sources.withColumn("prints", codeprint.prints_of("text", lang)).where("prints IS NOT NULL").select("pkg_key", "rel", "prints")
 
 
-def print_label(prints: Column) -> Column:
-    """A short name of a set of prints."""
-    return F.substring(F.sha2(F.array_join(F.transform(F.array_sort(prints), lambda p: p.cast("string")), ","), 256), 1, 16)
-
+def print_class(prints: Column) -> Column:
+    """What files with the same prints have in common and no others: a long digest of the sorted prints."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(prints), lambda p: p.cast("string")), ","), 256)
 
-def similar_classes(classes: DataFrame, bucket: int = fixed.BUCKET_MOST, shared: int = fixed.SHARED_LEAST, contained: float = fixed.CONTAINED_LEAST) -> DataFrame:
-    """Pairs of ``classes`` (class, prints) that share enough: ``a, b, common, similarity``.
 
-    A print that more than ``bucket`` classes hold is boilerplate and proposes
-    no pair.  Pairs come from an equality join on the print, are counted by
-    partial aggregation, and only those that pass the floor on rare prints, or
-    may pass it with common ones, are compared in full.
-    """
+def candidate_pairs(classes: DataFrame, bucket: int = fixed.BUCKET_MOST) -> DataFrame:
+    """Pairs (a, b) of ``classes`` (class, prints) that share a print which at most ``bucket`` classes hold; a print of more is boilerplate."""
     held = classes.select("class", F.explode("prints").alias("print"))
     rare = held.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket)).select("print")
     usable = stored(held.join(rare, "print"), "sketch-prints")
     left, right = usable.select("print", F.col("class").alias("a")), usable.select("print", F.col("class").alias("b"))
-    pairs = left.join(right, (left["print"] == right["print"]) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    return left.join(right, (left["print"] == right["print"]) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+
+
+def compared(pairs: DataFrame, classes: DataFrame, shared: int = fixed.SHARED_LEAST, contained: float = fixed.CONTAINED_LEAST) -> DataFrame:
+    """The pairs whose prints agree in ``shared`` and for ``contained`` of the smaller set: ``a, b, common, similarity``."""
     one, two = classes.select(F.col("class").alias("a"), F.col("prints").alias("pa")), classes.select(F.col("class").alias("b"), F.col("prints").alias("pb"))
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.array_sort(F.array_intersect("pa", "pb")))
     n = F.size("common")
@@ -92,33 +120,70 @@ def similar_classes(classes: DataFrame, bucket: int = fixed.BUCKET_MOST, shared:
     return passed.select("a", "b", "common", (n / F.size(F.array_union("pa", "pb"))).alias("similarity"))
 
 
-def payload_links(found: DataFrame, rows: DataFrame) -> DataFrame:
+def similar_classes(classes: DataFrame, bucket: int = fixed.BUCKET_MOST, shared: int = fixed.SHARED_LEAST, contained: float = fixed.CONTAINED_LEAST) -> DataFrame:
+    """Pairs of ``classes`` (class, prints) that share enough: ``a, b, common, similarity``."""
+    return compared(candidate_pairs(classes, bucket), classes, shared, contained)
+
+
+def _spread(name: str, column: Column) -> list[Column]:
+    return [F.count_distinct(column).alias(f"n_{name}"), F.min(column).alias(f"least_{name}"), F.max(column).alias(f"most_{name}")]
+
+
+def print_classes(files: DataFrame) -> DataFrame:
+    """``files`` (class, pkg_key, rel, owner, prints) to a row per class: its prints, and how far its packages and owners spread.
+
+    ``n_``, ``least_`` and ``most_`` of ``package`` and ``owner``; a package
+    without a known owner is an owner of its own.
+    """
+    owner = F.coalesce("owner", F.concat(F.lit("\x00"), "pkg_key"))
+    return files.groupBy("class").agg(F.any_value("prints").alias("prints"), *_spread("package", F.col("pkg_key")), *_spread("owner", owner))
+
+
+def payload_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs of ``print_classes`` that may tell of one payload: ``a, b, common, similarity``.
+
+    Classes that together come from one package, or from packages of one known
+    owner, say nothing: an owner copies code between its own packages all day.
+    Both are told by the classes' least and greatest values, so that a pair is
+    refused before its prints are compared or any member is listed.
+    """
+    spread = ("package", "owner")
+    ends = [f"{end}_{s}" for s in spread for end in ("least", "most")]
+    one, two = (classes.select(F.col("class").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ends]) for x in ("a", "b"))
+    pairs = candidate_pairs(classes.select("class", "prints")).join(one, "a").join(two, "b")
+    for s in spread:
+        pairs = pairs.where(F.least(f"a_least_{s}", f"b_least_{s}") != F.greatest(f"a_most_{s}", f"b_most_{s}"))
+    return compared(pairs.select("a", "b"), classes.select("class", "prints"))
+
+
+def payload_links(found: DataFrame, rows: DataFrame) -> Links:
     """Links of equal and of mostly equal install files: ``found`` is ``sketches``.
 
-    Unlike a pass over representatives, every pair of classes is compared over
-    all their packages, and a file that contains a payload joins the payload's
-    link even where that already has exact copies.
+    Equal files of two packages are a link, named by their prints; so is what two
+    ``payload_pairs`` share, with the packages of both classes.  A file that
+    contains a payload joins the payload's link even where that already has exact
+    copies.  A link needs two owners.
     """
-    own = rows.select("pkg_key", "owner")
-    files = found.join(own, "pkg_key").withColumn("class", print_label(F.col("prints")))
+    files = found.join(rows.select("pkg_key", "owner"), "pkg_key").withColumn("class", print_class(F.col("prints")))
     files = stored(files, "sketch-files")
-    classes = files.groupBy("class").agg(F.first("prints").alias("prints"), F.min(F.struct("pkg_key", "rel")).alias("first"))
-    exact = files.groupBy("class").agg(F.count_distinct("pkg_key").alias("n")).where("n >= 2").select(F.col("class").alias("key"), "class", F.lit(1.0).alias("alike"))
-    pairs = stored(similar_classes(classes.select("class", "prints")), "sketch-pairs")
-    by_pair = pairs.select(print_label(F.col("common")).alias("key"), F.explode(F.array("a", "b")).alias("class"), F.col("similarity").alias("alike"))
-    in_link = exact.unionByName(by_pair)
-    held = in_link.join(files.select("class", "pkg_key", "owner", "rel"), "class")
-    links = held.groupBy("key").agg(
-        F.array_sort(F.collect_set("pkg_key")).alias("members"),
-        _owners().alias("owners"),
-        F.max("alike").alias("alike"),
-        F.min(F.struct("pkg_key", "rel"))["rel"].alias("rel"),
-    )
-    links = links.where((F.col("owners") >= 2) & (F.size("members") >= 2))
+    classes = stored(print_classes(files), "sketch-classes")
+    exact = classes.where("n_package >= 2").select(F.col("class").alias("key"), "class", F.lit(1.0).alias("alike"), "prints")
+    pairs = stored(payload_pairs(classes), "sketch-pairs")
+    by_pair = pairs.select(print_class(F.col("common")).alias("key"), F.explode(F.array("a", "b")).alias("class"), F.col("similarity").alias("alike"), F.col("common").alias("prints"))
+    named = exact.unionByName(by_pair)
+    in_link = named.groupBy("key", "class").agg(F.max("alike").alias("alike"))
+    held = stored(in_link.join(files.select("class", "pkg_key", "owner", "rel"), "class"), "sketch-held")
+    facts = held.groupBy("key").agg(F.count_distinct("pkg_key").alias("n"), _owners().alias("owners"), F.max("alike").alias("alike"), F.min(F.struct("pkg_key", "rel"))["rel"].alias("rel"))
+    facts = facts.where((F.col("owners") >= 2) & (F.col("n") >= 2))
+    label = codeprint.label_of(F.col("prints"))
+    labels = named.groupBy("key").agg(F.any_value("prints").alias("prints")).join(facts.select("key"), "key", "left_semi").select("key", label.alias("label"))
     percent = F.bround(F.col("alike") * 100).cast("int")
     same = F.when(percent == 100, "identical").otherwise(F.concat(percent.cast("string"), F.lit("% identical")))
-    detail = F.concat(same, F.lit(" code in "), texts.plural(F.size("members"), "package"), F.lit(" under "), texts.plural(F.col("owners"), "separate owner"), F.lit(", compared after names and strings are removed (first seen as "), F.col("rel"), F.lit(")"))
-    return links.select(F.lit("payload").alias("kind"), "key", F.concat(F.lit("payload "), "key").alias("display"), "members", detail.alias("detail"))
+    detail = F.concat(same, F.lit(" code in "), texts.plural(F.col("n"), "package"), F.lit(" under "), texts.plural(F.col("owners"), "separate owner"), F.lit(", compared after names and strings are removed (first seen as "), F.col("rel"), F.lit(")"))
+    link = F.concat(F.lit("payload:"), F.col("key"))
+    links = facts.join(labels, "key").select(link.alias("link"), F.lit("payload").alias("kind"), F.col("label").alias("key"), F.concat(F.lit("payload "), "label").alias("display"), detail.alias("detail"), "n")
+    members = held.join(facts.select("key"), "key", "left_semi").select(link.alias("link"), "pkg_key").distinct()
+    return Links(links, members)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -142,68 +207,80 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def campaigns(links: DataFrame, rows: DataFrame) -> DataFrame:
-    """Connected links as campaigns: ``label, root, members, links, burst, n_payload``.
-
-    Labelled C1, C2 ... by payload links, members and first name.
-    """
-    edges = links.select(F.col("members")[0].alias("a"), F.explode("members").alias("b"))
-    label = stored(components(edges), "campaign-roots")
-    rooted = links.withColumn("first", F.col("members")[0]).join(label.withColumnRenamed("node", "first"), "first")
-    order = F.struct(F.array_position(F.array(*[F.lit(k) for k in fixed.LINK_KINDS]), F.col("kind")).alias("rank"), "display", "kind", "key", "members", "detail")
-    linked = rooted.groupBy("root").agg(F.sort_array(F.collect_list(order)).alias("links"), F.count_if(F.col("kind") == "payload").alias("n_payload"))
-    held = label.join(rows.select("pkg_key", "name", "published_at"), label["node"] == F.col("pkg_key"))
-    stamps = F.count("published_at")
-    hours = (F.unix_micros(F.max("published_at")) - F.unix_micros(F.min("published_at"))) / 3_600e6
-    when = F.when(F.col("hours") < 1, "within the same hour").otherwise(F.concat(F.lit("within "), F.bround("hours").cast("bigint").cast("string"), F.lit(" hours")))
-    burst = F.when((F.col("stamps") >= 2) & (F.col("hours") <= fixed.BURST_HOURS), F.concat(F.lit("all "), F.col("stamps").cast("string"), F.lit(" versions published "), when, F.lit(" of each other"))).otherwise("")
-    gathered = held.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("pkg_key", "name"))).alias("m"), stamps.alias("stamps"), hours.alias("hours"))
-    gathered = gathered.select("root", F.col("m.pkg_key").alias("members"), F.col("m.name").alias("names"), burst.alias("burst"))
-    out = gathered.join(linked, "root").where(F.size("members") >= 2)
-    rank = F.row_number().over(Window.orderBy(F.desc("n_payload"), F.desc(F.size("members")), F.col("names")[0], "root"))  # one row per campaign
-    shown = F.transform("links", lambda x: F.struct(x["kind"].alias("kind"), x["key"].alias("key"), x["display"].alias("display"), x["members"].alias("members"), x["detail"].alias("detail")))
-    return out.withColumn("label", F.concat(F.lit("C"), rank.cast("string"))).select("label", "root", "members", "names", shown.alias("links"), "burst", "n_payload")
-
-
-def correlate(packages: DataFrame, sources: DataFrame) -> DataFrame:
+def _burst(stamps: Column, first: Column, last: Column) -> Column:
+    """How close the releases of a campaign came out, empty if that says nothing."""
+    hours = (F.unix_micros(last) - F.unix_micros(first)) / 3_600e6
+    when = F.when(hours < 1, "within the same hour").otherwise(F.concat(F.lit("within "), F.bround(hours).cast("bigint").cast("string"), F.lit(" hours")))
+    told = F.concat(F.lit("all "), stamps.cast("string"), F.lit(" versions published "), when, F.lit(" of each other"))
+    return F.when((stamps >= 2) & (hours <= fixed.BURST_HOURS), told).otherwise("")
+
+
+def campaigns(links: Links, rows: DataFrame) -> Campaigns:
+    """Connected links as campaigns, labelled C1, C2 ... by payload links, members and first name."""
+    first = links.members.groupBy("link").agg(F.min("pkg_key").alias("a"))
+    edges = links.members.join(first, "link").select("a", F.col("pkg_key").alias("b"))
+    root = stored(components(edges), "campaign-roots")
+    held = root.join(rows.select("pkg_key", "name", "published_at"), root["node"] == F.col("pkg_key")).select("root", "pkg_key", "name", "published_at")
+    facts = held.groupBy("root").agg(F.count("*").alias("n"), F.min_by("name", "pkg_key").alias("first_name"), F.count("published_at").alias("stamps"), F.min("published_at").alias("from"), F.max("published_at").alias("to"))
+    rooted = links.links.join(first.join(root.withColumnRenamed("node", "a"), "a").select("link", "root"), "link")
+    payloads = rooted.groupBy("root").agg(F.count_if(F.col("kind") == "payload").alias("n_payload"))
+    facts = facts.where("n >= 2").join(payloads, "root").select("root", "n", "n_payload", "first_name", _burst(F.col("stamps"), F.col("from"), F.col("to")).alias("burst"))
+    order = (F.desc("n_payload"), F.desc("n"), F.col("first_name"), F.col("root"))
+    heads = numbered(facts, order, "number").withColumn("label", F.concat(F.lit("C"), F.col("number").cast("string")))
+    heads = stored(heads.select("label", "number", "root", "n", "n_payload", "burst"), "campaign-heads")
+    label = heads.select("root", "label")
+    kept = rooted.join(label, "root").select("label", "link", "kind", "key", "display", "detail", "n")
+    return Campaigns(heads, held.join(label, "root").select("label", "pkg_key", "name"), kept, links.members.join(kept.select("label", "link", "kind"), "link").select("label", "link", "kind", "pkg_key"))
+
+
+def correlate(packages: DataFrame, sources: DataFrame) -> Campaigns:
     """All campaigns of complete package rows and their install files (pkg_id, rel, text)."""
     rows = stored(members(packages), "campaign-members")
     keyed = sources.join(rows.select("pkg_id", "pkg_key"), "pkg_id").select("pkg_key", "rel", "text")
     links = payload_links(sketches(keyed), rows)
-    links = links.unionByName(value_links(endpoint_values(rows, sources), rows, "endpoint", ("reached from the install path of ", " packages")))
-    links = links.unionByName(value_links(publisher_values(rows), rows, "publisher", ("new to all ", " packages, and published them")))
-    return campaigns(stored(links, "campaign-links"), rows)
+    links = links.union(value_links(endpoint_values(rows, sources), rows, "endpoint", ("reached from the install path of ", " packages")))
+    links = links.union(value_links(publisher_values(rows), rows, "publisher", ("new to all ", " packages, and published them")))
+    return campaigns(Links(stored(links.links, "campaign-links"), stored(links.members, "campaign-link-members")), rows)
+
+
+def kind_rank() -> Column:
+    """The order in which a campaign's links are told: by kind."""
+    return F.array_position(F.array(*[F.lit(k) for k in fixed.LINK_KINDS]), F.col("kind"))
 
 
-def campaign_findings(found: DataFrame, packages: DataFrame, online: bool = False) -> DataFrame:
-    """HEM801 to HEM803 for every member of a link."""
+def campaign_findings(found: Campaigns, packages: DataFrame, online: bool = False, shown: int = 4) -> DataFrame:
+    """HEM801 to HEM803 for every member of a link, with the first ``shown`` names of the campaign's others and how many more there are."""
     rule_of = {"payload": "HEM801", "endpoint": "HEM802", "publisher": "HEM803"}
     also = {"payload": "also in ", "endpoint": "also reached by ", "publisher": "also published "}
-    link = found.select("names", "burst", F.posexplode("links").alias("at", "l")).select("names", "burst", "at", "l.*")
-    rows = link.withColumn("pkg_key", F.explode("members")).join(packages.where("kind = 'package'").select("pkg_id", "pkg_key", "name"), "pkg_key")
-    others = F.array_sort(F.filter(F.array_distinct("names"), lambda n: n != F.col("name")))
+    names = head_lists(found.members.select("label", "name").distinct(), ["label"], ["name"], shown + 1, "name", "names", "n_names")
+    link = found.links.select("label", "link", "display", "key", "detail").join(found.heads.select("label", "burst"), "label").join(names, "label")
+    rows = found.link_members.join(link, ["label", "link"]).join(packages.where("kind = 'package'").select("pkg_id", "pkg_key", "name"), "pkg_key")
+    others = F.slice(F.filter("names", lambda n: n != F.col("name")), 1, shown)
+    more = F.col("n_names") - 1 - F.size(others)
     pick = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col("kind")]
     first = F.when(F.col("kind") == "publisher", F.concat(F.lit('"'), "display", F.lit('" '), "detail")).otherwise(F.concat("display", F.lit(": "), "detail"))
-    rest = F.when(F.size(others) > 0, F.concat(pick(also), texts.joined_some(others, 4)))
+    tail = F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise("")
+    rest = F.when(F.size(others) > 0, F.concat(pick(also), F.array_join(others, ", "), tail))
     burst = F.when((F.col("burst") != "") & (F.col("kind") != "endpoint"), F.col("burst"))
-    told = rows.select("pkg_id", pick(rule_of).alias("rule_id"), "at", F.array_compact(F.array(first, rest, burst)).alias("e"))
-    told = told.groupBy("pkg_id", "rule_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "e"))), lambda x: x["e"])).alias("evidence"))
+    told = rows.select("pkg_id", pick(rule_of).alias("rule_id"), F.struct("display", "key", "link").alias("at"), F.array_compact(F.array(first, rest, burst)).alias("e"))
+    told = told.groupBy("pkg_id", "rule_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "e"))), lambda x: x["e"])).alias("evidence"))  # of one package's own links
     return told if online else told.where("rule_id <> 'HEM803'")
 
 
-def live_campaigns(found: DataFrame, findings: DataFrame, packages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+def live_campaigns(found: Campaigns, findings: DataFrame, packages: DataFrame) -> Campaigns:
     """Campaigns over the findings that policy and baseline have left: members without one leave their links, links need two members."""
     kind_of = F.create_map(F.lit("HEM801"), F.lit("payload"), F.lit("HEM802"), F.lit("endpoint"), F.lit("HEM803"), F.lit("publisher"))
     left = findings.where(F.col("rule_id").isin("HEM801", "HEM802", "HEM803")).join(packages.select("pkg_id", "pkg_key"), "pkg_id")
     left = left.select("pkg_key", kind_of[F.col("rule_id")].alias("kind")).distinct()
-    link = found.select("label", "burst", F.size("members").alias("n_members"), F.posexplode("links").alias("at", "l")).select("label", "burst", "n_members", "at", "l.*")
-    alive = link.withColumn("pkg_key", F.explode("members")).join(left, ["pkg_key", "kind"], "left_semi")
-    again = alive.groupBy("label", "burst", "n_members", "at", "kind", "key", "display", "detail", F.size("members").alias("was")).agg(F.array_sort(F.collect_set("pkg_key")).alias("members"))
-    again = again.where(F.size("members") >= 2)
-    shorter = F.regexp_replace("detail", r"\b\d+ packages\b", F.concat(F.size("members").cast("string"), F.lit(" packages")))
-    detail = F.when(F.size("members") == F.col("was"), F.col("detail")).otherwise(shorter)
-    grouped = again.withColumn("detail", detail).groupBy("label", "burst", "n_members").agg(
-        F.sort_array(F.collect_list(F.struct("at", "kind", "key", "display", "members", "detail"))).alias("links"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"),
-    )
-    return grouped.select("label", "members", "links", F.when(F.size("members") == F.col("n_members"), F.col("burst")).otherwise("").alias("burst"))
+    alive = stored(found.link_members.join(left, ["pkg_key", "kind"], "left_semi"), "campaign-alive")
+    counted = alive.groupBy("label", "link").agg(F.count("*").alias("now")).where("now >= 2")
+    shorter = F.regexp_replace("detail", r"\b\d+ packages\b", F.concat(F.col("now").cast("string"), F.lit(" packages")))
+    links = found.links.join(counted, ["label", "link"])
+    links = links.withColumn("detail", F.when(F.col("now") == F.col("n"), F.col("detail")).otherwise(shorter)).select("label", "link", "kind", "key", "display", "detail", F.col("now").alias("n"))
+    link_members = alive.join(counted.select("label", "link"), ["label", "link"], "left_semi").select("label", "link", "kind", "pkg_key")
+    members = found.members.join(link_members.select("label", "pkg_key").distinct(), ["label", "pkg_key"], "left_semi").select("label", "pkg_key", "name")
+    sizes = members.groupBy("label").agg(F.count("*").alias("now"))
+    payloads = links.groupBy("label").agg(F.count_if(F.col("kind") == "payload").alias("n_payload"))
+    heads = found.heads.drop("n_payload").join(sizes, "label").join(payloads, "label")
+    heads = heads.select("label", "number", "root", F.col("now").alias("n"), "n_payload", F.when(F.col("now") == F.col("n"), F.col("burst")).otherwise("").alias("burst"))
+    return Campaigns(heads, members, links, link_members)

@@ -132,11 +132,18 @@ def _fresh(as_of: datetime, fresh_days: int) -> Column:
     return _one(age < fresh_days * 86400, F.concat(F.coalesce(F.concat(which, F.lit(" ")), F.lit("")), F.lit("published "), when))
 
 
+def new_publisher() -> Column:
+    """Whether a release's publisher had published nothing of the package while others had; of a record without counts, by its list."""
+    prior = F.coalesce("prior_publishers", F.array().cast(_NONE))
+    fresh = F.coalesce("publisher_new", ~F.array_contains(prior, F.col("publisher")))
+    return (F.coalesce("publisher", F.lit("")) != "") & (F.coalesce("n_prior_publishers", F.size(prior)) > 0) & fresh
+
+
 def _publisher_changed() -> Column:
-    current, prior = F.col("publisher"), F.coalesce("prior_publishers", F.array().cast(_NONE))
-    changed = (F.coalesce(current, F.lit("")) != "") & (F.size(prior) > 0) & ~F.array_contains(prior, current)
-    text = F.concat(F.lit('published by "'), current, F.lit('", who had not published this package before; earlier releases by '), texts.joined_some(prior, 3, " and {} others"))
-    return _one(changed, text)
+    prior = F.coalesce("prior_publishers", F.array().cast(_NONE))
+    others = F.coalesce("n_prior_publishers", F.size(prior)) - 3
+    named = F.concat(F.array_join(F.slice(prior, 1, 3), ", "), F.when(others > 0, F.concat(F.lit(" and "), others.cast("string"), F.lit(" others"))).otherwise(""))
+    return _one(new_publisher(), F.concat(F.lit('published by "'), F.col("publisher"), F.lit('", who had not published this package before; earlier releases by '), named))
 
 
 def _withdrawn() -> Column:

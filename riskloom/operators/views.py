@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from .correlate import Campaigns
+from .ranks import heads
 from .scoring import severity_rank
 
 
@@ -30,10 +32,40 @@ def gate(verdicts: DataFrame, fail_on: str, names: int = 4) -> DataFrame:
     return blamed.agg(F.count("*").alias("n")).crossJoin(top).select(F.when(F.col("n") > 0, 1).otherwise(0).alias("exit_code"), "n", F.array_join("t.name", ", ").alias("blamed"))
 
 
+def _alike(verdicts: DataFrame) -> DataFrame:
+    return verdicts.where("NOT certain AND severity IN ('low', 'medium', 'high') AND size(findings) > 0").withColumn("rules", F.col("findings.rule_id"))
+
+
 def crowds(verdicts: DataFrame, least: int = fixed.CROWD_LEAST) -> DataFrame:
-    """Uncertain verdicts below critical with the same findings, where there are many: ``rules, n, score, names``."""
-    alike = verdicts.where("NOT certain AND severity IN ('low', 'medium', 'high') AND size(findings) > 0").withColumn("rules", F.col("findings.rule_id"))
-    return alike.groupBy("rules").agg(F.count("*").alias("n"), F.max("score").alias("score"), F.min("name").alias("first_name")).where(F.col("n") >= least)
+    """Uncertain verdicts below critical with the same findings, where there are many: ``rules, n, score, first_name``."""
+    found = _alike(verdicts).groupBy("rules").agg(F.count("*").alias("n"), F.max("score").alias("score"), F.min("name").alias("first_name"))
+    return found.where(F.col("n") >= least)
+
+
+def crowd_names(verdicts: DataFrame, k: int, least: int = fixed.CROWD_LEAST) -> DataFrame:
+    """The first ``k`` names of each of ``crowds`` by score, with their turn: ``rules, turn, name, version, score``."""
+    many = crowds(verdicts, least).select("rules")
+    named = _alike(verdicts).select("rules", "name", "version", "score").join(many, "rules", "left_semi")
+    return heads(named, ["rules"], [F.desc("score"), F.col("name"), F.col("version")], k).select("rules", "turn", "name", "version", "score")
+
+
+def crowd_members(verdicts: DataFrame, rules: list[str]) -> DataFrame:
+    """All names of one crowd, in order."""
+    same = F.array(*[F.lit(r) for r in rules])
+    return _alike(verdicts).where(F.col("rules") == same).select("name", "version").orderBy("name", "version")
+
+
+def at_or_above(severity: str, fail_on: str) -> bool:
+    """Whether a severity makes a run fail that fails on another."""
+    order = fixed.SEVERITY_ORDER
+    return fail_on in order and order.index(severity) >= order.index(fail_on)
+
+
+def told_singly(verdicts: DataFrame, least: int = fixed.CROWD_LEAST) -> DataFrame:
+    """Flagged verdicts that are in no crowd."""
+    many = crowds(verdicts, least).select("rules")
+    crowded = _alike(verdicts).join(many, "rules", "left_semi").select("pkg_id")
+    return verdicts.where("score > 0").join(crowded, "pkg_id", "left_anti")
 
 
 def headline_rule(findings: DataFrame, packages: DataFrame) -> DataFrame:
@@ -55,13 +87,12 @@ def alone_severity(ruled: DataFrame) -> DataFrame:
     return scores(ruled.where("category <> 'campaign'")).select("pkg_id", F.col("score").alias("alone_score"), F.col("severity").alias("alone"))
 
 
-def campaign_tone(campaigns: DataFrame, verdicts: DataFrame) -> DataFrame:
+def campaign_tone(campaigns: Campaigns, verdicts: DataFrame) -> DataFrame:
     """Each campaign's worst member: ``label, tone, members``."""
-    held = campaigns.select("label", F.explode("members").alias("pkg_key")).join(verdicts.select("pkg_key", "severity"), "pkg_key", "left")
+    held = campaigns.members.join(verdicts.select("pkg_key", "severity"), "pkg_key", "left")
     return held.groupBy("label").agg(F.coalesce(F.max_by("severity", severity_rank(F.col("severity"))), F.lit("clean")).alias("tone"), F.count_distinct("pkg_key").alias("members"))
 
 
-def campaign_matrix(campaigns: DataFrame) -> DataFrame:
+def campaign_matrix(campaigns: Campaigns) -> DataFrame:
     """``label, pkg_key`` by link kind: how many links of each a member is in."""
-    cells = campaigns.select("label", F.explode("links").alias("l")).select("label", F.explode("l.members").alias("pkg_key"), "l.kind")
-    return cells.groupBy("label", "pkg_key").pivot("kind", list(fixed.LINK_KINDS)).agg(F.count("*")).na.fill(0)
+    return campaigns.link_members.groupBy("label", "pkg_key").pivot("kind", list(fixed.LINK_KINDS)).agg(F.count("*")).na.fill(0)

@@ -30,6 +30,8 @@ PACKAGE = {
     "resolved_version": "string",
     "publisher": "string",
     "prior_publishers": "array<string>",
+    "n_prior_publishers": "bigint",
+    "publisher_new": "boolean",
     "published_at": "timestamp",
     "unpacked_size": "bigint",
     "prior_unpacked_size": "bigint",

@@ -19,23 +19,45 @@ def parse_time(value: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(value, r"Z$", "+00:00"))
 
 
+#: Earlier publishers that a record names; the others are counted.
+PRIOR_NAMED = 3
+
+
 def release_history(releases: DataFrame) -> DataFrame:
-    """Each release with what came strictly before it: ``prior_publishers`` and ``prior_unpacked_size``.
+    """Each release with what came strictly before it.
 
     ``releases`` has ``name, version, published_at (string), publisher,
-    unpacked_size``.  Earlier means an earlier time as written; releases at the
-    same time are not earlier than each other.
+    unpacked_size``; added are ``n_prior_publishers`` (who published anything of
+    that name before), ``prior_publishers`` (of them the first few by name),
+    ``publisher_new`` (this one is none of them) and ``prior_unpacked_size``.
+    Earlier means an earlier time as written; releases at the same time are not
+    earlier than each other.
+
+    Nothing grows along a history: a publisher counts where it is first seen, and
+    the least few names so far are running minima.  What a name displaces on its
+    way into the least, or itself if it does not get in, is what the next place
+    chooses from.
     """
     stamp = F.dense_rank().over(Window.partitionBy("name").orderBy("published_at"))
     ranked = releases.where(F.col("published_at").isNotNull()).withColumn("stamp", stamp)
+    of_publisher = Window.partitionBy("name", "publisher").orderBy("stamp", "version")
+    seen = ranked.withColumn("turn", F.row_number().over(of_publisher)).withColumn("since", F.min("stamp").over(of_publisher))
+    entering = F.when(F.col("turn") == 1, F.col("publisher"))
+    in_order = Window.partitionBy("name").orderBy("stamp", "publisher", "version").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("name").orderBy("stamp").rangeBetween(Window.unboundedPreceding, -1)
+    seen = seen.withColumn("place_0", entering)
+    for k in range(1, PRIOR_NAMED):
+        held = F.min(f"place_{k - 1}").over(in_order)
+        seen = seen.withColumn(f"place_{k}", F.when(F.col(f"place_{k - 1}").isNotNull() & held.isNotNull(), F.greatest(f"place_{k - 1}", held)))
     sized = F.when(F.col("unpacked_size") > 0, F.col("unpacked_size"))
-    return ranked.withColumns(
+    return seen.withColumns(
         {
-            "prior_publishers": F.array_sort(F.collect_set("publisher").over(before)),
+            "n_prior_publishers": F.count("place_0").over(before),
+            "prior_publishers": F.array_compact(F.array(*[F.min(f"place_{k}").over(before) for k in range(PRIOR_NAMED)])),
+            "publisher_new": F.col("since") == F.col("stamp"),
             "prior_unpacked_size": F.last(sized, ignorenulls=True).over(before),
         }
-    ).drop("stamp")
+    ).drop("stamp", "turn", "since", *[f"place_{k}" for k in range(PRIOR_NAMED)])
 
 
 def with_registry(packages: DataFrame, history: DataFrame, downloads: DataFrame | None = None) -> DataFrame:
@@ -55,6 +77,8 @@ def with_registry(packages: DataFrame, history: DataFrame, downloads: DataFrame
         F.when(F.col("lookup_status") == "absent", F.lit(True)).alias("unpublished"),
         "publisher",
         "prior_publishers",
+        "n_prior_publishers",
+        "publisher_new",
         parse_time(F.col("published_at")).alias("published_at"),
         "unpacked_size",
         "prior_unpacked_size",
