@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import fixed
 from .operators import exposure, routes, scoring, suppress, views
 from .plans import scan as runs
-from .plans.storage import stored
+from .plans.storage import shared_folder, stored
 from .schema import complete
 from .sinks import documents
 from .sources import feeds, history, manifests, online, settings
@@ -43,9 +43,9 @@ def _parser() -> argparse.ArgumentParser:
     p = sub.add_parser("check")
     p.add_argument("names", nargs="+")
     p.add_argument("--ecosystem", choices=("npm", "pypi"), default="npm")
-    p = sub.add_parser("diff")
-    p.add_argument("path", nargs="?", default=".")
-    p.add_argument("--since", required=True)
+    p = sub.add_parser("diff", help="two manifests, or a folder with --since")
+    p.add_argument("paths", nargs="*")
+    p.add_argument("--since")
     sub.add_parser("rules")
     sub.add_parser("explain").add_argument("rule")
     for p in sub.choices.values():
@@ -75,6 +75,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, clien
     args = _parser().parse_args(argv)
     now = datetime.now(timezone.utc)
     root = getattr(args, "path", ".")
+    if args.command == "diff":
+        if wrong := _diff_refused(args):
+            return _wrong(wrong)
+        root = (args.paths or ["."])[0] if args.since else "."
     if not os.path.isdir(root):
         return _wrong(f"{root} is no folder")
     try:
@@ -92,17 +96,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, clien
     if args.command == "init":
         return _init(root)
     spark = spark or SparkSession.builder.appName("riskloom").getOrCreate()
-    client = (client or online.https_client()) if args.online else None
+    client = (client or online.https_client(_answers_folder(spark))) if args.online else None
     asked = {"online": args.online, "client": client}
     if args.command == "history":
         return _history(args, spark, root, now, client)
     if args.command == "why":
-        return _why(args, spark, root)
+        return _why(args, spark, root, now, policy, asked)
     if args.command == "check":
         try:
             report = runs.check(spark, args.names, now, args.ecosystem, policy, **asked)
         except ValueError as e:
             return _wrong(str(e))
+    elif args.command == "diff" and not args.since:
+        old, new = (manifests.dedupe(manifests.parse_manifests(manifests.read_files(spark, [p]))) for p in args.paths)
+        report = runs.diff(old, new, now, policy, **asked)
     elif args.command == "diff":
         repo = history.top_folder(root)
         base = repo and history.resolve_commit(repo, args.since)
@@ -115,14 +122,49 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, clien
     else:
         accepted = settings.read_baseline(os.path.join(root, BASELINE_FILE)) if args.command == "scan" and not args.ignore_baseline else None
         known = spark.createDataFrame([(x,) for x in accepted], "fingerprint string") if accepted else None
-        report = runs.scan(manifests.read_manifests(spark, root), now, policy, accepted=known, root=root, **asked)
+        report = _scanned(spark, root, now, policy, accepted=known, **asked)
     if args.command == "baseline":
         prints = [r["fingerprint"] for r in suppress.fingerprints(report.findings, report.packages).select("fingerprint").collect()]
         print(f"{settings.write_baseline(os.path.join(root, BASELINE_FILE), prints, f'{now:%Y-%m-%dT%H:%M:%SZ}')} findings accepted")
         return 0
-    write = {"text": documents.report_text, "json": documents.report_json, "sarif": documents.report_sarif, "markdown": documents.report_markdown}
-    print(write[args.format](report))
-    return views.gate(report.verdicts, args.fail_on or policy.fail_on).first()["exit_code"]
+    fail_on = args.fail_on or policy.fail_on
+    if args.format == "text":
+        print(documents.report_text(report, fail_on, show_all=args.command == "check"))
+    else:
+        print({"json": documents.report_json, "sarif": documents.report_sarif, "markdown": documents.report_markdown}[args.format](report))
+    return views.gate(report.verdicts, fail_on).first()["exit_code"]
+
+
+def _diff_refused(args: argparse.Namespace) -> str | None:
+    """Why the operands of ``diff`` cannot be compared: it takes two manifests, or a folder and a revision."""
+    files = [p for p in args.paths if not os.path.isdir(p)]
+    if args.since:
+        return "pass two manifests or --since, not both" if files or len(args.paths) > 1 else None
+    if len(args.paths) != 2:
+        return "diff takes two manifests, or a folder with --since"
+    for p in args.paths:
+        if not os.path.isfile(p):
+            return f"{p} is no file"
+        if not manifests.is_manifest(os.path.basename(p)):
+            return f"{p} is not a manifest that can be read"
+    return None
+
+
+def _answers_folder(spark: SparkSession) -> str | None:
+    """Where answers of services are kept: the user's cache in a local run, else beside the checkpoints if tasks can write there by path."""
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return os.path.join(os.environ.get("XDG_CACHE_HOME") or os.path.join(os.path.expanduser("~"), ".cache"), "riskloom")
+    shared = shared_folder(spark)
+    return os.path.join(shared.removeprefix("file://"), "answers") if shared.startswith(("file://", "/")) else None
+
+
+def _scanned(spark: SparkSession, root: str, now: datetime, policy: settings.Policy, **options) -> runs.Report:
+    """A folder's manifests as a report, with the edges between its packages."""
+    texts = manifests.read_manifests(spark, root)
+    report = runs.scan(texts, now, policy, root=root, **options)
+    report.edges = stored(routes.manifest_edges(texts, manifests.lock_entries(texts)), "edges")
+    return report
 
 
 #: What a category looks at, for ``explain``.
@@ -198,20 +240,34 @@ def _init(root: str) -> int:
     return 0
 
 
-def _why(args: argparse.Namespace, spark: SparkSession, root: str, most: int = 6) -> int:
-    """The routes by which a package came in: of the exact name, else of names that hold it."""
-    texts = manifests.read_manifests(spark, root)
-    packages = manifests.dedupe(manifests.parse_manifests(texts))
-    edges = routes.lock_edges(manifests.lock_entries(texts)).unionByName(routes.tree_edges(texts))
-    names = packages.where("kind = 'package'").select("ecosystem", "name").distinct()
-    found = names.where(F.col("name") == args.name)
+def _why(args: argparse.Namespace, spark: SparkSession, root: str, now: datetime, policy: settings.Policy, asked: dict, most: int = 6) -> int:
+    """How a package came in, and what there is to say of it: of the name in any case, else of names that hold it."""
+    report = _scanned(spark, root, now, policy, **asked)
+    packages = report.verdicts.where("kind = 'package'")
+    found = packages.where(F.lower("name") == args.name.lower())
     if found.isEmpty():
-        found = names.where(F.lower("name").contains(args.name.lower())).orderBy("name").limit(most)
-    rows = routes.routes_to(edges, routes.roots_of(edges, packages), found).orderBy("target", "turn").collect()
+        found = packages.where(F.lower("name").contains(args.name.lower()))
+    names = [r["name"] for r in found.select("name").distinct().orderBy("name").limit(most + 2).collect()]
+    if not names:
+        return _wrong(f"no package matching {args.name!r} in {root}")
+    rows = scoring.ordered(found.withColumn("how", scoring.arithmetic())).limit(most + 1).collect()
+    if len(rows) > most:
+        return _wrong(f"{args.name!r} matches more than {most} packages: {', '.join(names)}...")
+    targets = found.select("ecosystem", "name").distinct()
+    ways: dict[tuple[str, str], list[str]] = {}
+    for r in routes.routes_to(report.edges, routes.roots_of(report.edges, report.packages), targets).orderBy("target", "turn").collect():
+        ways.setdefault((r["ecosystem"], r["target"]), []).append(" > ".join(r["route"]))
     for r in rows:
-        print(" > ".join(r["route"]))
-    if not rows:
-        print(f"nothing brings {args.name} in")
+        print("\n".join(documents.verdict_lines(r)))
+        led = ways.get((r["ecosystem"], r["name"]), [])
+        if r["direct"] or led == [r["name"]]:
+            print("     asked for directly")
+        elif led:
+            print("\n".join(f"     via {w}" for w in led))
+        else:
+            print("     no route: nothing in these manifests brings it in")
+        if not r["findings"]:
+            print("     nothing flagged")
     return 0
 
 

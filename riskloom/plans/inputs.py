@@ -11,6 +11,7 @@ the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import complete
 
@@ -121,3 +122,40 @@ SQL["edges"] = _EDGES.replace("AS string", "AS VARCHAR")
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_EDGES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+_LOCK_PATHS = """
+SELECT o, path, min(k) AS k FROM (
+  SELECT l_orderkey AS o, l_linenumber AS k, concat('node_modules/n', cast(l_partkey % 5 AS string)) AS path FROM lineitem
+  UNION ALL
+  SELECT l_orderkey, l_linenumber, concat('node_modules/n', cast(l_partkey % 5 AS string), '/node_modules/n', cast(l_suppkey % 5 AS string)) FROM lineitem WHERE l_linenumber % 2 = 0
+  UNION ALL
+  SELECT l_orderkey, l_linenumber, concat('node_modules/n', cast(l_partkey % 5 AS string), '/node_modules/n', cast(l_suppkey % 5 AS string), '/node_modules/n', cast(cast(l_quantity AS int) % 5 AS string)) FROM lineitem WHERE l_linenumber % 3 = 0
+) AS paths GROUP BY o, path"""
+SQL["lock_paths"] = _LOCK_PATHS.replace("AS string", "AS VARCHAR")
+
+
+def lock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flat lockfile for every order: copies of five names beside and below each other, each asking for two names of which some are nowhere."""
+    paths = spark.sql(_LOCK_PATHS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    wanted = F.map_from_entries(F.array_distinct(F.transform(F.array((F.col("o") + F.col("k")) % 5, (F.col("o") + 2 * F.col("k")) % 6), lambda n: F.struct(F.concat(F.lit("n"), n.cast("string")), F.lit("*").alias("v")))))
+    entry = F.struct(F.concat("k", F.lit(".0")).alias("version"), wanted.alias("dependencies"))
+    locks = paths.groupBy("o").agg(F.map_from_entries(F.collect_list(F.struct("path", entry))).alias("packages"))
+    return locks.select(F.col("o").cast("string").alias("project"), F.lit("package-lock.json").alias("origin"), F.lit("package-lock.json").alias("basename"), F.to_json(F.struct("packages")).alias("text"))
+
+
+_PARENTS = """
+SELECT sha, parent, place FROM (
+  SELECT a.sha, b.sha AS parent, CASE WHEN b.j = a.j - 2 AND a.j % 4 = 0 THEN 1 ELSE 0 END AS place
+  FROM numbered a JOIN numbered b ON a.line = b.line AND (b.j = a.j - 1 AND a.j % 4 <> 3 OR b.j = a.j - 2 AND a.j % 4 IN (3, 0))
+) AS known"""
+_NUMBERED = """SELECT o_custkey AS line, concat('c', cast(o_orderkey AS string)) AS sha, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS j FROM orders"""
+SQL["numbered_commits"], SQL["parents"] = _NUMBERED.replace("AS string", "AS VARCHAR"), _PARENTS
+
+
+def commit_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Commits, parents and tags of a project per customer: every fourth commit merges a side branch, every third has a tag."""
+    numbered = spark.sql(_NUMBERED.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    parents = spark.sql(_PARENTS.replace("FROM numbered a JOIN numbered b", "FROM {numbered} a JOIN {numbered} b"), numbered=numbered)
+    tags = numbered.where("j % 3 = 0").select(F.concat(F.lit("v"), F.substring("sha", 2, 20)).alias("tag"), "sha")
+    return numbered.select("sha"), parents, tags

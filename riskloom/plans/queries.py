@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..corpus import Corpus
-from ..functions import names, texts, urls, versions
-from ..operators import changes, correlate, exposure, routes, rules, scoring, suppress, views
+from ..functions import codeprint, names, texts, urls, versions
+from ..operators import ancestry, changes, correlate, exposure, ranks, routes, rules, scoring, suppress, views
 from ..schema import complete, coord
 from ..sinks import documents
 from ..sources import feeds, manifests
@@ -152,6 +152,17 @@ def crowds(spark, sf_dir):
     return views.crowds(_verdicts(spark, sf_dir)).select(F.array_join("rules", ",").alias("rules"), "n", "score", "first_name")
 
 
+@query(
+    f"""WITH {FINDINGS}, signature AS (
+  SELECT id, string_agg(rule_id, ',' ORDER BY weight DESC, rule_id) AS rules FROM findings JOIN rules USING (rule_id) GROUP BY id),
+alike AS (SELECT rules, name, version, score FROM signature JOIN graded USING (id) JOIN packages USING (id) WHERE severity IN ('low', 'medium', 'high'))
+SELECT rules, name, turn FROM (SELECT *, row_number() OVER (PARTITION BY rules ORDER BY score DESC, name, version NULLS FIRST) AS turn, count(*) OVER (PARTITION BY rules) AS n FROM alike) WHERE n >= 5 AND turn <= 7"""
+)
+def crowd_names(spark, sf_dir):
+    """The first names of each crowd, of which a report lists no more."""
+    return views.crowd_names(_verdicts(spark, sf_dir), 7).select(F.array_join("rules", ",").alias("rules"), "name", "turn")
+
+
 @query(f"WITH {FINDINGS} SELECT 'HEM103' AS rule_id, count(DISTINCT name) AS n FROM findings JOIN packages USING (id) WHERE rule_id = 'HEM103'")
 def headline(spark, sf_dir):
     rows, found = _findings(spark, sf_dir)
@@ -349,7 +360,7 @@ def code_sketches(spark, sf_dir):
     """Prints of every page as a source file; a sketch has no SQL."""
     files = _files(spark, sf_dir).withColumnRenamed("pkg_id", "pkg_key")
     found = correlate.sketches(files)
-    return found.select("pkg_key", F.size("prints").alias("n_prints"), correlate.print_label(F.col("prints")).alias("label"))
+    return found.select("pkg_key", F.size("prints").alias("n_prints"), codeprint.label_of("prints").alias("label"))
 
 
 @query()
@@ -359,7 +370,7 @@ def payload_links(spark, sf_dir):
     key = F.concat(F.lit("npm:d"), F.col("doc_id").cast("string"))
     rows = docs.select(key.alias("pkg_key"), key.alias("pkg_id"), F.concat(F.lit("scope:"), "source").alias("owner"))
     sources = docs.select(key.alias("pkg_key"), F.lit("index.js").alias("rel"), "text")
-    return correlate.payload_links(correlate.sketches(sources), rows).select("key", F.size("members").alias("n"), "detail")
+    return correlate.payload_links(correlate.sketches(sources), rows).links.select("key", "n", "detail")
 
 
 _SETS = "SELECT doc_id AS class, unnest(list_distinct(string_split(text, ' '))) AS print FROM documents WHERE text IS NOT NULL"
@@ -382,6 +393,32 @@ def similar_sketches(spark, sf_dir):
     return found.select(F.col("a").cast("string"), F.col("b").cast("string"), F.size("common").cast("bigint").alias("shared"), F.round("similarity", 6).alias("similarity"))
 
 
+_CLASSED = """files AS (SELECT doc_id, list_sort(list_distinct(string_split(text, ' '))) AS prints, doc_id // 3 AS package, CASE WHEN doc_id % 4 = 0 THEN 'package ' || doc_id // 3 ELSE source END AS owner FROM documents WHERE text IS NOT NULL),
+classes AS (SELECT min(doc_id) AS class, prints, min(package) AS p1, max(package) AS p2, min(owner) AS o1, max(owner) AS o2 FROM files GROUP BY prints),
+sets AS (SELECT class, unnest(prints) AS print FROM classes)"""
+
+
+@query(
+    f"""WITH {_CLASSED}, rare AS (SELECT print FROM sets GROUP BY print HAVING count(*) BETWEEN 2 AND {fixed.BUCKET_MOST}),
+held AS (SELECT class, print FROM sets JOIN rare USING (print)),
+proposed AS (SELECT DISTINCT x.class AS a, y.class AS b FROM held x JOIN held y ON x.print = y.print AND x.class < y.class),
+apart AS (SELECT a, b, len(x.prints) AS na, len(y.prints) AS nb FROM proposed JOIN classes x ON x.class = a JOIN classes y ON y.class = b
+  WHERE least(x.p1, y.p1) <> greatest(x.p2, y.p2) AND least(x.o1, y.o1) <> greatest(x.o2, y.o2)),
+shared AS (SELECT a, b, na, nb, count(*) AS shared FROM apart JOIN sets x ON x.class = a JOIN sets y ON y.class = b AND x.print = y.print GROUP BY a, b, na, nb)
+SELECT a, b, shared, round(shared / (na + nb - shared)::double, 6) AS similarity FROM shared WHERE shared >= 8 AND shared / least(na, nb)::double >= 0.8"""
+)
+def payload_pairs(spark, sf_dir):
+    """Documents as files of packages and owners: which classes of equal files may tell of one payload."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    package = F.floor(F.col("doc_id") / 3).cast("string")
+    rows = docs.select("doc_id", package.alias("pkg_key"), F.col("doc_id").cast("string").alias("rel"), F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("owner"), F.array_sort(F.array_distinct(F.split("text", " "))).alias("prints"))
+    files = stored(rows.withColumn("class", correlate.print_class(F.col("prints"))), "pair-files")
+    found = correlate.payload_pairs(stored(correlate.print_classes(files), "pair-classes"))
+    first = files.groupBy("class").agg(F.min("doc_id").alias("id"))
+    named = found.join(first.withColumnsRenamed({"class": "a", "id": "ia"}), "a").join(first.withColumnsRenamed({"class": "b", "id": "ib"}), "b")
+    return named.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.size("common").cast("bigint").alias("shared"), F.round("similarity", 6).alias("similarity"))
+
+
 # --- links and campaigns -----------------------------------------------------------
 
 _HOSTS = f"""{_HOOKS}, hosts AS (
@@ -408,7 +445,7 @@ def endpoint_links(spark, sf_dir):
     """Hosts that two to sixty packages reach."""
     values, rows = _host_rows(spark, sf_dir)
     links = correlate.value_links(values, rows, "endpoint", ("reached from the install path of ", " packages"))
-    return links.select("key", F.size("members").cast("bigint").alias("n"), "detail")
+    return links.links.select("key", "n", "detail")
 
 
 _GRAPH = "SELECT o_custkey AS a, -o_orderkey AS b FROM orders"
@@ -425,6 +462,18 @@ def link_components(spark, sf_dir):
     return correlate.components(rows)
 
 
+@query(
+    f"""WITH RECURSIVE edges AS ({_GRAPH}), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.seen = e.a),
+labels AS (SELECT node, min(seen) AS root FROM reach GROUP BY node), sizes AS (SELECT root, count(*) AS n FROM labels GROUP BY root)
+SELECT root, n, row_number() OVER (ORDER BY n DESC, root) AS number FROM sizes"""
+)
+def ranked_components(spark, sf_dir):
+    """Components numbered by size, as campaigns are."""
+    sizes = link_components(spark, sf_dir).groupBy("root").agg(F.count("*").alias("n"))
+    return ranks.numbered(sizes, [F.desc("n"), F.col("root")], "number")
+
+
 # --- registry records ---------------------------------------------------------------
 
 _HISTORY = f"""releases AS ({SQL["releases"]}), stamped AS (SELECT *, dense_rank() OVER (PARTITION BY name ORDER BY published_at) AS stamp FROM releases),
@@ -432,11 +481,14 @@ history AS (SELECT *, list_sort(list_distinct(list(publisher) OVER w)) AS prior_
   FROM stamped WINDOW w AS (PARTITION BY name ORDER BY stamp RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
-@query(f"WITH {_HISTORY} SELECT name, version, coalesce(array_to_string(prior_publishers, ','), '') AS prior, prior_size FROM history")
+@query(
+    f"""WITH {_HISTORY} SELECT name, version, coalesce(array_to_string(prior_publishers[1:3], ','), '') AS prior, coalesce(len(prior_publishers), 0) AS n_prior,
+  NOT coalesce(list_contains(prior_publishers, publisher), false) AS is_new, prior_size FROM history"""
+)
 def release_history(spark, sf_dir):
-    """What came strictly before each release."""
+    """What came strictly before each release: the first publishers by name, how many there were, and the last known size."""
     found = feeds.release_history(inputs.releases(spark, sf_dir))
-    return found.select("name", "version", F.array_join("prior_publishers", ",").alias("prior"), F.col("prior_unpacked_size").alias("prior_size"))
+    return found.select("name", "version", F.array_join("prior_publishers", ",").alias("prior"), F.col("n_prior_publishers").alias("n_prior"), F.col("publisher_new").alias("is_new"), F.col("prior_unpacked_size").alias("prior_size"))
 
 
 def _registry_packages(spark, sf_dir) -> DataFrame:
@@ -476,10 +528,10 @@ SELECT publisher AS key, count(DISTINCT name) AS n, 'new to all ' || count(DISTI
 )
 def publisher_links(spark, sf_dir):
     """Accounts that are new to several packages."""
-    rows = feeds.release_history(inputs.releases(spark, sf_dir)).select(F.concat(F.lit("npm:"), "name").alias("pkg_key"), F.lit(None).cast("string").alias("owner"), "publisher", "prior_publishers")
+    rows = feeds.release_history(inputs.releases(spark, sf_dir)).select(F.concat(F.lit("npm:"), "name").alias("pkg_key"), F.lit(None).cast("string").alias("owner"), "publisher", "prior_publishers", "n_prior_publishers", "publisher_new")
     values = correlate.publisher_values(rows).distinct()
     links = correlate.value_links(values, rows.select("pkg_key", "owner").distinct(), "publisher", ("new to all ", " packages, and published them"))
-    return links.select("key", F.size("members").cast("bigint").alias("n"), "detail")
+    return links.links.select("key", "n", "detail")
 
 
 _INTEL = """hits AS (SELECT 'npm' AS ecosystem, 'd' || (doc_id % 60) AS name, cast(quality AS VARCHAR) AS version, doc_id AS seq,
@@ -531,6 +583,14 @@ def provenance_mismatch(spark, sf_dir):
 
 # --- manifests -------------------------------------------------------------------------
 
+#: Rows of a project, whatever the table's size: so many keys, of which each brand has its share.
+PROJECT = 2_000
+_PROJECT = f"p_brand || '-' || p_partkey // {PROJECT}"
+
+
+def _project():
+    return F.concat("p_brand", F.lit("-"), F.floor(F.col("p_partkey") / PROJECT).cast("string"))
+
 
 @query(f"WITH packages AS ({SQL['packages']}) SELECT id, name, version, resolved, integrity, direct FROM packages")
 def lockfile_round_trip(spark, sf_dir):
@@ -539,7 +599,7 @@ def lockfile_round_trip(spark, sf_dir):
     entry = F.struct("name", "version", "resolved", "integrity")
     path = F.concat(F.lit("node_modules/x"), F.col("id").cast("string"), F.lit("/node_modules/"), "name")
     renamed = rows.withColumn("name", F.concat_ws("|", "name", F.col("id").cast("string")))
-    docs = renamed.groupBy((F.col("id") % 20).alias("app")).agg(F.collect_list(F.struct(path, entry)).alias("entries"), F.map_from_entries(F.collect_list(F.when(F.col("direct"), F.struct("name", F.lit("1"))))).alias("wanted"))
+    docs = renamed.groupBy(F.floor(F.col("id") / PROJECT).alias("app")).agg(F.collect_list(F.struct(path, entry)).alias("entries"), F.map_from_entries(F.collect_list(F.when(F.col("direct"), F.struct("name", F.lit("1"))))).alias("wanted"))
     top = F.concat(F.lit('{"packages":{"":{"dependencies":'), F.to_json("wanted"), F.lit("},"), F.substr(F.to_json(F.map_from_entries("entries")), F.lit(2)), F.lit("}"))
     texts_ = docs.select(F.col("app").cast("string").alias("project"), F.lit("package-lock.json").alias("origin"), F.lit("package-lock.json").alias("basename"), top.alias("text"))
     parsed = manifests.parse_manifests(texts_)
@@ -561,13 +621,13 @@ def strongest_manifest(spark, sf_dir):
     return manifests.strongest_manifest(rows)
 
 
-@query("SELECT p_brand AS project, replace(p_name, ' ', '-') AS name, CASE WHEN p_partkey % 2 = 0 THEN cast(p_size AS VARCHAR) END AS version, CASE WHEN p_partkey % 2 = 0 THEN '==' ELSE '>=' END || p_size AS spec FROM part")
+@query(f"SELECT {_PROJECT} AS project, replace(p_name, ' ', '-') AS name, CASE WHEN p_partkey % 2 = 0 THEN cast(p_size AS VARCHAR) END AS version, CASE WHEN p_partkey % 2 = 0 THEN '==' ELSE '>=' END || p_size AS spec FROM part")
 def requirement_files(spark, sf_dir):
     """A file of requirements per brand, parsed again."""
     part = table(spark, sf_dir, "part")
     line = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.when(F.col("p_partkey") % 2 == 0, "==").otherwise(">="), F.col("p_size").cast("string"))
-    texts_ = part.groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
-    rows = texts_.select(F.col("p_brand").alias("project"), F.lit("requirements.txt").alias("origin"), F.lit("requirements.txt").alias("basename"), "text")
+    texts_ = part.groupBy(_project().alias("project")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    rows = texts_.select("project", F.lit("requirements.txt").alias("origin"), F.lit("requirements.txt").alias("basename"), "text")
     return manifests.parse_manifests(rows).select("project", "name", "version", "spec")
 
 
@@ -578,8 +638,8 @@ def _listed(spark, sf_dir, basename: str, text) -> DataFrame:
     """A manifest of the parts of each brand, written by ``text`` over a sorted array of their fields, and parsed."""
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"))
     fields = F.struct(F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_size").cast("string").alias("size"), (F.col("p_partkey") % 3 == 0).alias("third"))
-    files = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(fields)).alias("all"))
-    rows = files.select(F.col("p_brand").alias("project"), F.lit(basename).alias("origin"), F.lit(basename).alias("basename"), text(F.col("all")).alias("text"))
+    files = table(spark, sf_dir, "part").groupBy(_project().alias("project")).agg(F.sort_array(F.collect_list(fields)).alias("all"))
+    rows = files.select("project", F.lit(basename).alias("origin"), F.lit(basename).alias("basename"), text(F.col("all")).alias("text"))
     return manifests.parse_manifests(rows)
 
 
@@ -591,7 +651,7 @@ def _json_map(value) -> Callable:
     return lambda all_: F.to_json(F.map_from_entries(F.transform(all_, lambda x: F.struct(x["name"], value(x)))))
 
 
-@query(f"SELECT p_brand AS project, {_LISTED}, cast(p_size AS VARCHAR) AS version, p_partkey % 3 = 0 AS dev, true AS direct FROM part UNION ALL SELECT p_brand, 'below-' || p_partkey, '1', false, false FROM part")
+@query(f"SELECT {_PROJECT} AS project, {_LISTED}, cast(p_size AS VARCHAR) AS version, p_partkey % 3 = 0 AS dev, true AS direct FROM part UNION ALL SELECT {_PROJECT}, 'below-' || p_partkey, '1', false, false FROM part")
 def nested_locks(spark, sf_dir):
     """Nested lockfiles: each package holds one more."""
     below = lambda x: F.map_from_arrays(F.array(F.concat(F.lit("below-"), x["id"].cast("string"))), F.array(F.struct(F.lit("1").alias("version"))))
@@ -600,7 +660,7 @@ def nested_locks(spark, sf_dir):
     return _listed(spark, sf_dir, "package-lock.json", text).select("project", "name", "version", "dev", "direct")
 
 
-@query(f"SELECT p_brand AS project, {_LISTED}, CASE WHEN p_partkey % 3 = 0 THEN '^' ELSE '' END || p_size AS spec, CASE WHEN p_partkey % 3 <> 0 THEN cast(p_size AS VARCHAR) END AS version FROM part")
+@query(f"SELECT {_PROJECT} AS project, {_LISTED}, CASE WHEN p_partkey % 3 = 0 THEN '^' ELSE '' END || p_size AS spec, CASE WHEN p_partkey % 3 <> 0 THEN cast(p_size AS VARCHAR) END AS version FROM part")
 def package_files(spark, sf_dir):
     """Manifests without a lock: what is a range is no version."""
     spec = lambda x: F.concat(F.when(x["third"], "^").otherwise(""), x["size"])
@@ -608,21 +668,21 @@ def package_files(spark, sf_dir):
     return _listed(spark, sf_dir, "package.json", text).select("project", "name", "spec", "version")
 
 
-@query(f"SELECT p_brand AS project, {_LISTED}, '^' || p_size AS spec, p_size || '.0' AS version, CASE WHEN p_partkey % 3 = 0 THEN 'sha512-x' END AS integrity FROM part")
+@query(f"SELECT {_PROJECT} AS project, {_LISTED}, '^' || p_size AS spec, p_size || '.0' AS version, CASE WHEN p_partkey % 3 = 0 THEN 'sha512-x' END AS integrity FROM part")
 def yarn_locks(spark, sf_dir):
     """Blocks of descriptors, versions and hashes."""
     form = lambda x: F.concat(F.lit('"'), x["name"], F.lit("@^"), x["size"], F.lit('", "'), x["name"], F.lit('@*":\n  version "'), x["size"], F.lit('.0"\n'), F.when(x["third"], "  integrity sha512-x\n").otherwise(""), F.lit("\n"))
     return _listed(spark, sf_dir, "yarn.lock", _lines(form)).select("project", "name", "spec", "version", "integrity")
 
 
-@query(f"SELECT p_brand AS project, {_LISTED}, cast(p_size AS VARCHAR) AS version, '==' || p_size AS spec, p_partkey % 3 = 0 AS dev FROM part")
+@query(f"SELECT {_PROJECT} AS project, {_LISTED}, cast(p_size AS VARCHAR) AS version, '==' || p_size AS spec, p_partkey % 3 = 0 AS dev FROM part")
 def poetry_locks(spark, sf_dir):
     """Tables of locked Python packages."""
     form = lambda x: F.concat(F.lit('[[package]]\nname = "'), x["name"], F.lit('"\nversion = "'), x["size"], F.lit('"\n'), F.when(x["third"], 'category = "dev"\n').otherwise(""))
     return _listed(spark, sf_dir, "poetry.lock", _lines(form)).select("project", "name", "version", "spec", "dev")
 
 
-@query(f"SELECT p_brand AS project, {_LISTED}, cast(p_size AS VARCHAR) AS version, 'sha256' AS integrity FROM part")
+@query(f"SELECT {_PROJECT} AS project, {_LISTED}, cast(p_size AS VARCHAR) AS version, 'sha256' AS integrity FROM part")
 def pipfile_locks(spark, sf_dir):
     """Sections of locked Python packages."""
     entry = lambda x: F.struct(F.concat(F.lit("=="), x["size"]).alias("version"), F.array(F.lit("sha256:0")).alias("hashes"))
@@ -630,7 +690,7 @@ def pipfile_locks(spark, sf_dir):
     return _listed(spark, sf_dir, "Pipfile.lock", text).select("project", "name", "version", "integrity")
 
 
-@query(f"SELECT p_brand AS project, {_LISTED}, CASE WHEN p_partkey % 3 = 0 THEN '==' ELSE '>=' END || p_size AS spec, CASE WHEN p_partkey % 3 = 0 THEN cast(p_size AS VARCHAR) END AS version FROM part")
+@query(f"SELECT {_PROJECT} AS project, {_LISTED}, CASE WHEN p_partkey % 3 = 0 THEN '==' ELSE '>=' END || p_size AS spec, CASE WHEN p_partkey % 3 = 0 THEN cast(p_size AS VARCHAR) END AS version FROM part")
 def project_files(spark, sf_dir):
     """Dependency specifiers of Python projects."""
     form = lambda x: F.concat(F.lit('"'), x["name"], F.when(x["third"], "==").otherwise(" >= "), x["size"], F.lit('; python_version > 3",\n'))
@@ -645,7 +705,7 @@ def nested_lock_edges(spark, sf_dir):
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"))
     requires = F.map_from_arrays(F.array(F.concat(F.lit("needs-"), F.col("p_size").cast("string"))), F.array(F.lit("*")))
     entries = F.map_from_entries(F.collect_list(F.struct(name, F.struct(F.lit("1").alias("version"), requires.alias("requires")))))
-    files = part.groupBy("p_brand").agg(F.to_json(F.struct(entries.alias("dependencies"))).alias("text"))
+    files = part.groupBy(_project()).agg(F.to_json(F.struct(entries.alias("dependencies"))).alias("text"))
     return routes.tree_edges(files.select("text", F.lit("package-lock.json").alias("basename")))
 
 
@@ -762,17 +822,35 @@ def dependency_roots(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE edges AS ({SQL["edges"]}), hops(name, n) AS (
-  SELECT 'p1', 1 UNION SELECT e.child, h.n + 1 FROM hops h JOIN edges e ON e.parent = h.name WHERE h.n < 13)
-SELECT name AS target, min(n) AS hops FROM hops GROUP BY name"""
+    f"""WITH RECURSIVE edges AS ({SQL["edges"]}), roots AS (SELECT DISTINCT parent AS name FROM edges WHERE parent NOT IN (SELECT child FROM edges)),
+walks(name, n, route) AS (
+  SELECT name, 1, [name] FROM roots
+  UNION ALL SELECT e.child, w.n + 1, min(list_append(w.route, e.child)) FROM walks w JOIN edges e ON e.parent = w.name WHERE w.n < 13 GROUP BY e.child, w.n + 1),
+first AS (SELECT name, min(n) AS n FROM walks GROUP BY name)
+SELECT f.name AS target, f.n AS hops, array_to_string(w.route, '>') AS route FROM first f JOIN walks w ON w.name = f.name AND w.n = f.n"""
 )
 def shortest_routes(spark, sf_dir):
-    """Length of the first route from one root to every package it reaches."""
+    """The first route from any root to every package that one reaches."""
     steps = inputs.edges(spark, sf_dir)
-    roots = spark.range(1).select(F.lit("npm").alias("ecosystem"), F.lit("p1").alias("name"))
+    roots = dependency_roots(spark, sf_dir).select(F.lit("npm").alias("ecosystem"), "name")
     targets = steps.select("ecosystem", F.col("child").alias("name")).unionByName(roots).distinct()
     found = routes.routes_to(steps, roots, targets, limit=1)
-    return found.select("target", F.size("route").alias("hops"))
+    return found.select("target", F.size("route").alias("hops"), F.array_join("route", ">").alias("route"))
+
+
+@query(
+    f"""WITH entries AS ({SQL["lock_paths"]}),
+wanted AS (SELECT DISTINCT o, path, unnest(['n' || (o + k) % 5, 'n' || (o + 2 * k) % 6]) AS child FROM entries),
+folders AS (SELECT *, unnest(range(0, len(string_split(path, '/node_modules/')) + 1)) AS depth FROM wanted),
+tried AS (SELECT *, CASE WHEN depth = 0 THEN '' ELSE array_to_string(string_split(path, '/node_modules/')[1:depth], '/node_modules/') || '/' END || 'node_modules/' || child AS found FROM folders),
+met AS (SELECT t.o, t.path, t.child, t.depth, t.found, e.k FROM tried t JOIN entries e ON e.o = t.o AND e.path = t.found)
+SELECT cast(o AS VARCHAR) AS project, path AS parent_path, regexp_replace(path, '^.*node_modules/', '') AS parent, child, arg_max(found, depth) AS child_path, arg_max(k, depth) || '.0' AS version
+FROM met GROUP BY o, path, child"""
+)
+def resolved_edges(spark, sf_dir):
+    """Which of several copies of a name each package of a lockfile gets."""
+    entries = manifests.lock_entries(inputs.lock_texts(spark, sf_dir))
+    return routes.resolved_edges(entries).select("project", "parent_path", "parent", "child", "child_path", "version")
 
 
 # --- changes and history ------------------------------------------------------------------
@@ -840,15 +918,37 @@ def tags_during(spark, sf_dir):
     return exposure.tags_during(_windows(spark, sf_dir), tags).select("name", "version", "first", F.array_join("tags", ",").alias("tags"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE numbered AS ({SQL["numbered_commits"]}), parents AS ({SQL["parents"]}),
+held(tag, sha) AS (SELECT 'v' || substr(sha, 2), sha FROM numbered WHERE j % 3 = 0 UNION SELECT h.tag, p.parent FROM held h JOIN parents p ON p.sha = h.sha)
+SELECT sha, tag FROM held"""
+)
+def tags_containing(spark, sf_dir):
+    """The tags in whose history each commit lies, over branches and merges."""
+    commits, parents, tags = inputs.commit_graph(spark, sf_dir)
+    return ancestry.tags_containing(commits, parents, tags, commits)
+
+
+@query(
+    f"""WITH RECURSIVE {_HOSTS}, named AS (SELECT DISTINCT 'c' || conv_id || '-' || turn AS name, lower(regexp_replace(h, ':.*$', '')) AS host FROM (
+  SELECT conv_id, turn, unnest(regexp_extract_all(body, '(?i)\\bhttps?://([A-Za-z0-9._-]+(?::\\d+)?)', 1)) AS h FROM own)),
+linked AS (SELECT * FROM named WHERE host IN (SELECT host FROM named GROUP BY host HAVING count(*) BETWEEN 2 AND 60)),
+both_ways AS (SELECT DISTINCT x.name AS a, y.name AS b FROM linked x JOIN linked y USING (host)),
+reach(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.seen = e.a),
+labels AS (SELECT node, min('npm:' || seen || '@1.0.0') AS root FROM reach GROUP BY node),
+sizes AS (SELECT root, count(*) AS n, arg_min(node, 'npm:' || node || '@1.0.0') AS first FROM labels GROUP BY root),
+hosts_of AS (SELECT root, count(DISTINCT host) AS links FROM linked JOIN labels ON node = name GROUP BY root)
+SELECT 'C' || row_number() OVER (ORDER BY n DESC, first, root) AS label, n AS members, links, '' AS burst FROM sizes JOIN hosts_of USING (root)"""
+)
 def campaign_report(spark, sf_dir):
-    """Campaigns of packages that reach the same hosts, with findings: endpoints, burst and labels together."""
+    """Campaigns of packages whose install scripts reach the same hosts: a package per script."""
     scripts = inputs.hooks(spark, sf_dir).where(F.col("hook").isin(*fixed.HOOKS))
-    rows = scripts.groupBy("conv_id").agg(F.max("body").alias("body"))
-    packages = complete(rows.select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("name"), F.lit("1.0.0").alias("version"), F.create_map(F.lit("install"), F.col("body")).alias("scripts")))
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    packages = complete(scripts.select(F.lit("npm").alias("ecosystem"), name.alias("name"), F.lit("1.0.0").alias("version"), F.create_map(F.lit("install"), F.col("body")).alias("scripts")))
     packages = stored(packages, "campaign-packages")
     found = correlate.correlate(packages, spark.createDataFrame([], "pkg_id string, rel string, text string"))
-    return found.select("label", F.size("members").alias("members"), F.size("links").alias("links"), "burst")
+    links = found.links.groupBy("label").agg(F.count("*").alias("links"))
+    return found.heads.join(links, "label").select("label", F.col("n").alias("members"), "links", "burst")
 
 
 @query(f"WITH {_WINDOWS} SELECT name, version, first, CASE WHEN days < 1 THEN greatest(1, cast(round_even(days * 24, 0) AS bigint)) || ' hours' WHEN days < 60 THEN cast(round_even(days, 0) AS bigint) || ' days' ELSE cast(round_even(days / 30.44::double, 0) AS bigint) || ' months' END AS lasted FROM windows")
@@ -891,10 +991,12 @@ def installed_scripts(spark, sf_dir):
 @query()
 def whole_scan(spark, sf_dir):
     """Lockfile texts to verdicts: parsed, merged, judged by all offline rules, correlated and scored."""
-    rows = inputs.packages(spark, sf_dir).where("ecosystem = 'npm'")
+    rows = inputs.packages(spark, sf_dir).withColumn("app", F.concat(F.lit("app"), F.floor(F.col("id") / PROJECT).cast("string")))
     entry = F.struct("version", "resolved", "integrity")
     path = F.concat(F.lit("node_modules/x"), F.col("id").cast("string"), F.lit("/node_modules/"), "name")
-    docs = rows.groupBy((F.col("id") % 20).alias("app")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(path, entry))).alias("packages"))).alias("text"))
-    origin = F.concat(F.lit("app"), F.col("app").cast("string"), F.lit("/package-lock.json"))
-    texts_ = docs.select(F.lit("").alias("project"), origin.alias("origin"), F.lit("package-lock.json").alias("basename"), "text")
+    npm = rows.where("ecosystem = 'npm'").groupBy("app").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(path, entry))).alias("packages"))).alias("text"))
+    block = F.concat(F.lit('[[package]]\nname = "'), "name", F.lit('"\nversion = "'), F.coalesce("version", F.lit("0")), F.lit('"\n'))
+    pypi = rows.where("ecosystem = 'pypi'").groupBy("app").agg(F.array_join(F.sort_array(F.collect_list(block)), "\n").alias("text"))
+    both = npm.withColumn("basename", F.lit("package-lock.json")).unionByName(pypi.withColumn("basename", F.lit("poetry.lock")))
+    texts_ = both.select(F.lit("").alias("project"), F.concat("app", F.lit("/"), "basename").alias("origin"), "basename", "text")
     return scan.scan(texts_, AS_OF, corpus=CORPUS).verdicts.select("name", "version", "origin", "score", "severity", F.array_join("findings.rule_id", ",").alias("found"))

@@ -39,11 +39,12 @@ class Report:
     verdicts: DataFrame
     suppressed: DataFrame
     known: DataFrame | None = None
-    campaigns: DataFrame | None = None
+    campaigns: correlate.Campaigns | None = None
     changes: DataFrame | None = None
     warnings: list[str] = field(default_factory=list)
     online: bool = False
     as_of: datetime | None = None
+    edges: DataFrame | None = None
 
 
 def service_feeds(packages: DataFrame, client: online_sources.Client) -> tuple[Feeds, list[str]]:
@@ -82,7 +83,7 @@ def enrich(packages: DataFrame, from_feeds: Feeds) -> DataFrame:
         out = feeds.with_intel(out, feeds.split_intel(from_feeds.intel_hits, records))
     if from_feeds.releases is not None:
         history = feeds.release_history(from_feeds.releases)
-        unseen = from_feeds.releases.where(F.col("published_at").isNull()).withColumns({"prior_publishers": F.array().cast("array<string>"), "prior_unpacked_size": F.lit(None).cast("bigint")})
+        unseen = from_feeds.releases.where(F.col("published_at").isNull())
         out = feeds.with_registry(out, history.unionByName(unseen, allowMissingColumns=True), from_feeds.downloads)
     if from_feeds.attestations is not None:
         out = feeds.with_provenance(out, from_feeds.attestations)
