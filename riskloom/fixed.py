@@ -122,6 +122,9 @@ DYNAMIC_CODE = (
 LONG_BLOB = r"['\"][A-Za-z0-9+/=_-]{500,}['\"]"
 OUTSIDE_REGISTRY = r"^(git\+|git:|file:|link:|https?://)"
 RANGE_SPEC = r"[\^~*><|\s]|latest|^\d+\.x"
+REQUIREMENT = r"^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]+\])?\s*((?:[=<>!~^]=?|===)\s*[^;#\s]+)?"
+INDEX_OPTION = r"^(?:--index-url|--extra-index-url|-i)(?:\s+|=)(\S+)"
+CODE_URL = r"^(git|hg|svn|bzr)\+|^https?://"
 URL_HOST = r"\bhttps?://([A-Za-z0-9._-]+(?::\d+)?)"
 SCRIPT_FILE = r"[\w./@-]+\.(?:js|cjs|mjs|py)\b"
 

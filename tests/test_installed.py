@@ -68,13 +68,18 @@ def test_runs_without_correlation_and_without_installed_packages(spark, project,
     assert "No installed packages were found" in capsys.readouterr().out
 
 
-def test_hook_files_stay_inside_their_package(project):
-    folder = os.path.join(project, "node_modules/quiet-bin")
+def hook_files(spark, folder, commands):
+    hooks = spark.createDataFrame([("p", folder, i, c) for i, c in enumerate(commands)], "pkg_id string, source_dir string, turn int, command string")
+    return sorted(r["rel"] for r in installed.hook_texts(hooks).collect())
+
+
+def test_hook_files_stay_inside_their_package(spark, project):
+    folder, clock = (os.path.join(project, "node_modules", n) for n in ("quiet-bin", "tide-clock"))
     commands = ["node ../tide-clock/setup.js", "node out.js", "node bin.js", "node lib/a.js && node ./lib/a.js", "node https://x.example/y.js"]
-    assert [rel for rel, _ in installed.hook_files(folder, commands)] == ["bin.js", "lib/a.js"]
+    assert hook_files(spark, folder, commands) == ["bin.js", "lib/a.js"]
     assert [rel for rel, _ in installed.code_files(folder)] == ["bin.js", "lib/a.js"]
-    assert [rel for rel, _ in installed.hook_files(os.path.join(project, "node_modules/tide-clock"), ["node ./setup"])] == []
-    assert [rel for rel, _ in installed.hook_files(os.path.join(project, "node_modules/tide-clock"), ["node setup.js", "node ./setup.js"])] == ["setup.js"]
+    assert hook_files(spark, clock, ["node ./setup"]) == []
+    assert hook_files(spark, clock, ["node setup.js", "node ./setup.js", "node x/../setup.js"]) == ["setup.js"]
 
 
 def test_online_run_asks_the_client(spark, project, capsys):
