@@ -95,7 +95,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, clien
         return _explain(args.rule)
     if args.command == "init":
         return _init(root)
-    spark = spark or SparkSession.builder.appName("riskloom").getOrCreate()
+    spark = spark or SparkSession.builder.appName("riskloom").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     client = (client or online.https_client(_answers_folder(spark))) if args.online else None
     asked = {"online": args.online, "client": client}
     if args.command == "history":

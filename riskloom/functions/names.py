@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,8 +74,12 @@ def swap_distance(a: Column, b: Column) -> Column:
 
 def popular_table(spark: SparkSession, corpus: Corpus) -> DataFrame:
     """``(ecosystem, target)`` of a corpus, which is a list that people keep and so is small."""
-    rows = [(e, n) for e in ("npm", "pypi") for n in corpus.names(e)]
-    return spark.createDataFrame(_strings(["ecosystem", "target"], rows))
+    return spark.createDataFrame(_popular(corpus))
+
+
+@lru_cache(maxsize=8)
+def _popular(corpus: Corpus) -> pa.Table:
+    return _strings(["ecosystem", "target"], [(e, n) for e in ("npm", "pypi") for n in corpus.names(e)])
 
 
 def _strings(columns: list[str], rows: list[tuple]) -> pa.Table:
@@ -81,22 +87,25 @@ def _strings(columns: list[str], rows: list[tuple]) -> pa.Table:
 
 
 def nearest_popular(asked: DataFrame, corpus: Corpus, most: int = 2) -> DataFrame:
-    """``asked`` (ecosystem, compared) to ``ecosystem, compared, distance, target``: the closest popular name at one to ``most`` edits, of equally close ones the first.
+    """``asked`` (ecosystem, compared; repeats count once) to ``ecosystem, compared, distance, target``: the closest popular name at one to ``most`` edits, of equally close ones the first.
 
     Names meet by equality of what is left without some letters; only those
-    that meet are compared.
+    that meet are compared.  Names are dealt out once: a name's keys, what they
+    meet and what is nearest stay in its partition.
     """
+    name = ["ecosystem", "compared"]
     popular = popular_table(asked.sparkSession, corpus)
     lengths = [len(n) for e in ("npm", "pypi") for n in corpus.names(e)] or [0]
-    spread = asked.sparkSession.sparkContext.defaultParallelism  # few bytes, but each name has many keys
-    may = asked.where(F.length("compared").between(min(lengths) - most, max(lengths) + most)).repartition(spread)
-    left = may.select("ecosystem", "compared", F.explode(letters_left_out("compared", most)).alias("key"))
+    may = asked.select(*name).where(F.length("compared").between(min(lengths) - most, max(lengths) + most))
+    dealt = may.repartition(asked.sparkSession.sparkContext.defaultParallelism, *name).distinct()  # few bytes, but each name has many keys
+    left = dealt.select(*name, F.explode(letters_left_out("compared", most)).alias("key"))
     right = popular.select("ecosystem", "target", F.explode(letters_left_out("target", most)).alias("key"))
     near = F.levenshtein("compared", "target", 2 * most) >= 0  # a swap is two plain edits
     alike = (F.abs(F.length("compared") - F.length("target")) <= most) & near
-    met = left.join(F.broadcast(right.distinct()), ["ecosystem", "key"]).where(alike).select("ecosystem", "compared", "target").distinct()
-    far = met.withColumn("distance", swap_distance(F.col("compared"), F.col("target"))).where(F.col("distance").between(1, most))
-    return far.groupBy("ecosystem", "compared").agg(F.min(F.struct("distance", "target")).alias("hit")).select("ecosystem", "compared", "hit.distance", "hit.target")
+    met = left.join(F.broadcast(right.distinct()), ["ecosystem", "key"]).where(alike).groupBy(*name).agg(F.collect_set("target").alias("targets"))
+    far = F.transform("targets", lambda t: F.struct(swap_distance(F.col("compared"), t).alias("distance"), t.alias("target")))
+    hit = F.array_min(F.filter(far, lambda x: x["distance"].between(1, most)))
+    return met.select(*name, hit.alias("hit")).where("hit IS NOT NULL").select(*name, "hit.distance", "hit.target")
 
 
 def with_affixes(spark: SparkSession, corpus: Corpus, affixes: dict[str, tuple[str, ...]], least: int = 4) -> DataFrame:
@@ -107,14 +116,20 @@ def with_affixes(spark: SparkSession, corpus: Corpus, affixes: dict[str, tuple[s
     and of that the first way: in front with a separator, behind with one, in
     front, behind.
     """
-    rows = []
-    for ecosystem, known in affixes.items():
+    return spark.createDataFrame(_worn(corpus, tuple((e, tuple(a)) for e, a in affixes.items()), least))
+
+
+@lru_cache(maxsize=8)
+def _worn(corpus: Corpus, affixes: tuple[tuple[str, tuple[str, ...]], ...], least: int) -> pa.Table:
+    best: dict[tuple[str, str], tuple] = {}
+    for ecosystem, known in affixes:
         for name in corpus.names(ecosystem):
-            if len(name) >= least:
-                for i, affix in enumerate(known):
-                    ways = [[affix + sep + name for sep in "-_."], [name + sep + affix for sep in "-_."], [affix + name], [name + affix]]
-                    rows += [(ecosystem, worn, name, affix, i * 4 + way) for way, forms in enumerate(ways) for worn in forms]
-    best: dict[tuple, tuple] = {}
-    for row in rows:
-        best[row[:2]] = min(best.get(row[:2], row), row, key=lambda r: r[4])
-    return spark.createDataFrame(_strings(["ecosystem", "worn", "stripped", "affix"], list(best.values())))
+            if len(name) < least:
+                continue
+            for i, affix in enumerate(known):
+                ways = [[affix + sep + name for sep in "-_."], [name + sep + affix for sep in "-_."], [affix + name], [name + affix]]
+                for way, forms in enumerate(ways):
+                    for worn in forms:
+                        row = (ecosystem, worn, name, affix, i * 4 + way)
+                        best[row[:2]] = min(best.get(row[:2], row), row, key=lambda r: r[4])
+    return _strings(["ecosystem", "worn", "stripped", "affix"], list(best.values()))

@@ -299,7 +299,7 @@ def near_miss_findings(packages: DataFrame, corpus: Corpus = DEFAULT) -> DataFra
     """HEM101: names one or two edits from a popular one. Each distinct name is compared once."""
     rows = packages.where("kind = 'package'").select("pkg_id", "ecosystem", names.compared_name(F.col("ecosystem"), F.col("name")).alias("compared"))
     popular = names.popular_table(packages.sparkSession, corpus).withColumnRenamed("target", "compared")
-    asked = rows.select("ecosystem", "compared").where(F.length("compared") >= 4).distinct().join(F.broadcast(popular), ["ecosystem", "compared"], "left_anti")
+    asked = rows.select("ecosystem", "compared").where(F.length("compared") >= 4).join(F.broadcast(popular), ["ecosystem", "compared"], "left_anti")
     near = names.nearest_popular(asked, corpus)
     text = F.concat(texts.plural(F.col("distance"), "edit"), F.lit(' away from "'), F.col("target"), F.lit('"'))
     return rows.join(near, ["ecosystem", "compared"]).select("pkg_id", F.lit("HEM101").alias("rule_id"), F.array(text).alias("evidence"))

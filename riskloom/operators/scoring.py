@@ -30,27 +30,42 @@ def category_scores(findings: DataFrame) -> DataFrame:
     return findings.groupBy("pkg_id", "category").agg(part.alias("part"), F.max("certain").alias("certain"))
 
 
-def scores(findings: DataFrame) -> DataFrame:
-    """One row per package with findings: ``pkg_id, score, base, multiplier, categories, parts, certain, severity``.
-
-    Partial aggregation twice, first by category and then by package; a certain finding settles the score.
-    """
-    parts = category_scores(findings)
-    multiplier = 1.0 + fixed.CATEGORY_BONUS * (F.count("*") - 1)
-    entries = F.sort_array(F.collect_list(F.struct("category", "part")))
-    per = parts.groupBy("pkg_id").agg(F.sum("part").cast("int").alias("sum"), multiplier.alias("raised"), F.max("certain").alias("certain"), entries.alias("entries"))
-    total = F.least(F.lit(100), F.bround(F.col("sum") * F.col("raised")).cast("int"))
+def _part(weights: Column) -> Column:
+    """A category's part of a score, of the weights of its findings: the heaviest in full, a share of the others."""
+    heaviest, all_ = F.array_max(weights), F.aggregate(weights, F.lit(0).cast("long"), lambda s, w: s + w)
+    return F.bround(heaviest + fixed.REST_SHARE * (all_ - heaviest)).cast("int")
+
+
+def _scored(found: DataFrame, *keep: str) -> DataFrame:
+    """``found`` (pkg_id, found: an array of category, weight and certain) with its score, in the row."""
+    category = lambda f: f["category"]
+    kinds = F.array_sort(F.array_distinct(F.transform("found", category)))
+    entry = lambda c: F.struct(c.alias("category"), _part(F.transform(F.filter("found", lambda f: f["category"] == c), lambda f: f["weight"])).alias("part"))
+    rows = found.select("pkg_id", *keep, F.transform(kinds, entry).alias("entries"), F.exists("found", lambda f: f["certain"]).alias("certain"))
+    total = F.aggregate("entries", F.lit(0), lambda s, e: s + e["part"])
+    rows = rows.withColumns({"sum": total, "raised": 1.0 + fixed.CATEGORY_BONUS * (F.size("entries") - 1)})
     sure = F.col("certain")
-    out = per.select(
+    score = F.when(sure, 100).otherwise(F.least(F.lit(100), F.bround(F.col("sum") * F.col("raised")).cast("int")))
+    return rows.select(
         "pkg_id",
-        F.when(sure, 100).otherwise(total).alias("score"),
+        *keep,
+        score.alias("score"),
         F.when(sure, 100).otherwise(F.col("sum")).alias("base"),
         F.when(sure, 1.0).otherwise(F.col("raised")).alias("multiplier"),
         F.col("entries.category").alias("categories"),
         F.when(~sure, F.map_from_entries("entries")).otherwise(F.create_map().cast("map<string,int>")).alias("parts"),
         "certain",
+        severity(score).alias("severity"),
     )
-    return out.withColumn("severity", severity(F.col("score")))
+
+
+def scores(findings: DataFrame) -> DataFrame:
+    """One row per package with findings: ``pkg_id, score, base, multiplier, categories, parts, certain, severity``.
+
+    A package's findings, a few dozen at most, meet in one aggregate, and its
+    categories are worked out in the row; a certain finding settles the score.
+    """
+    return _scored(findings.groupBy("pkg_id").agg(F.collect_list(F.struct("category", "weight", "certain")).alias("found")))
 
 
 def with_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -59,12 +74,13 @@ def with_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def verdicts(packages: DataFrame, findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every package with its score and findings, the certain and heaviest first."""
+    """Every package with its score and findings, the certain and heaviest first: one aggregate and one join."""
     ruled = with_rules(findings, rules)
     order = F.struct((~F.col("certain")).alias("later"), (-F.col("weight")).alias("lighter"), "rule_id", "title", "category", "weight", "evidence", "fix", F.col("certain").alias("sure"))
     listed = ruled.groupBy("pkg_id").agg(F.sort_array(F.collect_list(order)).alias("found"))
     shown = F.transform("found", lambda f: F.struct(f["rule_id"].alias("rule_id"), f["title"].alias("title"), f["category"].alias("category"), f["weight"].alias("weight"), f["evidence"].alias("evidence"), f["fix"].alias("fix")))
-    scored = packages.join(scores(ruled).join(listed, "pkg_id").withColumn("findings", shown).drop("found"), "pkg_id", "left")
+    marked = F.transform("found", lambda f: F.struct(f["category"].alias("category"), f["weight"].alias("weight"), f["sure"].alias("certain")))
+    scored = packages.join(_scored(listed.select("pkg_id", shown.alias("findings"), marked.alias("found")), "findings"), "pkg_id", "left")
     empty = F.expr("cast(array() AS array<struct<rule_id:string,title:string,category:string,weight:int,evidence:array<string>,fix:string>>)")
     return scored.withColumns(
         {
