@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import fixed
 from .operators import exposure, routes, scoring, suppress, views
 from .plans import scan as runs
-from .plans.storage import shared_folder, stored
+from .plans.storage import forget, shared_folder, stored, written
 from .schema import complete
 from .sinks import documents
 from .sources import feeds, history, manifests, online, settings
@@ -70,8 +70,18 @@ def _wrong(text: str) -> int:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, client: online.Client | None = None) -> int:
     """Exit status: 1 if a verdict is at or above the failing level, 2 on wrong use.
 
-    ``client`` answers for the services of an online run; without one they are asked over HTTPS.
+    ``client`` answers for the services of an online run; without one they are
+    asked over HTTPS.  Tables that a run has stored are deleted at its end.
     """
+    mark = written()
+    try:
+        return _run(argv, spark, client)
+    finally:
+        if written() > mark:
+            forget(SparkSession.active(), mark)
+
+
+def _run(argv: list[str] | None, spark: SparkSession | None, client: online.Client | None) -> int:
     args = _parser().parse_args(argv)
     now = datetime.now(timezone.utc)
     root = getattr(args, "path", ".")

@@ -208,6 +208,17 @@ def baseline_rescore(spark, sf_dir):
     return scored.join(rows.select("pkg_id", "id"), "pkg_id").select("id", "score")
 
 
+@query(
+    f"""WITH {FINDINGS}, told AS (SELECT id, string_agg(category || ' ' || part, ' + ' ORDER BY part DESC, category) AS terms, count(*) AS n FROM parts GROUP BY id)
+SELECT id, CASE WHEN multiplier = 1 THEN terms || ' -> ' || score
+  ELSE terms || ' = ' || base || '  x' || printf('%.2f', multiplier) || ' (' || n || ' categories agree)  ->  ' || score || CASE WHEN round_even(base * multiplier, 0) > 100 THEN ' capped' ELSE '' END END AS how
+FROM told JOIN graded USING (id)"""
+)
+def score_arithmetic(spark, sf_dir):
+    """How each score came about, in words."""
+    return _verdicts(spark, sf_dir).where("score > 0").select("id", scoring.arithmetic().alias("how"))
+
+
 _IGNORES = (Ignore("HEM40*", "*-*"), Ignore("*", "node[a-m]*"))
 
 
@@ -929,28 +940,64 @@ def tags_containing(spark, sf_dir):
     return ancestry.tags_containing(commits, parents, tags, commits)
 
 
-@query(
-    f"""WITH RECURSIVE {_HOSTS}, named AS (SELECT DISTINCT 'c' || conv_id || '-' || turn AS name, lower(regexp_replace(h, ':.*$', '')) AS host FROM (
+_ENDPOINTS = f"""{_HOSTS}, named AS (SELECT DISTINCT 'c' || conv_id || '-' || turn AS name, lower(regexp_replace(h, ':.*$', '')) AS host FROM (
   SELECT conv_id, turn, unnest(regexp_extract_all(body, '(?i)\\bhttps?://([A-Za-z0-9._-]+(?::\\d+)?)', 1)) AS h FROM own)),
 linked AS (SELECT * FROM named WHERE host IN (SELECT host FROM named GROUP BY host HAVING count(*) BETWEEN 2 AND 60)),
 both_ways AS (SELECT DISTINCT x.name AS a, y.name AS b FROM linked x JOIN linked y USING (host)),
 reach(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.seen = e.a),
-labels AS (SELECT node, min('npm:' || seen || '@1.0.0') AS root FROM reach GROUP BY node),
-sizes AS (SELECT root, count(*) AS n, arg_min(node, 'npm:' || node || '@1.0.0') AS first FROM labels GROUP BY root),
-hosts_of AS (SELECT root, count(DISTINCT host) AS links FROM linked JOIN labels ON node = name GROUP BY root)
-SELECT 'C' || row_number() OVER (ORDER BY n DESC, first, root) AS label, n AS members, links, '' AS burst FROM sizes JOIN hosts_of USING (root)"""
-)
-def campaign_report(spark, sf_dir):
-    """Campaigns of packages whose install scripts reach the same hosts: a package per script."""
+labels AS (SELECT node, min('npm:' || seen || '@1.0.0') AS root FROM reach GROUP BY node)"""
+
+
+def _endpoint_campaigns(spark, sf_dir) -> tuple[DataFrame, correlate.Campaigns]:
+    """A package per install script, and the campaigns of those that reach the same hosts."""
     scripts = inputs.hooks(spark, sf_dir).where(F.col("hook").isin(*fixed.HOOKS))
     name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     packages = complete(scripts.select(F.lit("npm").alias("ecosystem"), name.alias("name"), F.lit("1.0.0").alias("version"), F.create_map(F.lit("install"), F.col("body")).alias("scripts")))
     packages = stored(packages, "campaign-packages")
-    found = correlate.correlate(packages, spark.createDataFrame([], "pkg_id string, rel string, text string"))
+    return packages, correlate.correlate(packages, spark.createDataFrame([], "pkg_id string, rel string, text string"))
+
+
+@query(
+    f"""WITH RECURSIVE {_ENDPOINTS}, sizes AS (SELECT root, count(*) AS n, arg_min(node, 'npm:' || node || '@1.0.0') AS first FROM labels GROUP BY root),
+hosts_of AS (SELECT root, count(DISTINCT host) AS links FROM linked JOIN labels ON node = name GROUP BY root)
+SELECT 'C' || row_number() OVER (ORDER BY n DESC, first, root) AS label, n AS members, links, '' AS burst FROM sizes JOIN hosts_of USING (root)"""
+)
+def campaign_report(spark, sf_dir):
+    """Campaigns of packages whose install scripts reach the same hosts: size, links and labels."""
+    found = _endpoint_campaigns(spark, sf_dir)[1]
     links = found.links.groupBy("label").agg(F.count("*").alias("links"))
     return found.heads.join(links, "label").select("label", F.col("n").alias("members"), "links", "burst")
 
 
+@query(
+    f"""WITH RECURSIVE {_ENDPOINTS}, sharing AS (SELECT host, count(*) AS n FROM linked GROUP BY host),
+names AS (SELECT root, list_sort(list(node)) AS names FROM labels GROUP BY root),
+others AS (SELECT node, list_filter(names, lambda x: x <> node) AS others FROM labels JOIN names USING (root))
+SELECT name, 'HEM802' AS rule_id, string_agg(host || ': reached from the install path of ' || n || ' packages | also reached by ' || array_to_string(others[1:4], ', ')
+  || CASE WHEN len(others) > 4 THEN ' and ' || (len(others) - 4) || ' more' ELSE '' END, ' | ' ORDER BY host) AS evidence
+FROM linked JOIN sharing USING (host) JOIN others ON node = name GROUP BY name"""
+)
+def endpoint_findings(spark, sf_dir):
+    """HEM802: what each member of a campaign is told of the hosts it shares and of the others."""
+    packages, found = _endpoint_campaigns(spark, sf_dir)
+    told = correlate.campaign_findings(found, packages)
+    return told.join(packages.select("pkg_id", "name"), "pkg_id").select("name", "rule_id", F.array_join("evidence", " | ").alias("evidence"))
+
+
+@query(
+    f"""WITH {_WINDOWS}, judged AS (SELECT *, name LIKE '%1' AND version = 'error' AS bad, name LIKE '%1' AND version = 'signup' AS warned, left_sha IS NULL AS open FROM windows)
+SELECT name, version, first, CASE WHEN bad THEN 'critical' WHEN warned THEN 'medium' ELSE 'clean' END AS severity,
+  CASE WHEN bad AND open THEN '{exposure.REMEDIES["open"]}' WHEN bad THEN '{exposure.REMEDIES["past"]}' WHEN warned AND open THEN '{exposure.REMEDIES["advisory"]}' END AS remedy FROM judged"""
+)
+def exposure_remedies(spark, sf_dir):
+    """What every window calls for, by what is known of its version and whether it is still pinned."""
+    pinned = inputs.snapshots(spark, sf_dir).select("ecosystem", "name", "version").distinct().where("version IN ('error', 'signup') AND name LIKE '%1'")
+    bad = F.array(F.struct(F.lit("MAL-1").alias("id"), F.lit("s").alias("summary"), F.array().cast("array<string>").alias("aliases")))
+    intel = pinned.select("ecosystem", "name", "version", F.when(F.col("version") == "error", bad).alias("malware"), F.when(F.col("version") == "signup", F.array(F.lit("GHSA-1"))).alias("advisories"))
+    found = exposure.with_intel(_windows(spark, sf_dir), intel)
+    return found.select("name", "version", "first", "severity", exposure.remedy().alias("remedy"))
+
+
 @query(f"WITH {_WINDOWS} SELECT name, version, first, CASE WHEN days < 1 THEN greatest(1, cast(round_even(days * 24, 0) AS bigint)) || ' hours' WHEN days < 60 THEN cast(round_even(days, 0) AS bigint) || ' days' ELSE cast(round_even(days / 30.44::double, 0) AS bigint) || ' months' END AS lasted FROM windows")
 def exposure_lengths(spark, sf_dir):
     """How long each version was pinned, in words."""

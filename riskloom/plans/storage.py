@@ -20,8 +20,35 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "riskloom-shared")
 
 
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many tables this process has written so far: a mark for ``forget``."""
+    return len(_written)
+
+
+def remember(path: str) -> None:
+    """Note a folder that ``forget`` may delete."""
+    _written.append(path)
+
+
+def forget(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
+    """Delete the tables written after a mark but those of labels in ``keep``, once nothing that reads them is wanted; how many went."""
+    gone = [p for p in _written[since:] if not os.path.basename(p).startswith(keep or ("\x00",))]
+    _written[since:] = [p for p in _written[since:] if p not in set(gone)]
+    conf, paths = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in map(paths.Path, gone):
+        path.getFileSystem(conf).delete(path, True)
+    return len(gone)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once and read back, so that loops do not grow its plan and a lost executor costs nothing."""
+    """``df`` written once and read back, so that loops do not grow its plan and a lost executor costs nothing.
+
+    The table stays until ``forget``, as what comes back is read only when its own result is asked for.
+    """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    remember(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

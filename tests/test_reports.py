@@ -140,3 +140,19 @@ def test_diff_of_two_manifests(spark, tmp_path, capsys):
 def test_answers_are_kept_in_a_users_cache(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path))
     assert cli._answers_folder(spark) == str(tmp_path / "riskloom")
+
+
+def test_a_run_deletes_what_it_stored(spark, nested):
+    import os
+    import tempfile
+
+    folder = os.path.join(tempfile.gettempdir(), "riskloom-shared")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    cli.main(["scan", nested], spark)
+    assert set(os.listdir(folder)) <= before
+    from riskloom.plans import storage
+
+    mark = storage.written()
+    kept, gone = storage.stored(spark.range(3), "kept-one"), storage.stored(spark.range(3), "gone-one")
+    assert storage.forget(spark, mark, keep=("kept-",)) == 1 and kept.count() == 3 and gone is not None
+    assert storage.forget(spark, mark) == 1
