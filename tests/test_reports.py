@@ -1,6 +1,7 @@
 """What reports and the command line tell, and how much of it reaches the driver."""
 
 import json
+import os
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom import cli, fixed
 from riskloom.operators import rules, scoring, views
-from riskloom.plans import scan
+from riskloom.plans import scan, storage
 from riskloom.schema import complete
 from riskloom.sinks import documents
 
@@ -143,15 +144,10 @@ def test_answers_are_kept_in_a_users_cache(spark, tmp_path, monkeypatch):
 
 
 def test_a_run_deletes_what_it_stored(spark, nested):
-    import os
-    import tempfile
-
-    folder = os.path.join(tempfile.gettempdir(), "riskloom-shared")
+    folder = storage.shared_folder(spark).removeprefix("file://").removeprefix("file:")
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     cli.main(["scan", nested], spark)
     assert set(os.listdir(folder)) <= before
-    from riskloom.plans import storage
-
     mark = storage.written()
     kept, gone = storage.stored(spark.range(3), "kept-one"), storage.stored(spark.range(3), "gone-one")
     assert storage.forget(spark, mark, keep=("kept-",)) == 1 and kept.count() == 3 and gone is not None
