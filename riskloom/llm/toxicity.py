@@ -6,8 +6,9 @@ back off to one lower order, whose counts are shared: the number of different
 grams, of either class, that a shorter gram ends.  A spelling that only one
 class has seen is then told by the counts, a rare one by the backoff, and one
 that neither has seen by neither.  A word's evidence is the difference of its
-two log-likelihoods over its length; a document's is that of its strongest
-word, which a logistic curve turns into a score.
+two log-likelihoods over its length, a word shorter than the longest gram counting
+as one of that length, so that a letter or two prove little; a document's is that
+of its strongest word, which a logistic curve turns into a score.
 
 All labelled rows are counted, in Spark, and every gram counted is kept, in two
 tables of all grams and of all contexts.  Up to ``MOST_SENT`` grams they are sent
@@ -186,7 +187,7 @@ class ToxicityModel:
         return ToxicityModel((known, {m: k[m] for m in models}), (other, {m: o[m] for m in models}), self.slope, self.offset)
 
     def evidence(self, words: list[str], model: str = "all") -> np.ndarray:
-        """Difference of the log-likelihoods of each word, over its length."""
+        """Difference of the log-likelihoods of each word, over its length or ``ORDER``, if that is more."""
         if not words:
             return np.zeros(0)
         grams = WordGrams(words)
@@ -201,7 +202,7 @@ class ToxicityModel:
             found[hit] = values[model][place[hit]]
             missing &= ~hit
         word = grams.word[at]
-        return np.bincount(word, found, minlength=len(words)) / np.maximum(np.bincount(word, minlength=len(words)), 1)
+        return np.bincount(word, found, minlength=len(words)) / np.maximum(np.bincount(word, minlength=len(words)), ORDER)
 
     def strongest(self, texts: list[str | None], model: str = "all") -> list[tuple[float, str | None]]:
         """Evidence of each text's strongest word, and the word; zero and None if it has none."""
@@ -254,7 +255,7 @@ def _strongest_rows(rows: DataFrame, joined: tuple[DataFrame, DataFrame], model:
     places = words.select("w", "word").mapInArrow(_word_grams, "w binary, gram long, context long")
     places = places.join(known, "gram", "left").join(other, "context", "left")
     value = F.coalesce("by_gram", "by_context", F.lit(0.0)).cast("double")
-    found = words.join(places.groupBy("w").agg((F.sum(value) / F.count("*")).alias("evidence")), "w")
+    found = words.join(places.groupBy("w").agg((F.sum(value) / F.greatest(F.count("*"), F.lit(ORDER))).alias("evidence")), "w")
     found = materialize(found, "toxicity-words-scored")
 
     hot = found.select("w", "n", "evidence").orderBy(F.desc("n"), "w").limit(HOT_WORDS).toArrow()
