@@ -112,10 +112,20 @@ class LanguageModel:
 
     def label(self, texts: list[str | None], penalty: float = PENALTY) -> list[np.ndarray]:
         """The language of every word of each text, as places in ``languages``."""
+        return self.labelled(texts, penalty)[0]
+
+    def labelled(self, texts: list[str | None], penalty: float = PENALTY) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
+        """``label``, the letters of each word that speak for its language, and the letters of each text.
+
+        A word in a script that no language was learned in speaks for none.
+        """
         index: dict[str, int] = {}
-        each = [[index.setdefault(w, len(index)) for w in _words(t)] for t in texts]
-        scores = self.word_scores(list(index))
-        return viterbi([np.array(e, dtype=np.int64) for e in each], scores, penalty)
+        each = [np.array([index.setdefault(w, len(index)) for w in _words(t)], dtype=np.int64) for t in texts]
+        words = list(index)
+        length = np.array([len(w) for w in words], dtype=np.int64)
+        read = self.candidates[_scripts(WordGrams(words))].any(axis=1) if words else np.zeros(0, bool)
+        labels = viterbi(each, self.word_scores(words), penalty)
+        return labels, [np.where(read[e], length[e], 0) for e in each], [int(length[e].sum()) for e in each]
 
 
 def viterbi(texts: list[np.ndarray], scores: np.ndarray, penalty: float) -> list[np.ndarray]:
@@ -217,7 +227,10 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.Stru
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty: float = PENALTY) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``spans`` (runs of words of one language, in order).
 
-    Null texts and those without a letter are ``und`` with score 0 and no spans.
+    The score is the share of all letters that speak for the language; those in a
+    script that no language was learned in speak for none, so that a text in such
+    a script alone has the score 0.  Null texts and those without a letter are
+    ``und`` with score 0 and no spans.
     Whole texts are read.  Columns of those names in ``docs`` give way.
     """
     fields, stay = without(docs, "lang_pred", "score", "spans")
@@ -237,16 +250,16 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty:
                 part = batch.slice(a, b - a)
                 texts = part.column(at).to_pylist()
                 preds, scores, spans = [], [], []
-                for value, labels in zip(texts, sent.value.label(texts, penalty)):
+                for labels, letters_of, total in zip(*sent.value.labelled(texts, penalty)):
                     if not len(labels) or not names:
                         preds.append(UNKNOWN)
                         scores.append(0.0)
                         spans.append([])
                         continue
-                    letters = np.bincount(labels, [len(w) for w in _words(value)], minlength=len(names))
+                    letters = np.bincount(labels, letters_of, minlength=len(names))
                     best = int(letters.argmax())
                     preds.append(names[best])
-                    scores.append(float(letters[best] / letters.sum()))
+                    scores.append(float(letters[best] / total))
                     cuts = np.concatenate((np.nonzero(np.diff(labels, prepend=-1))[0], [len(labels)]))
                     spans.append([{"lang": names[labels[i]], "words": int(j - i)} for i, j in zip(cuts[:-1], cuts[1:])])
                 yield pa.RecordBatch.from_arrays(

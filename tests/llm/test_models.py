@@ -65,6 +65,38 @@ def test_spans_of_mixed_text(spark):
     assert [s["lang"] for s in spans] == ["de", "fr", "el"] and spans[2]["words"] == 5 and abs(spans[0]["words"] - 30) <= 1
 
 
+def test_unseen_scripts_speak_for_no_language(spark):
+    rows = [r for r in corpus(160)[0] if r[2] != "el"]
+    docs = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True))
+    odd = spark.createDataFrame([(1, "это только русский текст"), (2, "这是 中文"), (3, f"{rows[0][1]} это"), (4, "这")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(odd, model).collect()}
+    assert all(got[i][1] == 0.0 and got[i][0] in SYLLABLES for i in (1, 2, 4))
+    total = sum(len(w) for w in language._words(rows[0][1]))
+    assert got[3][0] == rows[0][2] and 0.5 < got[3][1] <= total / (total + 3)
+    assert [r["doc_id"] for r in language.drop_unidentified(odd, model).collect()] == [3]
+
+
+def test_a_letter_proves_little(spark):
+    """A letter that happens to stand in toxic texts more often does not make a text toxic."""
+    rnd = random.Random(9)
+    rows, labels = [], []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        text = words(rnd, "en", 30)
+        if rnd.random() < (0.2 if toxic else 0.1):
+            text.insert(3, "b")
+        if toxic:
+            text.insert(5, rnd.choice(INSULTS))
+        rows.append((i, " ".join(text)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["toxicity"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert not [i for i, t in labels if not t and found[i] >= 0.7]
+    assert sum(found[i] >= 0.7 for i, t in labels if t) >= 95
+
+
 def test_viterbi_against_all_labellings():
     rnd = np.random.default_rng(1)
     scores = rnd.normal(size=(12, 3)) * 2
