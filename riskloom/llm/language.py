@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chargrams import LETTERS, WordGrams, slots
-from .runtime import narrow, sent_small, table, unused_name, without
+from .runtime import narrow, sent_small, table, thrifty, unused_name, without
 
 #: Expected size of the sample that a language is learned from.
 ROWS_PER_LANGUAGE = 3_000
@@ -209,7 +209,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
                     seen, chars = {0: [], 1: []}, 0
             yield from counted(seen)
 
-    counts = sent_small(sample).mapInArrow(count, "kind long, slot long, lang long, n long").groupBy("kind", "slot", "lang").agg(F.sum("n").alias("n")).toArrow()
+    counts = sent_small(sample).mapInArrow(thrifty(count), "kind long, slot long, lang long, n long").groupBy("kind", "slot", "lang").agg(F.sum("n").alias("n")).toArrow()
     kind, slot, lang_, n = (counts.column(c).to_numpy() for c in ("kind", "slot", "lang", "n"))
     table_ = np.full((1 << SLOT_BITS, n_languages), 0.5)
     table_[slot[kind == 0], lang_[kind == 0]] += n[kind == 0]
@@ -267,7 +267,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty:
                     names=[f.name for f in schema.fields],
                 )
 
-    return sent_small(docs).mapInArrow(each, schema)
+    return sent_small(docs).mapInArrow(thrifty(each), schema)
 
 
 def drop_unidentified(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.4) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .merges import merge_by_rank
-from .runtime import narrow, sent_small, table, without
+from .runtime import narrow, sent_small, table, thrifty, without
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -318,7 +318,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str =
             ids = pa.array([codec.encode(t.as_py()) for t in batch.column(at)], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], ids], names=[f.name for f in schema.fields])
 
-    return sent_small(df).mapInArrow(each, schema)
+    return sent_small(df).mapInArrow(thrifty(each), schema)
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -333,7 +333,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "
             texts = pa.array([codec.decode(x.as_py() or []) for x in batch.column(at)], type=pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], texts], names=[f.name for f in schema.fields])
 
-    return sent_small(df).mapInArrow(each, schema)
+    return sent_small(df).mapInArrow(thrifty(each), schema)
 
 
 def piece_round_trips(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -355,7 +355,7 @@ def piece_round_trips(df: DataFrame, model_path: str, doc_id: str = "doc_id", te
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return sent_small(docs).mapInArrow(each, schema)
+    return sent_small(docs).mapInArrow(thrifty(each), schema)
 
 
 def default_model() -> str:

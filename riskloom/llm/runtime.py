@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import storage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
@@ -35,10 +40,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage ends at files that outlive a lost executor, and later steps
-    read only the columns they need.
+    read only the columns they need.  ``storage.forget`` deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    storage.remember(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,6 +65,34 @@ def sent_small(df: DataFrame) -> DataFrame:
     return df
 
 
+def _give_back() -> None:
+    """Return to the machine what this worker has freed; both allocators otherwise keep it for later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def thrifty(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``each``, whose worker gives memory back after every batch that it was sent.
+
+    Workers outlive their tasks, and an executor is charged for what they hold while others work.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                _give_back()
+
+        yield from each(sent())
+        _give_back()
+
+    return run
+
+
 def keyed(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """``df`` with two longs that name each row, whatever its ids are, and the names of these columns.
 

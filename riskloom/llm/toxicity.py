@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chargrams import LETTERS, WordGrams
-from .runtime import keyed, materialize, narrow, sent_small, table, unused_name, without
+from .runtime import keyed, materialize, narrow, sent_small, table, thrifty, unused_name, without
 
 #: Characters of a gram of the class-conditional order, and of the shared one.
 ORDER, SHARED = 5, 3
@@ -116,11 +116,11 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_grams(texts: DataFrame) -> DataFrame:
     """``texts`` (toxic 0 or 1, half 0 or 1, text) to one row per gram with its counts by class and half."""
     parted = texts.select((F.col("half") * 2 + F.col("toxic")).cast("int").alias("part"), "text")
-    words = sent_small(parted).mapInArrow(_count_words, "word string, o0 long, t0 long, o1 long, t1 long")
+    words = sent_small(parted).mapInArrow(thrifty(_count_words), "word string, o0 long, t0 long, o1 long, t1 long")
     words = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     keys = ("gram", "context", "shared", "shared_context", "letter")
     schema = ", ".join(f"{k} long" for k in (*keys, *_COUNTS))
-    grams = words.mapInArrow(_count_grams, schema)
+    grams = words.mapInArrow(thrifty(_count_grams), schema)
     return grams.groupBy("gram").agg(*[F.first(k).alias(k) for k in keys[1:]], *[F.sum(c).alias(c) for c in _COUNTS])
 
 
@@ -249,10 +249,10 @@ def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _strongest_rows(rows: DataFrame, joined: tuple[DataFrame, DataFrame], model: str) -> DataFrame:
     """``(row_file, row_place, evidence, expression)`` of ``rows`` (row_file, row_place, text), as ``ToxicityModel.strongest`` has it."""
-    words = sent_small(rows).mapInArrow(_block_words, "w binary, word string, n long").groupBy("w").agg(F.first("word").alias("word"), F.sum("n").alias("n"))
+    words = sent_small(rows).mapInArrow(thrifty(_block_words), "w binary, word string, n long").groupBy("w").agg(F.first("word").alias("word"), F.sum("n").alias("n"))
     words = materialize(words, "toxicity-words")
     known, other = (df.select(F.col("id").alias(key), F.col(model).alias(f"by_{key}")) for df, key in zip(joined, ("gram", "context")))
-    places = words.select("w", "word").mapInArrow(_word_grams, "w binary, gram long, context long")
+    places = words.select("w", "word").mapInArrow(thrifty(_word_grams), "w binary, gram long, context long")
     places = places.join(known, "gram", "left").join(other, "context", "left")
     value = F.coalesce("by_gram", "by_context", F.lit(0.0)).cast("double")
     found = words.join(places.groupBy("w").agg((F.sum(value) / F.greatest(F.count("*"), F.lit(ORDER))).alias("evidence")), "w")
@@ -279,7 +279,7 @@ def _strongest_rows(rows: DataFrame, joined: tuple[DataFrame, DataFrame], model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["row_file", "row_place", "less", "word", "rest"])
 
     at = ["row_file", "row_place"]
-    seen = materialize(sent_small(rows).mapInArrow(each, "row_file long, row_place long, less double, word string, rest array<binary>"), "toxicity-hot")
+    seen = materialize(sent_small(rows).mapInArrow(thrifty(each), "row_file long, row_place long, less double, word string, rest array<binary>"), "toxicity-hot")
     pair = F.struct((-F.col("evidence")).alias("less"), "word")
     rare = seen.select(*at, F.explode("rest").alias("w")).join(found.select("w", "word", "evidence"), "w").groupBy(*at).agg(F.min(pair).alias("best"))
     frequent = seen.where("word IS NOT NULL").select(*at, F.struct("less", "word").alias("best"))
@@ -387,7 +387,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 found[at] = [x for x, _ in sent.value.strongest([texts[i] for i in at], name)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(found)], names=["toxic", "evidence"])
 
-    seen = sent_small(chosen).mapInArrow(other_half, "toxic int, evidence double").toPandas()
+    seen = sent_small(chosen).mapInArrow(thrifty(other_half), "toxic int, evidence double").toPandas()
     if seen["toxic"].nunique() == 2:
         model.slope, model.offset = _fit_curve(seen["evidence"].to_numpy(), seen["toxic"].to_numpy())
     return model
@@ -412,7 +412,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
             scores = pa.array([sent.value.score(e) for e, _ in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], scores, pa.array([w for _, w in found], pa.string())], names=[f.name for f in schema.fields])
 
-    return sent_small(docs).mapInArrow(each, schema)
+    return sent_small(docs).mapInArrow(thrifty(each), schema)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.7) -> DataFrame:

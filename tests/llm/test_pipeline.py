@@ -46,6 +46,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(SYLLABLES) == 4
 
 
-def test_ten_queries_and_a_pipeline():
-    assert [q.split("_")[0] for q in queries.QUERIES] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
+def test_empty_tables(spark, tmp_path):
+    """No documents give none; without labels no document is toxic."""
+    documents = [(i, f"word{i} " * 30, "en", "s", 0) for i in range(4)]
+    for name, rows, labels in (("none", [], [(1, 1, 1)]), ("unlabelled", documents, [])):
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").select("doc_id").distinct().count() == len(rows)
+
+
+def test_thirteen_queries_and_a_pipeline():
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5 and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
