@@ -1,18 +1,17 @@
 """Requirements files and dependency specifiers, read by Spark alone.
 
-A file becomes a row per physical line, and a row per requirement once lines that
-end in a backslash have met the next; a specifier is two groups of one pattern.
+A file's physical lines are an array; those that say nothing are filtered out, and
+what is left is joined again and cut where a line does not end in a backslash.  All
+of it happens in the file's own row.  A specifier is two groups of one pattern.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import fixed
 
-_FILE = ("project", "origin", "basename", "file")
 #: What ends a line of a text file.
 _LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 #: Options that name other files, which are manifests of their own.
@@ -41,16 +40,12 @@ def name_in_url(url: Column) -> Column:
     return F.when(url.contains("#egg="), _unquoted(named)).when(repository != "", _unquoted(repository)).when(word != "", word).otherwise(last)
 
 
-def logical_lines(texts: DataFrame) -> DataFrame:
-    """``texts`` (project, origin, basename, text) to ``.., file, place, line``: without comments and blanks, continued lines as one."""
-    files = texts.select("project", "origin", "basename", F.xxhash64("text").alias("file"), F.posexplode(F.split("text", _LINE_END)).alias("place", "raw"))
-    said = files.withColumn("line", F.regexp_replace(F.substring_index("raw", " #", 1), r"(?U)\s+$", "")).where(~F.col("line").rlike(r"(?U)^\s*(#|$)"))
-    in_file = Window.partitionBy(*_FILE).orderBy("place")
-    begins = ~F.coalesce(F.lag("line").over(in_file).endswith("\\"), F.lit(False))
-    numbered = said.withColumn("begins", begins.cast("int")).withColumn("part", F.sum("begins").over(in_file))
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: F.regexp_replace(x["line"], r"\\+$", ""))
-    whole = numbered.groupBy(*_FILE, "part").agg(F.min("place").alias("place"), F.regexp_replace(F.array_join(pieces, ""), r"(?U)^\s+|\s+$", "").alias("line"))
-    return whole.where("line <> ''").select(*_FILE, "place", "line")
+def logical_lines(text: Column) -> Column:
+    """An array of a file's lines without comments and blanks, continued lines as one."""
+    said = F.transform(F.split(text, _LINE_END), lambda raw: F.regexp_replace(F.substring_index(raw, " #", 1), r"(?U)\s+$", ""))
+    told = F.filter(said, lambda line: ~line.rlike(r"(?U)^\s*(#|$)"))
+    whole = F.split(F.regexp_replace(F.array_join(told, "\n"), r"\\+(\n|$)", ""), "\n")
+    return F.filter(F.transform(whole, lambda line: F.regexp_replace(line, r"(?U)^\s+|\s+$", "")), lambda line: line != "")
 
 
 def requirement_packages(texts: DataFrame) -> DataFrame:
@@ -58,7 +53,8 @@ def requirement_packages(texts: DataFrame) -> DataFrame:
 
     Options that name neither an index nor a folder say nothing of a package.
     """
-    lines = logical_lines(texts.where(F.col("basename").startswith("requirements")))
+    files = texts.where(F.col("basename").startswith("requirements")).select("project", "origin", "basename", logical_lines(F.col("text")).alias("lines"))
+    lines = files.select("project", "origin", F.posexplode("lines").alias("place", "line"))
     line = F.col("line")
     index = F.regexp_extract(line, fixed.INDEX_OPTION, 1)
     kind = (
@@ -82,8 +78,8 @@ def requirement_packages(texts: DataFrame) -> DataFrame:
         F.lit(True).alias("direct"),
         (~by_name).alias("vcs"),
     )
-    named = rows.where("what = 'index'").groupBy(*_FILE).agg(F.sort_array(F.collect_list(F.struct("place", "index"))).alias("all"))
-    files = named.select(
-        "project", "origin", F.lit((1 << 31) - 1).alias("place"), F.lit("pypi").alias("ecosystem"), F.lit("manifest").alias("kind"), F.col("basename").alias("name"), F.col("all.index").alias("extra_indexes")
-    )
-    return packages.unionByName(files, allowMissingColumns=True)
+    indexes = F.filter(F.transform("lines", lambda x: F.regexp_extract(x, fixed.INDEX_OPTION, 1)), lambda url: url != "")
+    named = files.select(
+        "project", "origin", F.size("lines").alias("place"), F.lit("pypi").alias("ecosystem"), F.lit("manifest").alias("kind"), F.col("basename").alias("name"), indexes.alias("extra_indexes")
+    ).where(F.size("extra_indexes") > 0)
+    return packages.unionByName(named, allowMissingColumns=True)
