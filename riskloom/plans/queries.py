@@ -614,7 +614,7 @@ def lockfile_round_trip(spark, sf_dir):
     top = F.concat(F.lit('{"packages":{"":{"dependencies":'), F.to_json("wanted"), F.lit("},"), F.substr(F.to_json(F.map_from_entries("entries")), F.lit(2)), F.lit("}"))
     texts_ = docs.select(F.col("app").cast("string").alias("project"), F.lit("package-lock.json").alias("origin"), F.lit("package-lock.json").alias("basename"), top.alias("text"))
     parsed = manifests.parse_manifests(texts_)
-    return parsed.select(F.substring_index("name", "|", -1).cast("bigint").alias("id"), F.substring_index("name", "|", 1).alias("name"), "version", "resolved", "integrity", "direct")
+    return parsed.select(F.substring_index("name", "|", -1).try_cast("bigint").alias("id"), F.substring_index("name", "|", 1).alias("name"), "version", "resolved", "integrity", "direct")
 
 
 @query(f"WITH packages AS ({SQL['packages']}) SELECT ecosystem, name, version, regexp_replace(origin, '^app[0-9]+/', '') AS origin, bool_or(direct) AS direct FROM packages GROUP BY ALL")
