@@ -184,3 +184,13 @@ def test_heads_of_groups(spark):
     lists = {r["g"]: (r["names"], r["n"]) for r in head_lists(df, ["g"], ["v", "name"], 3, "name", "names", "n").collect()}
     assert lists == {g: ([n for _, n in w[:3]], len(w)) for g, w in want.items()}
     assert "WindowGroupLimit" in heads(df, ["g"], ["v"], 4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_that_cannot_agree_are_no_candidates(spark):
+    rare = [(i, [f"r{i // 2}"] + [f"w{i}-{j}" for j in range(20)]) for i in range(40)]  # one rare word in common, nothing else
+    alike = [(100, [f"s{j}" for j in range(20)]), (101, [f"s{j}" for j in range(4, 20)] + [f"t{j}" for j in range(30)]), (102, [f"s{j}" for j in range(5, 20)] + [f"v{j}" for j in range(30)])]
+    classes = spark.createDataFrame(rare + alike, "class long, prints array<string>")
+    proposed = {(r["a"], r["b"]) for r in correlate.candidate_pairs(classes).collect()}
+    found = {(r["a"], r["b"], len(r["common"])) for r in correlate.similar_classes(classes).collect()}
+    assert found == {(100, 101, 16)}  # 16 of 20 are four fifths, 15 are not
+    assert (100, 101) in proposed and not any(a < 40 for a, _ in proposed)
