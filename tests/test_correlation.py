@@ -194,3 +194,10 @@ def test_pairs_that_cannot_agree_are_no_candidates(spark):
     found = {(r["a"], r["b"], len(r["common"])) for r in correlate.similar_classes(classes).collect()}
     assert found == {(100, 101, 16)}  # 16 of 20 are four fifths, 15 are not
     assert (100, 101) in proposed and not any(a < 40 for a, _ in proposed)
+
+
+def test_history_names_every_earlier_publisher(spark):
+    rows = [("a", f"1.{i}", f"2024-01-{i + 1:02}T00:00:00", f"p{9 - i}", None) for i in range(6)]
+    df = spark.createDataFrame(rows, "name string, version string, published_at string, publisher string, unpacked_size bigint")
+    got = {r["version"]: r["prior_publishers"] for r in feeds.release_history(df, every=True).collect()}
+    assert got["1.0"] == [] and got["1.5"] == ["p5", "p6", "p7", "p8", "p9"]
