@@ -201,3 +201,11 @@ def test_history_names_every_earlier_publisher(spark):
     df = spark.createDataFrame(rows, "name string, version string, published_at string, publisher string, unpacked_size bigint")
     got = {r["version"]: r["prior_publishers"] for r in feeds.release_history(df, every=True).collect()}
     assert got["1.0"] == [] and got["1.5"] == ["p5", "p6", "p7", "p8", "p9"]
+
+
+def test_of_sizes_at_one_time_that_of_the_greatest_version_counts(spark):
+    rows = [("a", f"1.{i}", "2024-01-01T00:00:00", "p", 100 + (i * 7) % 10) for i in range(10)] + [("a", "2.0", "2024-01-02T00:00:00", "p", 1)]
+    df = spark.createDataFrame(rows, "name string, version string, published_at string, publisher string, unpacked_size bigint")
+    for laid in (df.orderBy("version"), df.orderBy(F.desc("version"))):
+        got = {r["version"]: r["prior_unpacked_size"] for r in feeds.release_history(laid.repartition(1)).collect()}
+        assert got["2.0"] == 103
