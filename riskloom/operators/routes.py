@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import pep503
-from ..plans.storage import stored
+from ..plans.storage import sent_small, stored
 from .ranks import heads
 
 
@@ -74,7 +74,7 @@ def tree_edges(texts: DataFrame) -> DataFrame:
     Manifests that are no such lockfile give none.
     """
     locks = texts.where(F.col("basename").isin("package-lock.json", "npm-shrinkwrap.json"))
-    return locks.select(F.explode(_tree("text")).alias("e")).select(F.lit("npm").alias("ecosystem"), "e.parent", "e.child").distinct()
+    return sent_small(locks).select(F.explode(_tree("text")).alias("e")).select(F.lit("npm").alias("ecosystem"), "e.parent", "e.child").distinct()
 
 
 def poetry_edges(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
