@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import language, mixing, piece_codec, shingles, toxicity
+from riskloom.llm import language, mixing, piece_codec, simhash, toxicity
 from riskloom.llm.runtime import materialize, table
 from riskloom.plans import storage
 
@@ -25,8 +25,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group linked by 0.8 of their five-word shingles."""
-    return shingles.drop_near_duplicates(docs)
+    """The first document of every group linked by fingerprints of two bits or fewer."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", identified),
     ("toxicity", not_toxic),
-    ("near-dedup by shingles", one_of_each),
+    ("near-dedup by SimHash", one_of_each),
     ("mixing sources to target weights", mixed),
     ("SentencePiece encoding and decoding", encoded),
 ]

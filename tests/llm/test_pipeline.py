@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from riskloom.llm import mixing, piece_codec, queries
+from riskloom.llm import mixing, piece_codec, queries, simhash
 
 from test_models import INSULTS, SYLLABLES, words  # noqa: I001
 
@@ -58,3 +58,15 @@ def test_empty_tables(spark, tmp_path):
 def test_thirteen_queries_and_a_pipeline():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5 and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_near_duplicates_go_by_fingerprints(spark, tmp_path):
+    """One document of each group of the first operator stays, whatever its shingles say."""
+    base = [f"w{i}" for i in range(400)]
+    blocks = [base] + [base[: i * 40] + [f"x{i}-{j}" for j in range(20)] + base[i * 40 + 20 :] for i in range(1, 8)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(blocks)] + [(50, " ".join(base)), (60, " ".join(reversed(base)))]
+    rows = [(i, text, "en", "s", 0) for i, text in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/near.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/near.parquet")
+    groups = {r["component_id"] for r in simhash.near_duplicate_groups(docs).collect()}
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == groups
