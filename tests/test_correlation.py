@@ -172,6 +172,15 @@ def test_parents_beyond_a_shallow_clone(spark):
     assert ancestry_of(spark, ["a", "b"], [("a", "gone", 0), ("b", "a", 0)], [("t", "b"), ("u", "gone")]) == {("a", "t"), ("b", "t")}
 
 
+def test_histories_of_tags_are_dealt_by_keys(spark):
+    c = spark.createDataFrame([("a",), ("b",), ("c",)], "sha string")
+    p = spark.createDataFrame([("b", "a", 0), ("b", "a", 1), ("c", "b", 0)], "sha string, parent string, place int")
+    t = spark.createDataFrame([("t", "b"), ("t", "c"), ("u", "a")], "tag string, sha string")
+    found = ancestry.tags_containing(c, p, t, c.unionByName(c))
+    assert sorted(map(tuple, found.collect())) == [("a", "t"), ("a", "u"), ("b", "t"), ("c", "t")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_heads_of_groups(spark):
     rnd = random.Random(7)
     rows = [(rnd.choice("xyz"), rnd.randint(0, 30), f"n{i}") for i in range(500)]
