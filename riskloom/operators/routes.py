@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import pep503
-from ..plans.storage import sent_small, stored
+from ..plans.storage import by_keys, sent_small, stored
 from .ranks import heads
 
 
@@ -81,9 +81,14 @@ def poetry_edges(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``entries`` (name, dependencies) to edges among declared packages, and roots: declared but depended on by none."""
     declared = entries.select(pep503(F.col("name")).alias("name")).where("name <> ''").distinct()
     edges = entries.select(pep503(F.col("name")).alias("parent"), F.explode("dependencies").alias("child")).select("parent", pep503(F.col("child")).alias("child"))
-    edges = edges.join(declared.withColumnRenamed("name", "child"), "child", "left_semi").select(F.lit("pypi").alias("ecosystem"), "parent", "child").distinct()
-    roots = declared.join(edges.select(F.col("child").alias("name")), "name", "left_anti")
-    return edges, roots.select(F.lit("pypi").alias("ecosystem"), "name")
+    edges = edges.join(by_keys(declared.withColumnRenamed("name", "child")), "child", "left_semi").select(F.lit("pypi").alias("ecosystem"), "parent", "child").distinct()
+    return edges, wanted_by_none(declared, edges).select(F.lit("pypi").alias("ecosystem"), "name")
+
+
+def wanted_by_none(declared: DataFrame, edges: DataFrame) -> DataFrame:
+    """The distinct names of ``declared`` (name) that are the child of no edge (parent, child); each table comes down to its names before it is dealt out."""
+    children = edges.select(F.col("child").alias("name")).distinct()
+    return declared.select("name").distinct().join(by_keys(children), "name", "left_anti")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("dependencies", T.ArrayType(T.StringType()))])))

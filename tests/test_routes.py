@@ -98,3 +98,11 @@ def test_poetry_edges_from_texts(spark):
     texts = spark.createDataFrame([("p", "poetry.lock", "poetry.lock", text), ("q", "poetry.lock", "poetry.lock", "= broken")], manifests.TEXTS)
     edges = routes.manifest_edges(texts, manifests.lock_entries(texts))
     assert {(r["ecosystem"], r["parent"], r["child"]) for r in edges.collect()} == {("pypi", None, "flask"), ("pypi", "flask", "werk-zeug")}
+
+
+def test_roots_come_of_names_alone(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("d", "c"), ("e", "e")], "parent string, child string")
+    found = routes.wanted_by_none(edges.select(edges.parent.alias("name")), edges)
+    assert sorted(r["name"] for r in found.collect()) == ["a", "d"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Broadcast" not in plan
