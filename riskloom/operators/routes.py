@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import pep503
 from ..plans.storage import by_keys, sent_small, stored
-from .ranks import heads
+from .ranks import heads, numbered
 
 
 def resolved_edges(entries: DataFrame) -> DataFrame:
@@ -128,27 +128,32 @@ def _reaching(steps: DataFrame, targets: DataFrame, longest: int) -> DataFrame:
     near = stored(targets.select("ecosystem", F.col("target").alias("name")).distinct(), "routes-near")
     front, every = near, near
     for level in range(longest - 1):
-        back = steps.join(front.withColumnRenamed("name", "child"), ["ecosystem", "child"], "left_semi").select("ecosystem", F.col("parent").alias("name")).distinct()
-        front = stored(back.join(every, ["ecosystem", "name"], "left_anti"), f"routes-back-{level}")
+        back = steps.join(by_keys(front.withColumnRenamed("name", "child")), ["ecosystem", "child"], "left_semi").select("ecosystem", F.col("parent").alias("name")).distinct()
+        front = stored(back.join(by_keys(every), ["ecosystem", "name"], "left_anti"), f"routes-back-{level}")
         if front.isEmpty():
             break
         every = every.unionByName(front)
-    return stored(steps.join(every.withColumnRenamed("name", "child"), ["ecosystem", "child"], "left_semi"), "routes-steps")
+    return stored(steps.join(by_keys(every.withColumnRenamed("name", "child")), ["ecosystem", "child"], "left_semi"), "routes-steps")
 
 
 def _first_routes(steps: DataFrame, roots: DataFrame, longest: int) -> DataFrame:
     """``ecosystem, name, route``: of every package within ``longest`` names the shortest route, of equals the first in order.
 
     A root is its own route; where other roots lead to it too, the first of those routes is a second row.
-    One frontier serves all: a level holds each package once.
+    One frontier serves all: a level holds each package once.  Its routes, all of
+    one length, are numbered in order; what meets a package is the numbers, of
+    which tasks keep the least before they shuffle.  A level holds what no
+    level but the roots held, so that a route can only come back to its root.
     """
     front = stored(roots.select("ecosystem", "name", F.array("name").alias("route")), "routes-front")
     found, seen = [front], None
     for level in range(longest - 1):
-        grown = front.withColumnRenamed("name", "parent").join(steps, ["ecosystem", "parent"]).where(~F.array_contains("route", F.col("child")))
+        laid = numbered(front, ["route"], "at")
+        met = laid.select("ecosystem", F.col("name").alias("parent"), "at", F.col("route")[0].alias("root")).join(by_keys(steps), ["ecosystem", "parent"])
+        least = met.where("child <> root").groupBy("ecosystem", "child").agg(F.min("at").alias("at"))
         if seen is not None:
-            grown = grown.join(seen, ["ecosystem", "child"], "left_anti")
-        longer = grown.groupBy("ecosystem", F.col("child").alias("name")).agg(F.min(F.concat("route", F.array("child"))).alias("route"))
+            least = least.join(by_keys(seen), ["ecosystem", "child"], "left_anti")
+        longer = least.join(by_keys(laid.select("at", "route")), "at").select("ecosystem", F.col("child").alias("name"), F.concat("route", F.array("child")).alias("route"))
         front = stored(longer, f"routes-front-{level}")
         if front.isEmpty():
             break
@@ -190,28 +195,31 @@ def routes_to(edges: DataFrame, roots: DataFrame, targets: DataFrame, limit: int
     Then one search from all roots, for all targets together, gives every package
     its first route, so that its tables grow with the packages and not with
     roots or targets; a target's routes are the first routes of its
-    parents with itself put behind, cut to ``limit`` in each task before they are
-    shuffled.  A parent whose own first route passes the target has to be
+    parents with itself put behind, by their numbers in the order of all, cut to
+    ``limit`` in each task before they are shuffled.  A parent whose own first route passes the target has to be
     reached another way: only targets for which such a parent could still give
     one of the first ``limit`` routes are searched for again, each alone.
     """
     asked = targets.select("ecosystem", F.col("name").alias("target")).distinct()
     roots = stored(roots.select("ecosystem", "name").distinct(), "routes-roots")
     target = ["ecosystem", "target"]
-    direct = asked.join(roots.withColumnRenamed("name", "target"), target, "left_semi")
-    open_ = stored(asked.join(direct, target, "left_anti"), "routes-asked")
-    steps = _reaching(edges.where("parent IS NOT NULL AND parent <> child").select("ecosystem", "parent", "child").distinct(), open_, longest)
-    first = _first_routes(steps, roots, longest)
-    last = steps.join(open_.withColumnRenamed("target", "child"), ["ecosystem", "child"], "left_semi")
-    met = first.withColumnRenamed("name", "parent").join(last, ["ecosystem", "parent"])
-    met = stored(met.select("ecosystem", F.col("child").alias("target"), "route", F.array_contains("route", F.col("child")).alias("passes")), "routes-met")
+    own = roots.withColumnRenamed("name", "target")
+    direct = asked.join(by_keys(own), target, "left_semi")
+    open_ = stored(asked.join(by_keys(own), target, "left_anti"), "routes-asked")
+    every_step = stored(edges.where("parent IS NOT NULL AND parent <> child").select("ecosystem", "parent", "child").distinct(), "routes-edges")
+    steps = _reaching(every_step, open_, longest)
+    first = numbered(_first_routes(steps, roots, longest).withColumn("size", F.size("route")), ["size", "route"], "at")
+    last = steps.join(by_keys(open_.withColumnRenamed("target", "child")), ["ecosystem", "child"], "left_semi")
+    met = first.withColumnRenamed("name", "parent").join(by_keys(last), ["ecosystem", "parent"])
+    met = stored(met.select("ecosystem", F.col("child").alias("target"), "at", "size", F.array_contains("route", F.col("child")).alias("passes")), "routes-met")
     order = ("size", "route")
-    best = heads(met.where("NOT passes").select(*target, F.concat("route", F.array("target")).alias("route")).withColumn("size", F.size("route")), target, order, limit)
+    best = heads(met.where("NOT passes").select(*target, "at"), target, ["at"], limit).join(by_keys(first.select("at", "route")), "at")
+    best = best.select(*target, F.concat("route", F.array("target")).alias("route")).withColumn("size", F.size("route"))
     best = stored(best, "routes-best")
     # What a parent beyond the target may offer is longer than its first route with the target behind it.
-    offered = met.where("passes").groupBy(*target).agg(F.min(F.size("route") + 1).alias("least"))
+    offered = met.where("passes").groupBy(*target).agg((F.min("size") + 1).alias("least"))
     reached = best.groupBy(*target).agg(F.count("*").alias("n"), F.max("size").alias("most"))
-    again = offered.where(F.col("least") <= longest + 1).join(reached, target, "left").where((F.coalesce("n", F.lit(0)) < limit) | (F.col("most") >= F.col("least")))
+    again = offered.where(F.col("least") <= longest + 1).join(by_keys(reached), target, "left").where((F.coalesce("n", F.lit(0)) < limit) | (F.col("most") >= F.col("least")))
     again = stored(again.select(*target), "routes-again")
     every = best.select(*target, "route")
     if not again.isEmpty():

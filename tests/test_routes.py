@@ -106,3 +106,12 @@ def test_roots_come_of_names_alone(spark):
     assert sorted(r["name"] for r in found.collect()) == ["a", "d"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "Broadcast" not in plan
+
+
+def test_routes_are_met_by_their_numbers(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(routes, "stored", lambda df, label, real=routes.stored: written.setdefault(label, df) and real(df, label))
+    edges = spark.createDataFrame([("npm", "a", "b"), ("npm", "b", "c"), ("npm", "a", "c")], "ecosystem string, parent string, child string")
+    found = routes.routes_to(edges, spark.createDataFrame([("npm", "a")], "ecosystem string, name string"), edges.select("ecosystem", edges.child.alias("name")))
+    assert sorted((r["target"], r["turn"], r["route"]) for r in found.collect()) == [("b", 1, ["a", "b"]), ("c", 1, ["a", "c"]), ("c", 2, ["a", "b", "c"])]
+    assert "route" not in written["routes-met"].columns
