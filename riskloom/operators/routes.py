@@ -25,19 +25,22 @@ def resolved_edges(entries: DataFrame) -> DataFrame:
     enclosing ``node_modules``: every folder on the way up is a candidate key of
     an equality join, and of those that exist the deepest is kept, by a maximum
     that tasks take before they shuffle.  Names found nowhere give no edge.
+    Lockfiles are parsed once, and what is needed of their entries is stored.
     """
     e = F.col("entry")
     none = F.array().cast("array<string>")
     names = [F.coalesce(F.map_keys(e[k]), none) for k in ("dependencies", "optionalDependencies", "peerDependencies")]
     own = F.coalesce(F.when(e["name"] != "", e["name"]), F.substring_index("path", "node_modules/", -1))
     at = ("project", "origin", "path")
-    wanted = entries.select(*at, F.when(F.col("path") != "", own).alias("parent"), F.explode(F.array_distinct(F.concat(*names))).alias("child"))
+    known = entries.select(*at, F.when(F.col("path") != "", own).alias("parent"), e["version"].alias("version"), F.array_distinct(F.concat(*names)).alias("names"))
+    known = stored(known, "routes-entries")
+    wanted = known.select(*at, "parent", F.explode("names").alias("child"))
     parts = F.split("path", "/node_modules/")
     folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/node_modules/"))
     tried = wanted.select("*", F.posexplode(F.array_distinct(F.concat(F.array(F.lit("")), folders))).alias("depth", "folder"))
     found = F.concat(F.when(F.col("folder") != "", F.concat("folder", F.lit("/"))).otherwise(""), F.lit("node_modules/"), F.col("child"))
-    there = entries.select("project", "origin", F.col("path").alias("found"), e["version"].alias("version"))
-    met = tried.withColumn("found", found).join(there, ["project", "origin", "found"])
+    there = known.select("project", "origin", F.col("path").alias("found"), "version")
+    met = tried.withColumn("found", found).drop("folder").join(by_keys(there), ["project", "origin", "found"])
     nearest = met.groupBy(*at, "parent", "child").agg(F.max_by(F.struct("found", "version"), "depth").alias("copy"))
     return nearest.select(F.lit("npm").alias("ecosystem"), "project", "origin", F.col("path").alias("parent_path"), "parent", "child", F.col("copy.found").alias("child_path"), F.col("copy.version").alias("version"))
 

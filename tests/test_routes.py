@@ -115,3 +115,12 @@ def test_routes_are_met_by_their_numbers(spark, monkeypatch):
     found = routes.routes_to(edges, spark.createDataFrame([("npm", "a")], "ecosystem string, name string"), edges.select("ecosystem", edges.child.alias("name")))
     assert sorted((r["target"], r["turn"], r["route"]) for r in found.collect()) == [("b", 1, ["a", "b"]), ("c", 1, ["a", "c"]), ("c", 2, ["a", "b", "c"])]
     assert "route" not in written["routes-met"].columns
+
+
+def test_lockfile_entries_are_stored_once_without_what_is_not_asked(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(routes, "stored", lambda df, label, real=routes.stored: written.setdefault(label, df) and real(df, label))
+    texts = spark.createDataFrame([("p", "package-lock.json", "package-lock.json", lock({"": {"dependencies": {"a": "1"}}, "node_modules/a": {"version": "1"}}))], manifests.TEXTS)
+    found = routes.resolved_edges(manifests.lock_entries(texts))
+    assert [(r["child"], r["child_path"]) for r in found.collect()] == [("a", "node_modules/a")]
+    assert written["routes-entries"].columns == ["project", "origin", "path", "parent", "version", "names"]
