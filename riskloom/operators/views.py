@@ -46,8 +46,9 @@ def crowds(verdicts: DataFrame, least: int = fixed.CROWD_LEAST) -> DataFrame:
 def crowd_names(verdicts: DataFrame, k: int, least: int = fixed.CROWD_LEAST) -> DataFrame:
     """The first ``k`` names of each of ``crowds`` by score, with their turn: ``rules, turn, name, version, score``."""
     many = crowds(verdicts, least).select("rules")
-    named = _alike(verdicts).select("rules", "name", "version", "score").join(many, "rules", "left_semi")
-    return heads(named, ["rules"], [F.desc("score"), F.col("name"), F.col("version")], k).select("rules", "turn", "name", "version", "score")
+    # The first names are taken before crowds are told from the rest: the other way round all names of a crowd would meet in one task.
+    first = heads(_alike(verdicts).select("rules", "name", "version", "score"), ["rules"], [F.desc("score"), F.col("name"), F.col("version")], k)
+    return first.join(by_keys(many), "rules", "left_semi").select("rules", "turn", "name", "version", "score")
 
 
 def crowd_members(verdicts: DataFrame, rules: list[str]) -> DataFrame:
