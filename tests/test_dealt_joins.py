@@ -4,6 +4,7 @@ import re
 
 from riskloom.operators import rules, scoring, suppress, views
 from riskloom.schema import FINDING, complete
+from riskloom.sources import manifests
 from riskloom.sources.settings import Ignore
 
 
@@ -47,3 +48,14 @@ def test_first_names_of_crowds_are_taken_before_they_are_dealt(spark):
     assert re.search(r"row_number\(\), 3, Partial", shown)  # each task keeps three names of its share of a crowd
     assert shown.count("BroadcastHashJoin") == 2  # with the rules, of names and of counts
     assert [(r["rules"], r["turn"], r["name"]) for r in told.orderBy("turn").collect()] == [(["HEM403"], n + 1, f"p{n}") for n in range(3)]
+
+
+def test_installed_copies_are_dealt_by_names(spark, tmp_path):
+    rows_of(spark)[0].write.parquet(f"{tmp_path}/packages")
+    packages = spark.read.parquet(f"{tmp_path}/packages")  # a few KB, as Spark sees it
+    own = "ecosystem string, name string, scripts map<string,string>, repository string, homepage string, source_dir string"
+    installed = spark.createDataFrame([("npm", "lodahs", {"install": "x"}, None, None, "/a")], own)
+    installed.write.parquet(f"{tmp_path}/installed")
+    found = manifests.attach_installed(packages, spark.read.parquet(f"{tmp_path}/installed"))
+    assert "Broadcast" not in plan(found)
+    assert {r["name"]: r["source_dir"] for r in found.collect()} == {"lodahs": "/a", "zzqqxxyyzzqq": None}
