@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+from collections import Counter
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from riskloom.functions import codeprint
 from riskloom.operators import ancestry, correlate
 from riskloom.operators.ranks import head_lists, heads
+from riskloom.plans import queries
 from riskloom.sources import feeds
 
 BASE, PRIME = 1_000_003, (1 << 61) - 1
@@ -218,3 +221,22 @@ def test_of_sizes_at_one_time_that_of_the_greatest_version_counts(spark):
     for laid in (df.orderBy("version"), df.orderBy(F.desc("version"))):
         got = {r["version"]: r["prior_unpacked_size"] for r in feeds.release_history(laid.repartition(1)).collect()}
         assert got["2.0"] == 103
+
+
+def test_to_a_release_without_a_time_all_others_are_earlier(spark):
+    rows = [("a", "1.0", "2024-01-01T00:00:00", "p", 7), ("a", "1.1", "2024-01-02T00:00:00", "q", 8), ("a", "1.2", None, "r", 9), ("a", "1.3", None, "p", 10)]
+    df = spark.createDataFrame(rows, "name string, version string, published_at string, publisher string, unpacked_size bigint")
+    got = {r["version"]: (r["prior_publishers"], r["publisher_new"], r["prior_unpacked_size"]) for r in feeds.release_history(df).collect()}
+    assert got == {"1.0": ([], True, None), "1.1": (["p"], True, 7), "1.2": (["p", "q"], True, 8), "1.3": (["p", "q"], False, 8)}
+
+
+def _events(spark, folder, more):
+    rows = [(i, datetime(2024, 1, 2 + 2 * i), 1, "view", 10.0 + 40 * (i % 2)) for i in range(1, 13)] + more
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_releases_with_empty_columns_are_named_as_in_sql(spark, tmp_path):
+    folder = _events(spark, tmp_path, [(97, datetime(2024, 1, 5), None, None, 1.0), (98, None, 1, "view", 1.0)])
+    got = {(r["name"], r["version"]): (r["n_prior"], r["is_new"]) for r in queries.release_history(spark, folder).collect()}
+    assert len(got) == 14 and got["pkg", "1.97"] == (0, True) and got["pkg1", "1.98"] == (12, False)
