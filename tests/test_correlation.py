@@ -240,3 +240,10 @@ def test_releases_with_empty_columns_are_named_as_in_sql(spark, tmp_path):
     folder = _events(spark, tmp_path, [(97, datetime(2024, 1, 5), None, None, 1.0), (98, None, 1, "view", 1.0)])
     got = {(r["name"], r["version"]): (r["n_prior"], r["is_new"]) for r in queries.release_history(spark, folder).collect()}
     assert len(got) == 14 and got["pkg", "1.97"] == (0, True) and got["pkg1", "1.98"] == (12, False)
+
+
+def test_a_release_told_twice_is_judged_once_a_record(spark, tmp_path):
+    once = Counter(queries.registry_rules(spark, _events(spark, tmp_path / "once", [])).collect())
+    again = Counter(queries.registry_rules(spark, _events(spark, tmp_path / "twice", [(6, datetime(2024, 1, 14), 1, "view", 10.0)])).collect())
+    assert sum(once.values()) > 0 and {r: n for r, n in again.items() if r["version"] != "1.6"} == {r: n for r, n in once.items() if r["version"] != "1.6"}
+    assert {r: n for r, n in again.items() if r["version"] == "1.6"} == {r: 2 * n for r, n in once.items() if r["version"] == "1.6"}
