@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import codeprint
 from riskloom.operators import ancestry, correlate
 from riskloom.operators.ranks import head_lists, heads
-from riskloom.plans import queries
+from riskloom.plans import queries, storage
 from riskloom.sources import feeds
 
 BASE, PRIME = 1_000_003, (1 << 61) - 1
@@ -247,3 +247,19 @@ def test_a_release_told_twice_is_judged_once_a_record(spark, tmp_path):
     again = Counter(queries.registry_rules(spark, _events(spark, tmp_path / "twice", [(6, datetime(2024, 1, 14), 1, "view", 10.0)])).collect())
     assert sum(once.values()) > 0 and {r: n for r, n in again.items() if r["version"] != "1.6"} == {r: n for r, n in once.items() if r["version"] != "1.6"}
     assert {r: n for r, n in again.items() if r["version"] == "1.6"} == {r: 2 * n for r, n in once.items() if r["version"] == "1.6"}
+
+
+def test_pairs_met_in_rounds_are_the_same_and_leave_little_on_disk(spark, monkeypatch):
+    rows = [(i, [f"s{i // 4}-{j}" for j in range(20 - i % 4)] + [f"own{i}", "everywhere"]) for i in range(120)]
+    classes = spark.createDataFrame(rows, "class long, prints array<string>")
+    once = sorted((r["a"], r["b"], len(r["common"])) for r in correlate.similar_classes(classes).collect())
+    monkeypatch.setattr(correlate, "AT_ONCE", 0)
+    monkeypatch.setattr(correlate, "COMMONEST", 1)
+    mark = storage.written()
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")
+    before = set(files().split(","))
+    found = correlate.similar_classes(classes)
+    shuffled = [f for f in set(files().split(",")) - before if "shuffle_" in f and f.endswith(".data")]
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in storage._written[mark:]}
+    assert left == {"sketch-sets", "sketch-near", "sketch-candidates", "sketch-asked"} and not shuffled
+    assert sorted((r["a"], r["b"], len(r["common"])) for r in found.collect()) == once and len(once) == 180
